@@ -34,6 +34,11 @@ def query(name: str, sql: str | None = None, digits: int = 4) -> Callable[[Build
     return register
 
 
+# Averages of short decimals often end exactly halfway; engines then round either
+# way.  Both sides move up by this part of the last digit first.
+_NUDGE = 3e-4
+
+
 def tidy(df: DataFrame, digits: int = 4) -> DataFrame:
     """Integers as bigint, floats rounded, timestamps and string arrays as text."""
     out = []
@@ -44,7 +49,7 @@ def tidy(df: DataFrame, digits: int = 4) -> DataFrame:
         elif isinstance(f.dataType, T.DecimalType) and f.dataType.scale == 0:
             value = value.cast("bigint")
         elif isinstance(f.dataType, (T.FloatType, T.DoubleType, T.DecimalType)):
-            value = F.round(value.cast("double"), digits)
+            value = F.round(value.cast("double") + _NUDGE * 10.0 ** -digits, digits)
         elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
             value = F.date_format(value, "yyyy-MM-dd HH:mm:ss")
         elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StringType):
@@ -58,8 +63,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def r(expression: str, digits: int = 4) -> str:
-    """SQL: rounded, and never a negative zero."""
-    return f"(round({expression}, {digits}) + 0.0)"
+    """SQL: rounded as ``tidy`` does, and never a negative zero."""
+    return f"(round({expression} + {_NUDGE * 10.0 ** -digits!r}::DOUBLE, {digits}) + 0.0)"
 
 
 def ts(expression: str) -> str:
@@ -115,7 +120,7 @@ SCORED_SQL = (
 
 # Events as a prediction log.
 LOG = (
-    "event_id AS id, ts, CASE WHEN user_id % 3 = 0 THEN 'forest' ELSE 'logistic' END AS model, "
+    "event_id AS id, CAST(ts AS TIMESTAMP) AS ts, CASE WHEN user_id % 3 = 0 THEN 'forest' ELSE 'logistic' END AS model, "
     "CASE WHEN event_type = 'purchase' THEN 'batch' ELSE 'single' END AS type, "
     "CASE WHEN value >= 50 THEN '>50K' ELSE '<=50K' END AS prediction, "
     "least(value / 100.0, 1.0) AS probability, CAST(event_id % 97 AS DOUBLE) AS latency_ms, "

@@ -178,9 +178,13 @@ def level(spark, sf):
     return c.collinearity_level(c.vif(copies(spark, sf)))
 
 
-@query("c11_feature_clusters", " UNION ALL ".join(
-    f"SELECT '{n}' AS feature, {g} AS cluster FROM region WHERE r_regionkey = 0" for n, g in
-    (("l_quantity", 1), ("mirrored", 1), ("l_extendedprice", 2), ("net", 2), ("l_discount", 3), ("l_tax", 4))))
+# Clusters of one or two features: a pair nearer than the cut is one, the rest stand alone.
+_NEAR = f"SELECT j AS item, i AS leader FROM {_PAIRS} WHERE 1 - abs(correlation) <= 0.5"
+
+
+@query("c11_feature_clusters", f"""
+SELECT feature, dense_rank() OVER (ORDER BY coalesce(leader, item)) AS cluster
+FROM (VALUES {", ".join(f"({i}, '{n}')" for i, n in enumerate(_REAL))}) v(item, feature) LEFT JOIN ({_NEAR}) USING (item)""")
 def clusters(spark, sf):
     return c.feature_clusters(pairs(spark, sf))
 

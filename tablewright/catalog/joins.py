@@ -214,7 +214,8 @@ SELECT lu AS left_unique_count, ru AS right_unique_count, m AS match_count, lu -
        '{ltype}' AS left_column_dtype, '{rtype}' AS right_column_dtype, {warn} AS warnings FROM s"""
 
 
-_ORPHANS = ("concat_ws('|', CASE WHEN lu > m THEN concat(lu - m, ' keys in left table have no match in right table') END, "
+_ORPHANS = ("concat_ws('|', CASE WHEN round(m / greatest(least(lu, ru), 1)::DOUBLE * 100, 2) < 50 THEN concat('Low key match rate (', "
+            "round(m / greatest(least(lu, ru), 1)::DOUBLE * 100, 2), '%), possibly wrong join columns') END, CASE WHEN lu > m THEN concat(lu - m, ' keys in left table have no match in right table') END, "
             "CASE WHEN ru > m THEN concat(ru - m, ' keys in right table have no match in left table') END)")
 
 

@@ -8,7 +8,7 @@ from .base import HOLES, ORDERS_WITH_HOLES, orders_with_holes, query, r, table
 
 _COLUMNS = [("o_orderkey", "bigint", "INTEGER", "numeric"), ("o_custkey", "bigint", "INTEGER", "numeric"),
             ("o_orderstatus", "string", "VARCHAR", "categorical"), ("o_totalprice", "double", "FLOAT", "numeric"),
-            ("o_orderdate", "timestamp", "DATETIME", "datetime"), ("o_orderpriority", "string", "VARCHAR", "categorical")]
+            ("o_orderdate", "timestamp_ntz", "DATETIME", "datetime"), ("o_orderpriority", "string", "VARCHAR", "categorical")]
 
 # Holes plus every tenth row twice: missing values and duplicates together.
 DIRTY = f"(SELECT {HOLES} FROM orders UNION ALL SELECT {HOLES} FROM orders WHERE o_orderkey % 10 = 0)"

@@ -144,9 +144,9 @@ WITH n AS (SELECT o_totalprice AS v, row_number() OVER (ORDER BY o_totalprice) -
            FROM (SELECT DISTINCT o_totalprice FROM orders)),
      s AS (SELECT max(position) AS last FROM n),
      w AS (SELECT DISTINCT CASE WHEN last < 100 THEN i WHEN i = 99 THEN last
-                                ELSE floor(i * (last::DOUBLE / 99.0::DOUBLE))::BIGINT END AS at
+                                ELSE floor(i * (last::DOUBLE / 99.0::DOUBLE))::BIGINT END AS spot
            FROM range(100) t(i), s)
-SELECT position::BIGINT AS position, v FROM n WHERE position IN (SELECT at FROM w)""")
+SELECT position::BIGINT AS position, v FROM n WHERE position IN (SELECT spot FROM w)""")
 def even(spark, sf):
     values = table(spark, sf, "orders").select(F.col("o_totalprice").alias("v")).distinct()
     placed = running(values, [], ["v"], sums={"place": F.lit(1).cast("bigint")})

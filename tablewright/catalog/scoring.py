@@ -36,8 +36,8 @@ def manual(spark, sf):
         "o_totalprice_scaled", "o_orderstatus_O", "o_orderstatus_P", "clerk", "absent"])
 
 
-_WEIGHTS = {"o_totalprice": 1e-5, "o_custkey": -0.002, "o_orderkey": 0.0001}
-_P = "1 / (1 + exp(-(-1.5 + o_totalprice * 1e-5::DOUBLE + o_custkey * -0.002::DOUBLE + o_orderkey * 0.0001::DOUBLE)))"
+_WEIGHTS = {"o_totalprice": 1e-5, "o_custkey": -0.002, "o_orderkey": 0.00012347}
+_P = "1 / (1 + exp(-(-1.5 + o_totalprice * 1e-5::DOUBLE + o_custkey * -0.002::DOUBLE + o_orderkey * 0.00012347::DOUBLE)))"
 
 
 def _batch(spark, sf):
@@ -54,11 +54,11 @@ def batch(spark, sf):
 
 
 _TERMS = """(SELECT o_orderkey, 0 AS pos, 'o_totalprice' AS feature, o_totalprice * 1e-5::DOUBLE AS term FROM orders UNION ALL
-  SELECT o_orderkey, 1, 'o_custkey', o_custkey * -0.002::DOUBLE FROM orders UNION ALL SELECT o_orderkey, 2, 'o_orderkey', o_orderkey * 0.0001::DOUBLE FROM orders)"""
+  SELECT o_orderkey, 1, 'o_custkey', o_custkey * -0.002::DOUBLE FROM orders UNION ALL SELECT o_orderkey, 2, 'o_orderkey', o_orderkey * 0.00012347::DOUBLE FROM orders)"""
 
 
 @query("m5_contributions", f"""
-SELECT o_orderkey, rank, feature, {r('abs(term)')} AS contribution, {r('abs(term) * 100', 1)} AS impact,
+SELECT o_orderkey, rank, feature, round(abs(term), 4) AS contribution, round(abs(term) * 100, 1) AS impact,
   CASE WHEN term > 0 THEN 'positive' ELSE 'negative' END AS direction
 FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY abs(term) DESC, pos) AS rank FROM {_TERMS}) WHERE rank <= 2""")
 def contributions(spark, sf):

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import col
-from ..plans.schema import is_numeric
+from ..plans.schema import identity_of, is_numeric
 from .ranking import group_quantiles
 
 
@@ -149,8 +149,12 @@ def group_mode(df: DataFrame, group_by: str, column: str, name: str) -> DataFram
 
 
 def duplicate_counts(df: DataFrame) -> DataFrame:
-    """One row: rows, distinct rows, duplicates (null equals null)."""
-    groups = df.groupBy(*[col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
+    """One row: rows, distinct rows, duplicates (null equals null).
+
+    Long texts take part by their SHA-256, so the shuffle stays narrow.
+    """
+    groups = df.groupBy(*[identity_of(f).alias(f.name) for f in df.schema.fields]).agg(
+        F.count(F.lit(1)).alias("_n"))
     return groups.agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("total_rows"), F.count(F.lit(1)).alias("distinct_rows"),
     ).withColumn("duplicates", F.col("total_rows") - F.col("distinct_rows"))

@@ -16,13 +16,14 @@ from ..functions.columns import col, ratio, share
 from ..functions.numbers import correlation, gap_status, target_strength
 from ..functions.text import model_id
 from .correlation import pair_correlations
+from .joins import join_small
 from .ranking import dense_index, running
 
 
 def encode_labels(df: DataFrame, label: str, code: str = "label_code") -> DataFrame:
     """Add the 0-based position of the label among the sorted distinct labels."""
     codes = dense_index(df, label, code).withColumnRenamed(label, "_label")
-    return df.join(codes, col(label) == F.col("_label"), "left").drop("_label")
+    return join_small(df, codes, col(label) == F.col("_label")).drop("_label")
 
 
 def score_counts(df: DataFrame, label: str, score: str) -> DataFrame:

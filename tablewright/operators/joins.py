@@ -119,6 +119,20 @@ def join_tables(left: DataFrame, right: DataFrame, left_key: str, right_key: str
     return Joined(out, renamed)
 
 
+_FEW_ROWS = 100_000
+
+
+def join_small(df: DataFrame, lookup: DataFrame, match: Column) -> DataFrame:
+    """Left join onto a table that is expected, but not known, to be small.
+
+    Its rows are counted first, up to a bound.  Within the bound it is
+    broadcast and ``df`` is not shuffled; beyond, this is an ordinary join,
+    whose hot keys adaptive execution splits.
+    """
+    few = lookup.limit(_FEW_ROWS + 1).count() <= _FEW_ROWS
+    return df.join(F.broadcast(lookup) if few else lookup, match, "left")
+
+
 def orphan_rows(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
     """Left rows whose key the right side lacks (null keys are orphans)."""
     keys = right.select(col(right_key).alias("_k")).filter("_k IS NOT NULL").distinct()

@@ -33,13 +33,20 @@ def _split_points(df: DataFrame, by: Column, spread: Column) -> Column:
     return sample.select(F.struct(coarse.alias("coarse"), fine.alias("fine"))).scalar()
 
 
-def _with_bucket(df: DataFrame, by: Column, groups: list[str]) -> DataFrame:
-    """Add ``_bucket``: how many split points are at or below the row's order value."""
-    spread = F.struct(by, *[col(g) for g in groups])
+def _with_bucket(df: DataFrame, by: Column, groups: list[str], used: list[str]) -> DataFrame:
+    """Add ``_bucket``: how many split points are at or below the row's order value.
+
+    Rows are drawn by a hash of everything ``running`` uses, which also keeps
+    the sample's plan equal to the other branches', so that the shuffle that
+    made ``df`` is reused and not run again.
+    """
+    spread = F.struct(by, *[col(c) for c in groups + used])
     out = df.withColumn("_splits", _split_points(df, by, spread))
     out = out.withColumn("_coarse", F.size(F.filter("_splits.coarse", lambda x: x <= by)))
     fine = F.filter(F.get(F.col("_splits.fine"), F.col("_coarse")), lambda x: x <= by)
-    return out.withColumn("_bucket", F.col("_coarse") * _FAN + F.size(fine)).drop("_splits", "_coarse")
+    # Never null, or the optimizer would test the bucket for null far below, on raw rows.
+    bucket = F.coalesce(F.col("_coarse") * _FAN + F.size(fine), F.lit(0))
+    return out.withColumn("_bucket", bucket).drop("_splits", "_coarse")
 
 
 def running(df: DataFrame, groups: list[str], order_by: list[str],
@@ -59,7 +66,7 @@ def running(df: DataFrame, groups: list[str], order_by: list[str],
     rows = df
     for name, value in {**sums, **maxima}.items():
         rows = rows.withColumn(f"_in_{name}", value)
-    rows = _with_bucket(rows, by, groups)
+    rows = _with_bucket(rows, by, groups, [f"_in_{n}" for n in [*sums, *maxima]])
 
     totals = rows.groupBy(*[col(g) for g in groups], "_bucket").agg(
         *[F.sum(f"_in_{n}").alias(f"_tot_{n}") for n in sums],

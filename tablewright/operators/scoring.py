@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import col, ratio
 from ..functions.numbers import confidence_band, key_number, sigmoid, zscore
+from .joins import join_small
 from .projection import align_columns
 from .ranking import dense_index, group_quantiles
 
@@ -99,7 +100,7 @@ def transform_manual(df: DataFrame, prep: ManualPreparation, keep: Sequence[str]
         out += [F.coalesce((col(c) == v).cast("int"), F.lit(0)).alias(f"{c}_{v}") for v in values[1:]]
     for i, (c, table) in enumerate(prep.codes.items()):
         coded = table.select(col(c).alias(f"_value{i}"), F.col("_code").alias(f"_code{i}"))
-        df = df.join(coded, col(c) == F.col(f"_value{i}"), "left")
+        df = join_small(df, coded, col(c) == F.col(f"_value{i}"))
         out.append(F.coalesce(F.col(f"_code{i}"), F.lit(-1)).cast("int").alias(c))
     result = df.select(*[col(k) for k in keep], *out)
     if expected is not None:
@@ -191,8 +192,8 @@ def batch_summary(scored: DataFrame, probability: str, prediction: str = "predic
 def batch_status(validated: DataFrame) -> DataFrame:
     """One row on a validated batch: totals, successes, failures, progress."""
     return validated.agg(
-        F.count(F.lit(1)).alias("total_records"), F.count_if("error IS NULL").alias("successful_records"),
-        F.count_if("error IS NOT NULL").alias("failed_records"),
+        F.count(F.lit(1)).alias("total_records"), F.count_if(F.col("error").isNull()).alias("successful_records"),
+        F.count_if(F.col("error").isNotNull()).alias("failed_records"),
     ).withColumn("processed_records", F.col("successful_records") + F.col("failed_records")).withColumn(
         "progress", F.round(ratio(F.col("processed_records") * 100, F.col("total_records")), 1))
 
@@ -202,19 +203,20 @@ def split_rows(df: DataFrame, key: str, label: str, test_share: float = 0.2, see
 
     A row's hash number decides.  The cut is the exact ``test_share`` quantile
     of the numbers within its class; a class may hold most of the table, which
-    ``group_quantiles`` allows for.
+    ``group_quantiles`` allows for.  The cuts are looked up without a shuffle of
+    the rows while the classes are few.
     """
     numbered = df.withColumn("_h", key_number(col(key), seed))
     cuts = group_quantiles(numbered.select(col(label), "_h"), [label], "_h", {"_cut": test_share})
     cuts = cuts.withColumnRenamed(label, "_label")
-    joined = numbered.join(cuts, col(label).eqNullSafe(F.col("_label")), "left")
+    joined = join_small(numbered, cuts, col(label).eqNullSafe(F.col("_label")))
     return joined.withColumn("split", F.when(F.col("_h") <= F.col("_cut"), "test").otherwise("train")).drop(
         "_h", "_label", "_cut")
 
 
 ESTIMATORS = {
-    "LogisticRegression": lambda: LogisticRegression(maxIter=50),
-    "LinearSVC": lambda: LinearSVC(maxIter=50),
+    "LogisticRegression": lambda: LogisticRegression(maxIter=20),
+    "LinearSVC": lambda: LinearSVC(maxIter=10),
     "DecisionTreeClassifier": lambda: DecisionTreeClassifier(seed=42),
     "RandomForestClassifier": lambda: RandomForestClassifier(seed=42),
     "GradientBoostingClassifier": lambda: GBTClassifier(maxIter=10, seed=42),
@@ -230,9 +232,17 @@ def fit_score(train: DataFrame, test: DataFrame, algorithm: str, label: str = "l
     for a classifier without probabilities.  KMeans adds its cluster instead.
     """
     estimator = ESTIMATORS[algorithm]()
+    if algorithm != "KMeans":
+        estimator = estimator.setLabelCol(label)
+    # Fitting reads the training rows many times.
+    held = train.select("features", *([] if algorithm == "KMeans" else [label])).persist()
+    try:
+        model = estimator.fit(held)
+    finally:
+        held.unpersist()
+    out = model.transform(test)
     if algorithm == "KMeans":
-        return estimator.fit(train).transform(test).withColumnRenamed("prediction", "cluster")
-    out = estimator.setLabelCol(label).fit(train).transform(test)
+        return out.withColumnRenamed("prediction", "cluster")
     if "probability" in out.columns:
         score = vector_to_array(F.col("probability"))[1]
     else:

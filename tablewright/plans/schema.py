@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import col, quoted
@@ -96,19 +97,20 @@ def text_cells(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     and not the whole text.
     """
     names = columns if columns is not None else df.columns
-    fields = {f.name: f.dataType for f in df.schema.fields}
-    parts = []
-    for n in names:
-        q = quoted(n)
-        if isinstance(fields[n], (T.FloatType, T.DoubleType)):
-            parts.append(f"CAST({q} + 0.0D AS STRING) AS {q}")
-        elif isinstance(fields[n], T.StringType):
-            parts.append(f"CASE WHEN length({q}) > 64 THEN sha2({q}, 256) ELSE {q} END AS {q}")
-        elif isinstance(fields[n], (T.ArrayType, T.StructType, T.MapType)):
-            parts.append(f"sha2(to_json({q}), 256) AS {q}")
-        else:
-            parts.append(f"CAST({q} AS STRING) AS {q}")
-    return df.selectExpr(*parts).unpivot([], [quoted(n) for n in names], "column", "value")
+    wide = df.select(*[identity_of(df.schema[n]).cast("string").alias(n) for n in names])
+    return wide.unpivot([], [quoted(n) for n in names], "column", "value")
+
+
+def identity_of(field: T.StructField) -> Column:
+    """A short value that is equal exactly when the column's values are."""
+    value = col(field.name)
+    if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
+        return value + F.lit(0.0)  # one zero, not two
+    if isinstance(field.dataType, T.StringType):
+        return F.when(F.length(value) > 64, F.sha2(value, 256)).otherwise(value)
+    if isinstance(field.dataType, (T.ArrayType, T.StructType, T.MapType)):
+        return F.sha2(F.to_json(F.struct(value)), 256)
+    return value
 
 
 def numeric_cells(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

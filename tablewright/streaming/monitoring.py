@@ -17,9 +17,14 @@ def stream_table(spark: SparkSession, folder: str, pattern: str, like: DataFrame
     )
 
 
+def _with_watermark(log: DataFrame, late: str) -> DataFrame:
+    """Event time is ``ts``; a timestamp without zone is read in the session's zone."""
+    return log.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+
+
 def deduplicated(log: DataFrame, late: str = "1 hour") -> DataFrame:
     """Each prediction id once; ids are remembered until the watermark passes them."""
-    return log.withWatermark("ts", late).dropDuplicatesWithinWatermark(["id"])
+    return _with_watermark(log, late).dropDuplicatesWithinWatermark(["id"])
 
 
 def hourly_stream(log: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -29,7 +34,7 @@ def hourly_stream(log: DataFrame, late: str = "1 hour") -> DataFrame:
     partial before the shuffle, so one busy hour is not one task's work.
     """
     return (
-        log.withWatermark("ts", late).groupBy(F.window("ts", "1 hour").alias("w")).agg(*window_aggregates())
+        _with_watermark(log, late).groupBy(F.window("ts", "1 hour").alias("w")).agg(*window_aggregates())
         .select(F.col("w.start").alias("window_start"), *window_columns())
     )
 
