@@ -29,10 +29,19 @@ def correlation(x: Column, y: Column) -> Column:
     both = x.isNotNull() & y.isNotNull()
     return F.try_divide(
         F.covar_samp(x, y),
-        F.stddev_samp(F.when(both, x)) * F.stddev_samp(F.when(both, y)),
+        real_deviation(F.stddev_samp(F.when(both, x)), x) * real_deviation(F.stddev_samp(F.when(both, y)), y),
     )
 
 
+def real_deviation(deviation: Column, value: Column) -> Column:
+    """Null for a deviation that is only rounding noise at the size of the values.
+
+    Partial results of a constant column merge to something like 1e-17, not 0.
+    """
+    size = F.greatest(F.abs(F.min(value)), F.abs(F.max(value)))
+    return F.when(deviation > size * 1e-12, deviation)
+
+
 def by_cuts(value: Column, cuts: list[tuple[str, float, str]], otherwise: str) -> Column:
     """First label whose comparison holds; null for a null value."""
     compare = {">": value.__gt__, ">=": value.__ge__, "<": value.__lt__, "<=": value.__le__}

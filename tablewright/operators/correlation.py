@@ -11,11 +11,11 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import col, name_frame, share
-from ..functions.numbers import correlation, matrix_strength, pair_strength, vif_severity
+from ..functions.numbers import correlation, matrix_strength, pair_strength, real_deviation, vif_severity
 from ..functions.tails import correlation_p_value
 from ..plans.schema import numeric_columns
 
@@ -44,7 +44,7 @@ def _pairs_by_aggregate(rows: DataFrame, names: list[str], complete: bool) -> Da
     pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
     aggs = [F.count(F.lit(1)).alias("n")]
     if complete:
-        aggs += [F.stddev_samp(f"v{i}").alias(f"s{i}") for i in range(len(names))]
+        aggs += [real_deviation(F.stddev_samp(f"v{i}"), F.col(f"v{i}")).alias(f"s{i}") for i in range(len(names))]
         aggs += [F.covar_samp(f"v{i}", f"v{j}").alias(f"c{i}_{j}") for i, j in pairs]
     else:
         aggs += [correlation(F.col(f"v{i}"), F.col(f"v{j}")).alias(f"r{i}_{j}") for i, j in pairs]
@@ -103,11 +103,12 @@ def _pairs_by_matrix(rows: DataFrame, names: list[str]) -> DataFrame:
         partials, "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double",
     ).groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
     n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
-    r = F.try_divide(
-        n * F.col("sxy") - sx * sy,
-        F.sqrt(F.greatest(n * F.col("sxx") - sx * sx, F.lit(0.0)))
-        * F.sqrt(F.greatest(n * F.col("syy") - sy * sy, F.lit(0.0))),
-    )
+
+    def spread(squares: Column, total: Column) -> Column:
+        left_over = n * squares - total * total
+        return F.when(left_over > n * squares * 1e-12, F.sqrt(left_over))  # less is rounding noise
+
+    r = F.try_divide(n * F.col("sxy") - sx * sy, spread(F.col("sxx"), sx) * spread(F.col("syy"), sy))
     labels = F.array(*[F.lit(x) for x in names])
     return sums.select(
         "i", "j", F.get(labels, F.col("i")).alias("column1"), F.get(labels, F.col("j")).alias("column2"),

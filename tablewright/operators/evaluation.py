@@ -154,8 +154,8 @@ def downsample(points: DataFrame, position: str = "position", max_points: int =
         F.when(last < max_points, i).when(i == max_points - 1, last)
         .otherwise(F.floor(i * (last / F.lit(float(max_points - 1))))).alias("_at")
     ).distinct()
-    # ``wanted`` has at most max_points rows.
-    return points.join(F.broadcast(wanted), col(position) == F.col("_at"), "left_semi")
+    # ``wanted`` has at most max_points rows, all different.
+    return points.join(F.broadcast(wanted), col(position) == F.col("_at")).drop("_at")
 
 
 def thresholds(start: float = 0.1, stop: float = 0.91, step: float = 0.01) -> list[float]:

@@ -152,10 +152,11 @@ def column_quantiles(cells: DataFrame, probs: Mapping[str, float]) -> DataFrame:
     """Exact quantiles per column of (column, value) cells.
 
     Two passes and no shuffle of the data: a sketch brackets every quantile by
-    two values, then one aggregate counts what lies below the bracket and keeps
-    distinct values only inside it (under a thousandth of the rows).  The
-    sketch's rank error is a quarter of the margin; should the wanted rank still
-    fall outside the bracket the query fails rather than answer wrongly.
+    two values, then one aggregate keeps distinct values only inside the
+    bracket (under a thousandth of the rows) and of the rest just the count
+    and the value next to it.  The sketch's rank error is a quarter of the
+    margin; should the wanted rank still lie further out the query fails rather
+    than answer wrongly.
     """
     names = list(probs)
     points = [min(max(probs[n] + d, 0.0), 1.0) for n in names for d in (-_MARGIN, _MARGIN)]
@@ -171,17 +172,12 @@ def column_quantiles(cells: DataFrame, probs: Mapping[str, float]) -> DataFrame:
         ])),
     )
     # One row per column and quantile: bounded by the schema, so broadcast.
-    near = cells.join(
-        F.broadcast(brackets), (F.col("column") == F.col("_column")) & (F.col("value") <= F.col("_hi"))
-    )
-    counted = near.groupBy(
-        "column", "_q", "_size", F.when(F.col("value") >= F.col("_lo"), F.col("value")).alias("_v")
-    ).agg(F.count(F.lit(1)).alias("_n"))
-    # Null (all that lies below) sorts first; -inf keeps the order explicit.
-    ranked = running(
-        counted.withColumn("_o", F.coalesce("_v", F.lit(float("-inf")))),
-        ["column", "_q"], ["_o"], sums={"_upto": F.col("_n")},
-    )
+    near = cells.join(F.broadcast(brackets), F.col("column") == F.col("_column"))
+    value = F.col("value")
+    place = F.when(value < F.col("_lo"), float("-inf")).when(value > F.col("_hi"), float("inf")).otherwise(value)
+    counted = near.groupBy("column", "_q", "_size", place.alias("_o")).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("value").alias("_least"), F.max("value").alias("_most"))
+    ranked = running(counted, ["column", "_q"], ["_o"], sums={"_upto": F.col("_n")})
     out = []
     for i, name in enumerate(names):
         at = F.lit(float(probs[name])) * (F.col("_size") - 1)
@@ -189,7 +185,10 @@ def column_quantiles(cells: DataFrame, probs: Mapping[str, float]) -> DataFrame:
         before, mine = F.col("_upto") - F.col("_n"), F.col("_q") == i
 
         def value_at(rank: Column) -> Column:
-            hit = F.max(F.when(mine & (before <= rank) & (rank < F.col("_upto")), F.col("_v")))
+            # In a bracket least and most are the same; outside, one of them borders on it.
+            found = F.when(F.col("_least") == F.col("_most"), F.col("_least")).when(
+                rank == F.col("_upto") - 1, F.col("_most")).when(rank == before, F.col("_least"))
+            hit = F.max(F.when(mine & (before <= rank) & (rank < F.col("_upto")), found))
             return F.when(hit.isNotNull(), hit).otherwise(
                 F.raise_error(F.lit("quantile fell outside its bracket")).cast("double"))
 

@@ -109,7 +109,7 @@ def identity_of(field: T.StructField) -> Column:
     if isinstance(field.dataType, T.StringType):
         return F.when(F.length(value) > 64, F.sha2(value, 256)).otherwise(value)
     if isinstance(field.dataType, (T.ArrayType, T.StructType, T.MapType)):
-        return F.sha2(F.to_json(F.struct(value)), 256)
+        return F.sha2(F.to_json(F.struct(value), {"ignoreNullFields": "false"}), 256)
     return value
 
 

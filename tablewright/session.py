@@ -30,19 +30,20 @@ def build_session(app: str = "tablewright", master: str | None = None, **conf: s
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, from ``spark.checkpoint.dir``.
+    """The folder every executor can reach: ``spark.checkpoint.dir``.
 
-    Only a local master may go without it: there a folder on this machine is
-    shared by definition, and is stored in the session for the next caller.
+    Where it is unset, the context's checkpoint folder is taken.  Only a local
+    master may go without both: a folder on this machine is shared by
+    definition there, and becomes the checkpoint folder for the next caller.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="tablewright-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="tablewright-"))
+    return context.getCheckpointDir().rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -62,7 +62,7 @@ def infer_types(text: DataFrame) -> dict[str, T.DataType]:
         flag = F.lower(value).isin("true", "false")
         fits = {"bigint": whole, "double": value.try_cast("double").isNotNull(), "boolean": flag}
         seen = F.count(value) > 0
-        aggs += [(seen & F.every(F.coalesce(fits[t], F.lit(True)))).alias(f"{i}_{t}") for t in tests]
+        aggs += [(seen & F.every(value.isNull() | fits[t])).alias(f"{i}_{t}") for t in tests]
     row = text.agg(*aggs).first()
     out = {}
     for i, name in enumerate(text.columns):
