@@ -73,12 +73,12 @@ def histogram_statistics(spark, sf):
     return d.histogram_statistics(orders_with_holes(spark, sf), ["o_custkey", "o_totalprice"])
 
 
-# Squares of the price: a long tail, so there are outliers.
-_TAIL = "(SELECT o_orderkey, o_totalprice * o_totalprice / 1e6 AS price FROM orders)"
+# Fourth powers of the price: a long tail, so there are outliers.
+_TAIL = "(SELECT o_orderkey, o_totalprice * o_totalprice * o_totalprice * o_totalprice / 1e18 AS price FROM orders)"
 
 
 def _tail(spark, sf):
-    return table(spark, sf, "orders").selectExpr("o_orderkey", "o_totalprice * o_totalprice / 1e6D AS price")
+    return table(spark, sf, "orders").selectExpr("o_orderkey", "o_totalprice * o_totalprice * o_totalprice * o_totalprice / 1e18D AS price")
 
 
 _FENCES = f"""

@@ -132,7 +132,8 @@ WITH s AS (SELECT max(position) AS last FROM {_ROC}),
      w AS (SELECT DISTINCT CASE WHEN last < 100 THEN i WHEN i = 99 THEN last ELSE floor(i * (last::DOUBLE / 99.0::DOUBLE))::BIGINT END AS spot FROM range(100) t(i), s)
 SELECT position, {r('fpr', 6)} AS fpr, {r('tpr', 6)} AS tpr, {r('threshold', 6)} AS threshold FROM {_ROC} WHERE position IN (SELECT spot FROM w)""", digits=6)
 def downsampled(spark, sf):
-    return e.downsample(e.roc_curve(counts(spark, sf)))
+    rows = counts(spark, sf)
+    return e.downsample(e.roc_curve(rows), last=rows.agg(F.count(F.lit(1))).scalar())
 
 
 _GRID = "(VALUES " + ", ".join(f"({t!r}::DOUBLE)" for t in e.thresholds()) + ") g(t)"

@@ -150,7 +150,8 @@ SELECT position::BIGINT AS position, v FROM n WHERE position IN (SELECT spot FRO
 def even(spark, sf):
     values = table(spark, sf, "orders").select(F.col("o_totalprice").alias("v")).distinct()
     placed = running(values, [], ["v"], sums={"place": F.lit(1).cast("bigint")})
-    return downsample(placed.select((F.col("place") - 1).alias("position"), "v"))
+    return downsample(placed.select((F.col("place") - 1).alias("position"), "v"),
+                      last=values.agg(F.count(F.lit(1)) - 1).scalar())
 
 
 @query("u1_common_keys", """

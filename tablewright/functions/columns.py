@@ -31,4 +31,4 @@ def name_frame(spark: SparkSession, rows: list[dict]) -> DataFrame:
         F.struct(*[(v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in row.items()])
         for row in rows
     ]
-    return spark.range(1).select(F.inline(F.array(*structs)))
+    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*structs)))

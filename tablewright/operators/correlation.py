@@ -19,7 +19,10 @@ from ..functions.numbers import correlation, matrix_strength, pair_strength, rea
 from ..functions.tails import correlation_p_value
 from ..plans.schema import numeric_columns
 
-_ONE_AGGREGATE = 16  # columns; beyond, the pairs come from matrix partials
+# Columns up to which all pairs fit one aggregate the JVM still compiles well (each pair
+# needs a covariance, pairwise deletion two deviations more); beyond, the pairs come
+# from matrix partials.
+_ONE_AGGREGATE = {True: 5, False: 4}  # listwise, pairwise
 
 
 def pair_correlations(df: DataFrame, columns: Sequence[str] | None = None, listwise: bool = False) -> DataFrame:
@@ -35,7 +38,7 @@ def pair_correlations(df: DataFrame, columns: Sequence[str] | None = None, listw
     rows = df.select(*[col(c).cast("double").alias(f"v{i}") for i, c in enumerate(names)])
     if listwise:
         rows = rows.na.drop("any")
-    if len(names) <= _ONE_AGGREGATE:
+    if len(names) <= _ONE_AGGREGATE[listwise]:
         return _pairs_by_aggregate(rows, names, listwise)
     return _pairs_by_matrix(rows, names)
 

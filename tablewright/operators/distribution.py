@@ -98,7 +98,7 @@ def histogram_statistics(df: DataFrame, columns: Sequence[str] | None = None) ->
     """The statistics shown beside each histogram (population std, quartiles, missing)."""
     names = list(columns) if columns is not None else numeric_columns(df)
     rows = df.agg(F.count(F.lit(1)).alias("n"))
-    quantiles = column_quantiles(numeric_cells(df, names), {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    quantiles = column_quantiles(df, {"q1": 0.25, "median": 0.5, "q3": 0.75}, names)
     return moments(df, names).join(F.broadcast(quantiles), "column").select(
         "column", "mean", "median", F.col("std_pop").alias("std"), "min", "max", "q1", "q3",
         rows.scalar().alias("total_count"), (rows.scalar() - F.col("n")).alias("missing_count"),
@@ -109,7 +109,7 @@ def outlier_bounds(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     """Quartile fences per numeric column with at least four values."""
     names = list(columns) if columns is not None else numeric_columns(df)
     cells = numeric_cells(df, names)
-    quantiles = column_quantiles(cells, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    quantiles = column_quantiles(df, {"q1": 0.25, "median": 0.5, "q3": 0.75}, names)
     sizes = cells.groupBy("column").agg(F.count("value").alias("n"), F.avg("value").alias("mean"))
     iqr = F.col("q3") - F.col("q1")
     return sizes.filter("n >= 4").join(F.broadcast(quantiles), "column").select(
@@ -147,7 +147,7 @@ _SMALL_SD = [1.3822, -0.77857, 0.062767, -0.0020322]
 _LARGE_MEAN = [-1.5861, -0.31082, -0.083751, 0.0038915]
 _LARGE_SD = [-0.4803, -0.082676, 0.0030302]
 
-_CHUNK = 100_000
+_CHUNK = 10_000
 
 
 def _doubles(*names: str) -> T.StructType:
@@ -206,13 +206,15 @@ def shapiro_from_sums(n: int, squares: float, products: float, scores_squared: f
 @F.pandas_udf(_doubles("m", "m2"))
 def _score_sums(start: pd.Series, length: pd.Series, size: pd.Series) -> pd.DataFrame:
     """Sum and squared sum of normal scores over ranks start+1 .. start+length."""
+    k = length.to_numpy()
+    if not len(k):
+        return pd.DataFrame({"m": [], "m2": []}, dtype="float64")
+    begins = np.concatenate([[0], np.cumsum(k)[:-1]])
+    ranks = np.arange(k.sum()) - np.repeat(begins, k) + np.repeat(start.to_numpy(), k) + 1
+    shares = (ranks - 0.375) / (np.repeat(size.to_numpy(), k) + 0.25)
     inverse = NormalDist().inv_cdf
-    first, squares = [], []
-    for s, k, n in zip(start, length, size):
-        scores = np.array([inverse((r - 0.375) / (n + 0.25)) for r in range(s + 1, s + k + 1)])
-        first.append(float(scores.sum()))
-        squares.append(float((scores * scores).sum()))
-    return pd.DataFrame({"m": first, "m2": squares})
+    scores = np.array([inverse(s) for s in shares.tolist()])
+    return pd.DataFrame({"m": np.add.reduceat(scores, begins), "m2": np.add.reduceat(scores * scores, begins)})
 
 
 @F.pandas_udf(_doubles("w", "p"))

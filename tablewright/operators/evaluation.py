@@ -126,7 +126,7 @@ def roc_curve(counts: DataFrame, drop_intermediate: bool = False) -> DataFrame:
     curve = points.select(
         F.col("place").alias("position"), share(F.col("fp"), F.col("_t.n")).alias("fpr"),
         share(F.col("tp"), F.col("_t.p")).alias("tpr"), F.col("score").alias("threshold"))
-    start = counts.sparkSession.range(1).select(
+    start = counts.sparkSession.range(0, 1, 1, 1).select(
         F.lit(0).cast("bigint").alias("position"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"),
         F.lit(None).cast("double").alias("threshold"))
     return start.union(curve)
@@ -145,12 +145,17 @@ def pr_curve(counts: DataFrame) -> DataFrame:
     return curve.union(last)
 
 
-def downsample(points: DataFrame, position: str = "position", max_points: int = 100) -> DataFrame:
-    """At most ``max_points`` evenly spaced points by a dense 0-based position; first and last stay."""
-    size = points.agg(F.max(position).alias("last"))
-    i = F.col("id")
+def downsample(points: DataFrame, position: str = "position", max_points: int = 100,
+               last: Column | None = None) -> DataFrame:
+    """At most ``max_points`` evenly spaced points by a dense 0-based position; first and last stay.
+
+    ``last`` is the greatest position where it is known more cheaply than from the points.
+    """
+    if last is None:
+        last = points.agg(F.max(position).alias("last")).scalar()
+    i, greatest = F.col("id"), last
     last = F.col("_last")
-    wanted = points.sparkSession.range(max_points).withColumn("_last", size.scalar()).select(
+    wanted = points.sparkSession.range(0, max_points, 1, 1).withColumn("_last", greatest).select(
         F.when(last < max_points, i).when(i == max_points - 1, last)
         .otherwise(F.floor(i * (last / F.lit(float(max_points - 1))))).alias("_at")
     ).distinct()
@@ -353,10 +358,11 @@ def complete_evaluation(df: DataFrame, label: str, score: str, threshold: float
     costs = dict(costs or {})
     counts = score_counts(df, label, score).persist()
     evaluated = threshold_evaluation(counts, threshold)
+    scores = counts.agg(F.count(F.lit(1))).scalar()  # the last position of either curve
     return {
         "counts": counts, "threshold_evaluation": evaluated,
         "business_impact": business_impact(confusion(counts, threshold), volume=volume, **costs),
-        "roc_curve": downsample(roc_curve(counts)), "pr_curve": downsample(pr_curve(counts)),
+        "roc_curve": downsample(roc_curve(counts), last=scores), "pr_curve": downsample(pr_curve(counts), last=scores),
         "areas": auc_and_ap(counts), "optimal_threshold": optimal_threshold(counts, **costs),
         "overall_score": overall_score(evaluated),
     }

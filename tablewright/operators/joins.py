@@ -125,12 +125,15 @@ _FEW_ROWS = 100_000
 def join_small(df: DataFrame, lookup: DataFrame, match: Column) -> DataFrame:
     """Left join onto a table that is expected, but not known, to be small.
 
-    Its rows are counted first, up to a bound.  Within the bound it is
-    broadcast and ``df`` is not shuffled; beyond, this is an ordinary join,
-    whose hot keys adaptive execution splits.
+    Its rows are counted first.  Within a bound it is broadcast and ``df`` is
+    not shuffled; beyond, this is an ordinary join, whose hot keys adaptive
+    execution splits.  A small lookup stays persisted, as it has been computed.
     """
-    few = lookup.limit(_FEW_ROWS + 1).count() <= _FEW_ROWS
-    return df.join(F.broadcast(lookup) if few else lookup, match, "left")
+    held = lookup.persist()
+    if held.count() <= _FEW_ROWS:
+        return df.join(F.broadcast(held), match, "left")
+    held.unpersist()
+    return df.join(lookup, match, "left")
 
 
 def orphan_rows(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:

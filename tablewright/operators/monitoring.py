@@ -71,7 +71,7 @@ def hourly_trend(log: DataFrame) -> DataFrame:
     """24 rows: predictions and mean probability per hour of the day."""
     counted = log.filter("NOT failed").groupBy(F.hour("ts").alias("_h")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("probability").alias("s"))
-    hours = log.sparkSession.range(24).select(F.col("id").cast("int").alias("hour"))
+    hours = log.sparkSession.range(0, 24, 1, 1).select(F.col("id").cast("int").alias("hour"))
     return hours.join(counted, F.col("hour") == F.col("_h"), "left").select(
         "hour", F.coalesce("n", F.lit(0)).alias("predictions"),
         F.round(ratio(F.coalesce("s", F.lit(0.0)), F.col("n")), 3).alias("avg_confidence"))

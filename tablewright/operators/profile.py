@@ -166,7 +166,7 @@ def numeric_statistics(df: DataFrame) -> DataFrame:
     """Count, mean, median, std, min, max, quartiles and missing per numeric column."""
     names = numeric_columns(df)
     rows = df.agg(F.count(F.lit(1)).alias("n"))
-    quantiles = column_quantiles(numeric_cells(df, names), QUARTILES)
+    quantiles = column_quantiles(df, QUARTILES, names)
     base = _column_rows(df).filter("kind = 'numeric'").select(F.col("name").alias("column"))
     out = base.join(moments(df, names), "column", "left").join(quantiles, "column", "left")
     return out.select(

@@ -11,26 +11,38 @@ spread over some 330 tasks.  The result is exact.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import col
+from ..plans.schema import numeric_cells, numeric_columns
 
-_FAN = 32  # split points are searched in two steps of this width
+_FAN = 10  # split points are searched in three steps of this width
 
 
 def _split_points(df: DataFrame, by: Column, spread: Column) -> Column:
-    """Scalar subquery: up to _FAN*_FAN-1 values of ``by``, smallest hashes first."""
+    """Scalar subquery: up to 999 sorted values of ``by``, those of the smallest hashes.
+
+    The struct holds three lists of steps: hundreds, tens and single points.
+    """
+    last = _FAN ** 3 - 1
     sample = (
-        df.select(by.alias("v"), F.xxhash64(spread).alias("h"))
-        .orderBy("h", "v").limit(_FAN * _FAN - 1)
+        df.select(by.alias("v"), F.xxhash64(spread).alias("h")).orderBy("h", "v").limit(last)
         .agg(F.array_sort(F.collect_list("v")).alias("a"))
     )
-    fine = F.expr(f"transform(sequence(0, {_FAN - 1}), i -> slice(a, i * {_FAN} + 1, {_FAN}))")
-    coarse = F.expr(f"filter(transform(sequence(1, {_FAN - 1}), i -> get(a, i * {_FAN} - 1)), x -> x IS NOT NULL)")
-    return sample.select(F.struct(coarse.alias("coarse"), fine.alias("fine"))).scalar()
+
+    def every(step: int, of: str) -> str:
+        return f"transform(sequence(1, {_FAN - 1}), i -> get(a, {of} + i * {step} - 1))"
+
+    return sample.select(F.struct(
+        F.expr(every(_FAN ** 2, "0")).alias("hundreds"),
+        F.expr(f"transform(sequence(0, {_FAN - 1}), h -> {every(_FAN, f'h * {_FAN ** 2}')})").alias("tens"),
+        F.expr(f"transform(sequence(0, {_FAN ** 2 - 1}), t -> {every(1, f't * {_FAN}')})").alias("ones"),
+    )).scalar()
 
 
 def _with_bucket(df: DataFrame, by: Column, groups: list[str], used: list[str]) -> DataFrame:
@@ -41,12 +53,20 @@ def _with_bucket(df: DataFrame, by: Column, groups: list[str], used: list[str])
     made ``df`` is reused and not run again.
     """
     spread = F.struct(by, *[col(c) for c in groups + used])
+
+    def reached(points: str) -> Column:
+        # Written out, not as a lambda, so that it is compiled; a missing point compares as null.
+        return reduce(add, [
+            F.when(F.get(points, F.lit(i)) <= by, 1).otherwise(0) for i in range(_FAN - 1)
+        ])
+
+    # ``_bucket`` can never be null, or the optimizer would test it for null far below, on raw rows.
     out = df.withColumn("_splits", _split_points(df, by, spread))
-    out = out.withColumn("_coarse", F.size(F.filter("_splits.coarse", lambda x: x <= by)))
-    fine = F.filter(F.get(F.col("_splits.fine"), F.col("_coarse")), lambda x: x <= by)
-    # Never null, or the optimizer would test the bucket for null far below, on raw rows.
-    bucket = F.coalesce(F.col("_coarse") * _FAN + F.size(fine), F.lit(0))
-    return out.withColumn("_bucket", bucket).drop("_splits", "_coarse")
+    out = out.withColumn("_points", F.col("_splits.hundreds")).withColumn("_bucket", reached("_points"))
+    for finer in ("tens", "ones"):
+        out = out.withColumn("_points", F.get(f"_splits.{finer}", F.col("_bucket"))).withColumn(
+            "_bucket", F.col("_bucket") * _FAN + reached("_points"))
+    return out.drop("_splits", "_points")
 
 
 def running(df: DataFrame, groups: list[str], order_by: list[str],
@@ -58,7 +78,7 @@ def running(df: DataFrame, groups: list[str], order_by: list[str],
     negated column.  Sums include the current row.
     """
     sums, maxima = dict(sums or {}), dict(maxima or {})
-    clash = {"_bucket", "_splits", "_coarse"} & set(df.columns)
+    clash = {"_bucket", "_splits", "_points"} & set(df.columns)
     if clash:
         raise ValueError(f"reserved column names in use: {sorted(clash)}")
     order = [col(c) for c in order_by]
@@ -144,51 +164,54 @@ def _pick(placed: DataFrame, keys: list[Column], probs: Mapping[str, float]) ->
     return placed.groupBy(*keys).agg(*out)
 
 
-_SKETCH_ACCURACY = 10000
+_SKETCH_ACCURACY = 2000
 _MARGIN = 4.0 / _SKETCH_ACCURACY
 
 
-def column_quantiles(cells: DataFrame, probs: Mapping[str, float]) -> DataFrame:
-    """Exact quantiles per column of (column, value) cells.
+def column_quantiles(df: DataFrame, probs: Mapping[str, float], columns: Sequence[str] | None = None) -> DataFrame:
+    """Exact quantiles per numeric column: column and one value per name in ``probs``.
 
     Two passes and no shuffle of the data: a sketch brackets every quantile by
     two values, then one aggregate keeps distinct values only inside the
-    bracket (under a thousandth of the rows) and of the rest just the count
-    and the value next to it.  The sketch's rank error is a quarter of the
-    margin; should the wanted rank still lie further out the query fails rather
-    than answer wrongly.
+    brackets (under half a percent of the rows each) and of every gap between
+    them just the count and the two bordering values.  The sketch's rank error
+    is a quarter of the margin; should a wanted rank still lie inside a gap the
+    query fails rather than answer wrongly.
     """
     names = list(probs)
     points = [min(max(probs[n] + d, 0.0), 1.0) for n in names for d in (-_MARGIN, _MARGIN)]
-    sketch = cells.groupBy("column").agg(
-        F.count("value").alias("_size"),
-        F.percentile_approx("value", points, _SKETCH_ACCURACY).alias("_at"),
-    )
-    brackets = sketch.select(
-        F.col("column").alias("_column"), "_size",
-        F.inline(F.array(*[
-            F.struct(F.lit(i).alias("_q"), F.col("_at")[2 * i].alias("_lo"), F.col("_at")[2 * i + 1].alias("_hi"))
-            for i in range(len(names))
-        ])),
-    )
-    # One row per column and quantile: bounded by the schema, so broadcast.
-    near = cells.join(F.broadcast(brackets), F.col("column") == F.col("_column"))
-    value = F.col("value")
-    place = F.when(value < F.col("_lo"), float("-inf")).when(value > F.col("_hi"), float("inf")).otherwise(value)
-    counted = near.groupBy("column", "_q", "_size", place.alias("_o")).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("value").alias("_least"), F.max("value").alias("_most"))
-    ranked = running(counted, ["column", "_q"], ["_o"], sums={"_upto": F.col("_n")})
+    numeric = list(columns) if columns is not None else numeric_columns(df)
+    sketch = df.agg(*[
+        F.struct(
+            F.lit(c).alias("_column"), F.count(col(c)).alias("_size"),
+            F.percentile_approx(col(c).cast("double"), points, _SKETCH_ACCURACY).alias("_at"),
+        ).alias(f"_{i}") for i, c in enumerate(numeric)
+    ]).select(F.inline(F.array(*[f"_{i}" for i in range(len(numeric))]))).filter("_size > 0")
+    bounds = sketch.select("_column", "_size", *[
+        F.get("_at", F.lit(2 * i + side)).alias(f"_{end}{i}")
+        for i in range(len(names)) for side, end in enumerate(("lo", "hi"))
+    ])
+    # One row per column: bounded by the schema, so broadcast.
+    near = numeric_cells(df, numeric).join(F.broadcast(bounds), F.col("column") == F.col("_column"))
+    value, inside, gap = F.col("value"), F.lit(False), F.lit(0)
+    for i in range(len(names)):
+        inside = inside | ((value >= F.col(f"_lo{i}")) & (value <= F.col(f"_hi{i}")))
+        gap = gap + F.when(value > F.col(f"_hi{i}"), 1).otherwise(0)
+    counted = near.groupBy(
+        "column", "_size", F.when(inside, value).alias("_v"), F.when(~inside, gap).alias("_gap"),
+    ).agg(F.min("value").alias("_least"), F.max("value").alias("_most"), F.count(F.lit(1)).alias("_n"))
+    # (In this order ``running`` asks for them, so all its branches share one shuffle.)
+    ranked = running(counted, ["column"], ["_least", "_most"], sums={"_upto": F.col("_n")})
     out = []
-    for i, name in enumerate(names):
-        at = F.lit(float(probs[name])) * (F.col("_size") - 1)
+    for name, p in probs.items():
+        at = F.lit(float(p)) * (F.col("_size") - 1)
         low, high = F.floor(at), F.ceil(at)
-        before, mine = F.col("_upto") - F.col("_n"), F.col("_q") == i
+        before = F.col("_upto") - F.col("_n")
 
         def value_at(rank: Column) -> Column:
-            # In a bracket least and most are the same; outside, one of them borders on it.
-            found = F.when(F.col("_least") == F.col("_most"), F.col("_least")).when(
-                rank == F.col("_upto") - 1, F.col("_most")).when(rank == before, F.col("_least"))
-            hit = F.max(F.when(mine & (before <= rank) & (rank < F.col("_upto")), found))
+            found = F.when((F.col("_least") == F.col("_most")) | (rank == before), F.col("_least")).when(
+                rank == F.col("_upto") - 1, F.col("_most"))
+            hit = F.max(F.when((before <= rank) & (rank < F.col("_upto")), found))
             return F.when(hit.isNotNull(), hit).otherwise(
                 F.raise_error(F.lit("quantile fell outside its bracket")).cast("double"))
 

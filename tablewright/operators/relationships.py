@@ -81,46 +81,46 @@ def suggest_relationships(profiles: DataFrame) -> DataFrame:
     is_potential_key.  Equal names score 0.9, 0.95 when the primary's column is
     a potential key and 0.5 for common names; a primary ``_id``/key column with
     a similar ``_id`` column scores 0.6.  Ties go to the first name.
-    "Similar" is one name inside the other, found by an equi-join on
-    substrings, so no pair of columns is compared twice or in a cross product.
+    "Similar" is one name inside the other.  Names and their substrings become
+    tokens and meet in one equi-join, so there is no product of the columns.
     """
     cols = profiles.filter(F.length("name") > 0).select(
         "table_name", "role", "name", F.coalesce("is_potential_key", F.lit(False)).alias("is_key"),
         plain_name(F.col("name")).alias("plain"), F.lower("name").endswith("_id").alias("id_like"),
     )
+    one = F.array(F.struct(F.lit("same").alias("kind"), F.col("name").alias("token")))
+    plain = F.array(F.struct(F.lit("right inside left").alias("kind"), F.col("plain").alias("token")))
+
+    def pieces(kind: str) -> Column:
+        return F.transform(_inner_pieces(F.col("plain")), lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("token")))
+
+    none = F.array().cast("array<struct<kind:string,token:string>>")
+    inside_left, inside_right = "right inside left", "left inside right"
+    linkable = F.col("id_like") | F.col("is_key")
+    whole = F.transform(plain, lambda t: F.struct(F.lit(inside_right).alias("kind"), t["token"].alias("token")))
     p = cols.filter("role = 'primary'").select(
         F.col("table_name").alias("left_table"), F.col("name").alias("left_column"), "is_key",
-        F.col("plain").alias("left_plain"), F.col("id_like").alias("left_id"))
+        F.inline(F.concat(one, F.when(linkable, F.concat(pieces(inside_left), whole)).otherwise(none))))
     r = cols.filter("role <> 'primary'").select(
         F.col("table_name").alias("right_table"), F.col("name").alias("right_column"),
-        F.col("plain").alias("right_plain"), F.col("id_like").alias("right_id"))
+        F.inline(F.concat(one, F.when(F.col("id_like"), F.concat(plain, pieces(inside_right))).otherwise(none))))
 
+    met = p.join(r, ["kind", "token"])
+    same = F.col("left_column") == F.col("right_column")
     common = F.lower("left_column").isin(_COMMON_NAMES)
     quote = F.concat(F.lit("'"), F.col("left_column"), F.lit("'"))
-    exact = p.join(r, F.col("left_column") == F.col("right_column")).select(
+    scored = met.filter((F.col("kind") == "same") | ~same).select(
         "left_table", "right_table", "left_column", "right_column",
-        F.when(common, F.lit(0.5)).when(F.col("is_key"), F.lit(0.95)).otherwise(F.lit(0.9)).alias("confidence"),
-        F.when(common, F.concat(F.lit("Common column name match: "), quote, F.lit(" (may be coincidental)")))
+        F.when(~same, F.lit(0.6)).when(common, F.lit(0.5)).when(F.col("is_key"), F.lit(0.95))
+        .otherwise(F.lit(0.9)).alias("confidence"),
+        F.when(~same, F.concat(F.lit("ID pattern match: "), quote, F.lit(" ↔ '"), F.col("right_column"), F.lit("'")))
+        .when(common, F.concat(F.lit("Common column name match: "), quote, F.lit(" (may be coincidental)")))
         .when(F.col("is_key"), F.concat(F.lit("Primary key match: "), quote))
         .otherwise(F.concat(F.lit("Exact column name match: "), quote)).alias("reason"),
     )
-    lp = p.filter("left_id OR is_key")
-    rp = r.filter("right_id")
-    shape = ["left_table", "right_table", "left_column", "right_column"]
-    inside_left = lp.withColumn("piece", F.explode(_inner_pieces(F.col("left_plain")))).join(
-        rp, F.col("piece") == F.col("right_plain")).select(*shape)
-    inside_right = rp.withColumn("piece", F.explode(_inner_pieces(F.col("right_plain")))).join(
-        lp, F.col("piece") == F.col("left_plain")).select(*shape)
-    similar = inside_left.union(inside_right).distinct().filter("left_column <> right_column").select(
-        *shape, F.lit(0.6).alias("confidence"),
-        F.concat(F.lit("ID pattern match: '"), F.col("left_column"), F.lit("' ↔ '"), F.col("right_column"),
-                 F.lit("'")).alias("reason"),
-    )
     best = Window.partitionBy("left_table", "right_table").orderBy(
         F.col("confidence").desc(), "left_column", "right_column")
-    return (
-        exact.union(similar).withColumn("_rank", F.row_number().over(best)).filter("_rank = 1").drop("_rank")
-    )
+    return scored.withColumn("_rank", F.row_number().over(best)).filter("_rank = 1").drop("_rank")
 
 
 def measure_suggestions(suggestions: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame:

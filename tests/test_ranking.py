@@ -4,7 +4,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewright.operators.ranking import column_quantiles, dense_index, group_quantiles, running
-from tablewright.plans.schema import numeric_cells
 
 
 @pytest.fixture(scope="module")
@@ -64,7 +63,7 @@ def test_column_quantiles(skewed, spark):
     df, pdf = skewed
     one = df.withColumn("same", F.lit(3.0)).withColumn("none", F.lit(None).cast("double"))
     got = {r.column: r for r in column_quantiles(
-        numeric_cells(one), {"low": 0.0, "q": 0.25, "m": 0.5, "p": 0.777, "top": 1.0}).collect()}
+        one, {"low": 0.0, "q": 0.25, "m": 0.5, "p": 0.777, "top": 1.0}).collect()}
     assert "none" not in got and (got["same"].q, got["same"].top) == (3.0, 3.0)
     for c in ("i", "v"):
         want = np.nanpercentile(pdf[c].astype(float), [0, 25, 50, 77.7, 100])
@@ -74,6 +73,6 @@ def test_column_quantiles(skewed, spark):
 def test_quantiles_survive_repartitioning(skewed):
     df, _ = skewed
     probs = {"q": 0.25, "m": 0.5}
-    a = column_quantiles(numeric_cells(df.repartition(1)), probs).collect()
-    b = column_quantiles(numeric_cells(df.repartition(13, "v")), probs).collect()
+    a = column_quantiles(df.repartition(1), probs).collect()
+    b = column_quantiles(df.repartition(13, "v"), probs).collect()
     assert sorted(a) == sorted(b)
