@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from ..operators import logs
 from ..operators import registry as reg
-from ..sources.readers import list_artifacts
 from .base import LINES_SQL, REPORT_SQL, log_lines, query, r, report, table, ts
 
 # Events as activities, models, versions and jobs.
@@ -111,12 +110,6 @@ def training(spark, sf):
     return reg.detect_training_results(rows, best)
 
 
-@query("r7_artifacts")
-def artifacts(spark, sf):
-    """Sizes depend on the files, so there is no SQL twin."""
-    return list_artifacts(spark, sf).select("artifact_name", "file_size_bytes")
-
-
 @query("r8_jobs_by_status", f"""
 SELECT id, pipeline_name, {ts('created_at')} AS created_at FROM {_JOB_SQL} t WHERE status = 'failed' ORDER BY t.created_at DESC, id DESC LIMIT 50""")
 def jobs(spark, sf):

@@ -34,6 +34,7 @@ AGG_FUNCTIONS: dict[str, AggFunction] = {
     "sum": AggFunction("sum", lambda c, _: F.coalesce(F.sum(c), F.lit(0)), numeric_only=True),
     "mean": AggFunction("mean", lambda c, _: F.avg(c), numeric_only=True),
     "median": AggFunction("median", numeric_only=True, apart="median"),
+    "approx_median": AggFunction("approx_median", lambda c, _: F.percentile_approx(c, 0.5), numeric_only=True),
     "max": AggFunction("max", lambda c, _: F.max(c)),
     "min": AggFunction("min", lambda c, _: F.min(c)),
     "count": AggFunction("count", lambda c, _: F.count(c)),

@@ -32,8 +32,16 @@ def _column_rows(df: DataFrame) -> DataFrame:
     ])
 
 
-def column_counts(df: DataFrame) -> DataFrame:
-    """Per column: rows, nulls, distinct present values."""
+def column_counts(df: DataFrame, approx: bool = False) -> DataFrame:
+    """Per column: rows, nulls, distinct present values.
+
+    Exact distinct counts shuffle every distinct cell once; ``approx`` counts
+    them by sketch and shuffles one row per task.
+    """
+    if approx:
+        return text_cells(df).groupBy("column").agg(
+            F.count(F.lit(1)).alias("row_count"), F.count_if(F.col("value").isNull()).alias("null_count"),
+            F.approx_count_distinct("value", 0.01).alias("unique_count"))
     return _value_counts(df, df.columns).groupBy("column").agg(
         F.sum("n").alias("row_count"),
         F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("null_count"),
@@ -41,21 +49,27 @@ def column_counts(df: DataFrame) -> DataFrame:
     )
 
 
-def introspect(df: DataFrame, order_by: Sequence[str] | None = None, sample_size: int = 0) -> DataFrame:
+def introspect(df: DataFrame, order_by: Sequence[str] | None = None, sample_size: int = 0,
+               approx: bool = False) -> DataFrame:
     """Column metadata: types, nulls, distinct values, whether it could be a key.
 
+    With ``approx`` the distinct counts are estimates (1 %), and so is the key
+    flag: a column within 3 % of the row count could be a key.
+
     With ``sample_size`` the first present values by ``order_by`` are added as
     JSON texts, and text columns whose first 20 values are all dates show DATE.
     """
     columns = _column_rows(df)
-    out = columns.join(column_counts(df), F.col("name") == F.col("column"), "left").select(
+    unique, rows = F.coalesce("unique_count", F.lit(0)), F.coalesce("row_count", F.lit(0))
+    could_be_key = unique >= rows * 0.97 if approx else unique == rows
+    out = columns.join(column_counts(df, approx), F.col("name") == F.col("column"), "left").select(
         "position", "name", "dtype", "display_type",
         (F.coalesce("null_count", F.lit(0)) > 0).alias("nullable"),
         F.coalesce("unique_count", F.lit(0)).alias("unique_count"),
         F.coalesce("null_count", F.lit(0)).alias("null_count"),
         F.coalesce(F.round(F.try_divide(F.col("null_count") * 100.0, F.col("row_count")), 2), F.lit(0.0))
         .alias("null_percentage"),
-        (F.coalesce("unique_count", F.lit(0)) == F.coalesce("row_count", F.lit(0))).alias("is_potential_key"),
+        could_be_key.alias("is_potential_key"),
     )
     if not sample_size:
         return out
@@ -162,11 +176,14 @@ def moments(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     )
 
 
-def numeric_statistics(df: DataFrame) -> DataFrame:
-    """Count, mean, median, std, min, max, quartiles and missing per numeric column."""
+def numeric_statistics(df: DataFrame, approx: bool = False) -> DataFrame:
+    """Count, mean, median, std, min, max, quartiles and missing per numeric column.
+
+    ``approx`` takes the quantiles from a sketch.
+    """
     names = numeric_columns(df)
     rows = df.agg(F.count(F.lit(1)).alias("n"))
-    quantiles = column_quantiles(df, QUARTILES, names)
+    quantiles = column_quantiles(df, QUARTILES, names, approx)
     base = _column_rows(df).filter("kind = 'numeric'").select(F.col("name").alias("column"))
     out = base.join(moments(df, names), "column", "left").join(quantiles, "column", "left")
     return out.select(

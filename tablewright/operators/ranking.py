@@ -168,7 +168,8 @@ _SKETCH_ACCURACY = 2000
 _MARGIN = 4.0 / _SKETCH_ACCURACY
 
 
-def column_quantiles(df: DataFrame, probs: Mapping[str, float], columns: Sequence[str] | None = None) -> DataFrame:
+def column_quantiles(df: DataFrame, probs: Mapping[str, float], columns: Sequence[str] | None = None,
+                     approx: bool = False) -> DataFrame:
     """Exact quantiles per numeric column: column and one value per name in ``probs``.
 
     Two passes and no shuffle of the data: a sketch brackets every quantile by
@@ -176,9 +177,19 @@ def column_quantiles(df: DataFrame, probs: Mapping[str, float], columns: Sequenc
     brackets (under half a percent of the rows each) and of every gap between
     them just the count and the two bordering values.  The sketch's rank error
     is a quarter of the margin; should a wanted rank still lie inside a gap the
-    query fails rather than answer wrongly.
+    query fails rather than answer wrongly.  ``approx`` stops after a sketch of
+    the quantiles themselves: one pass, not interpolated.
     """
     names = list(probs)
+    if approx:
+        numeric = list(columns) if columns is not None else numeric_columns(df)
+        return df.agg(*[
+            F.percentile_approx(col(c).cast("double"), list(probs.values()), 10 * _SKETCH_ACCURACY).alias(f"_{i}")
+            for i, c in enumerate(numeric)
+        ]).select(F.inline(F.array(*[
+            F.struct(F.lit(c).alias("column"), *[F.get(f"_{i}", F.lit(j)).alias(n) for j, n in enumerate(names)])
+            for i, c in enumerate(numeric)
+        ]))).filter(col(names[0]).isNotNull())
     points = [min(max(probs[n] + d, 0.0), 1.0) for n in names for d in (-_MARGIN, _MARGIN)]
     numeric = list(columns) if columns is not None else numeric_columns(df)
     sketch = df.agg(*[

@@ -13,9 +13,9 @@ from tests.oracle import data_folder
 
 FOLDER = data_folder("0.001")
 PYTHON = re.compile(r"ArrowEvalPython|BatchEvalPython|MapInPandas|MapInArrow|PythonMapInArrow|FlatMapGroups")
-# Where Python is allowed: normal scores, tails, matrix partials and k*k matrices.
-MAY_USE_PYTHON = {"q7_shapiro_wilk", "q7_normality_moments", "c2_enhanced_correlations", "c2_p_values", "c3_wide_matrix",
-                  "c4_correlation_pairs", "c9_vif_exact", "c11_feature_clusters", "q12_complete_profile"}
+# Where Python is allowed: normal scores, p values, matrix partials and k*k matrices.
+MAY_USE_PYTHON = {"q7_shapiro_wilk", "q7_normality_moments", "q12_complete_profile", "o4_top_by_magnitude",
+                  "e12_feature_interactions", *(n for n in queries() if re.match(r"c\d", n))}
 # Fitting and streaming run while the frame is built.
 EAGER = ("m14_", "t1_", "t3_streamed", "t4_", "t5_", "t6_", "m1_")
 

@@ -9,7 +9,7 @@ from tablewright.operators.distribution import (
     categorical_distributions, distributions, histograms, normality, outlier_rows, outliers, shapiro_wilk,
 )
 from tablewright.operators.profile import (
-    categorical_statistics, dataset_info, missing_values, numeric_statistics, phase_one, quality_checks, quality_report,
+    categorical_statistics, dataset_info, introspect, missing_values, numeric_statistics, phase_one, quality_checks, quality_report,
     summary,
 )
 
@@ -40,6 +40,15 @@ def test_all_null_and_empty(spark):
     assert summary(empty).first().total_rows == 0 and dataset_info(empty).first().duplicates == 0
 
 
+def test_approximate_forms(spark):
+    df = spark.range(5000).select(F.col("id"), (F.col("id") % 40).cast("double").alias("v"), F.lit(None).cast("string").alias("t"))
+    rows = {r.name: r for r in introspect(df, approx=True).collect()}
+    assert rows["id"].is_potential_key and not rows["v"].is_potential_key and rows["t"].null_count == 5000
+    assert abs(rows["v"].unique_count - 40) <= 2
+    exact, approx = ({r.column: r for r in numeric_statistics(df, approx=a).collect()} for a in (False, True))
+    assert abs(exact["id"].median - approx["id"].median) <= 2 and approx["v"].q25 == 9.0
+
+
 def test_quality(small):
     row = quality_report(small).first()
     assert (row.completeness, row.uniqueness, row.overall_quality_score) == (85.0, 80.0, 82.5)
