@@ -67,6 +67,11 @@ def r(expression: str, digits: int = 4) -> str:
     return f"(round({expression} + {_NUDGE * 10.0 ** -digits!r}::DOUBLE, {digits}) + 0.0)"
 
 
+def own(expression: str, digits: int) -> str:
+    """SQL: for a value the operator itself rounds."""
+    return f"(round({expression}, {digits}) + 0.0)"
+
+
 def ts(expression: str) -> str:
     """SQL: a timestamp as text."""
     return f"strftime({expression}, '%Y-%m-%d %H:%M:%S')"

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as e
-from .base import REPORT_SQL, SCORED_SQL, query, r, report, scored, table
+from .base import REPORT_SQL, SCORED_SQL, own, query, r, report, scored, table
 
 _S = SCORED_SQL
 _COUNTS = f"(SELECT score, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label = 0) AS neg FROM {_S} GROUP BY score)"
@@ -156,7 +156,7 @@ def optimal(spark, sf):
 
 
 @query("e10_learning_gap", f"""
-SELECT "Algorithm" AS algorithm, {r('"Train_Score"', 6)} AS train_accuracy, {r('"Test_Score"', 6)} AS test_accuracy, {r('abs("Train_Score" - "Test_Score")', 6)} AS overfitting_ratio,
+SELECT "Algorithm" AS algorithm, {own('"Train_Score"', 6)} AS train_accuracy, {own('"Test_Score"', 6)} AS test_accuracy, {own('abs("Train_Score" - "Test_Score")', 6)} AS overfitting_ratio,
   CASE WHEN abs("Train_Score" - "Test_Score") < 0.03 THEN 'acceptable' WHEN abs("Train_Score" - "Test_Score") < 0.08 THEN 'moderate' ELSE 'overfitting' END AS status FROM {REPORT_SQL}""", digits=6)
 def gap(spark, sf):
     return e.learning_gap(report(spark, sf))
@@ -177,18 +177,18 @@ def _importances(spark, sf):
 
 
 @query("e11_feature_importance", " UNION ALL ".join(f"""
-SELECT '{c}' AS name, {r(f'stddev_samp({c}) / (stddev_samp(l_quantity) + stddev_samp(l_extendedprice) + stddev_samp(l_discount) + stddev_samp(l_tax)) * 100', 2)} AS importance_percent,
-  {r(f'corr({c}, y)')} AS correlation_with_target, CASE WHEN abs(corr({c}, y)) > 0.5 THEN 'strong' WHEN abs(corr({c}, y)) > 0.3 THEN 'moderate'
+SELECT '{c}' AS name, {own(f'stddev_samp({c}) / (stddev_samp(l_quantity) + stddev_samp(l_extendedprice) + stddev_samp(l_discount) + stddev_samp(l_tax)) * 100', 2)} AS importance_percent,
+  {own(f'corr({c}, y)', 4)} AS correlation_with_target, CASE WHEN abs(corr({c}, y)) > 0.5 THEN 'strong' WHEN abs(corr({c}, y)) > 0.3 THEN 'moderate'
   WHEN abs(corr({c}, y)) > 0.1 THEN 'weak' ELSE 'negligible' END AS correlation_strength FROM {_LABELED}""" for c in _FEATURES))
 def importance(spark, sf):
     return e.feature_importance(_importances(spark, sf), _labeled(spark, sf), _FEATURES, "y")
 
 
 @query("e12_feature_interactions", f"""
-SELECT 'l_extendedprice' AS feature1, 'net' AS feature2, {r('abs(corr(l_extendedprice, net))')} AS interaction_strength, 'positive' AS interaction_direction
+SELECT 'l_extendedprice' AS feature1, 'net' AS feature2, {own('abs(corr(l_extendedprice, net))', 4)} AS interaction_strength, 'positive' AS interaction_direction
 FROM (SELECT *, l_extendedprice * (1 - l_discount) AS net FROM lineitem) UNION ALL
-SELECT 'l_quantity', 'mirrored', {r('abs(corr(l_quantity, -2 * l_quantity + l_tax))')}, 'negative' FROM lineitem UNION ALL
-SELECT 'l_discount', 'net', {r('abs(corr(l_discount, net))')}, 'negative' FROM (SELECT *, l_extendedprice * (1 - l_discount) AS net FROM lineitem)
+SELECT 'l_quantity', 'mirrored', {own('abs(corr(l_quantity, -2 * l_quantity + l_tax))', 4)}, 'negative' FROM lineitem UNION ALL
+SELECT 'l_discount', 'net', {own('abs(corr(l_discount, net))', 4)}, 'negative' FROM (SELECT *, l_extendedprice * (1 - l_discount) AS net FROM lineitem)
   HAVING abs(corr(l_discount, net)) > 0.05""")
 def interactions(spark, sf):
     rows = table(spark, sf, "lineitem").selectExpr(

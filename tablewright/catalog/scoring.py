@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import monitoring as mon
 from ..operators import scoring as s
 from ..operators.projection import page_info, validate_rows
-from .base import LOG_SQL, ORDERS_WITH_HOLES, REPORT_SQL, orders_with_holes, prediction_log, query, r, report, table, ts
+from .base import LOG_SQL, ORDERS_WITH_HOLES, REPORT_SQL, orders_with_holes, own, prediction_log, query, r, report, table, ts
 
 
 @query("m1_fitted_pipeline", f"""
@@ -46,7 +46,7 @@ def _batch(spark, sf):
 
 @query("m4_batch_scoring", f"""
 SELECT o_orderkey, CASE WHEN p >= 0.5 THEN 1 ELSE 0 END AS prediction_class, CASE WHEN p >= 0.5 THEN '>50K' ELSE '<=50K' END AS prediction,
-  {r('p')} AS probability_positive, {r('1 - p')} AS probability_negative, {r('CASE WHEN p >= 0.5 THEN p ELSE 1 - p END')} AS confidence,
+  {own('p', 4)} AS probability_positive, {own('1 - p', 4)} AS probability_negative, {own('CASE WHEN p >= 0.5 THEN p ELSE 1 - p END', 4)} AS confidence,
   CASE WHEN greatest(p, 1 - p) >= 0.85 THEN 'high' WHEN greatest(p, 1 - p) >= 0.65 THEN 'moderate' ELSE 'low' END AS confidence_label
 FROM (SELECT o_orderkey, {_P} AS p FROM orders)""")
 def batch(spark, sf):
@@ -79,7 +79,7 @@ def explanations(spark, sf):
 
 
 @query("m7_batch_summary", f"""
-SELECT count(*) FILTER (WHERE p >= 0.5) AS positive, count(*) FILTER (WHERE p < 0.5) AS negative, {r('avg(p)')} AS average_confidence,
+SELECT count(*) FILTER (WHERE p >= 0.5) AS positive, count(*) FILTER (WHERE p < 0.5) AS negative, {own('avg(p)', 4)} AS average_confidence,
   count(*) FILTER (WHERE abs(p - 0.5) > 0.3) AS high_confidence, count(*) FILTER (WHERE abs(p - 0.5) <= 0.3) AS low_confidence, count(*) AS total
 FROM (SELECT {_P} AS p FROM orders)""")
 def batch_summary(spark, sf):
@@ -129,7 +129,7 @@ def classes(spark, sf):
 
 
 @query("m10_hourly_trend", f"""
-SELECT h AS hour, count(id) AS predictions, coalesce({r('avg(probability)', 3)}, 0.0) AS avg_confidence
+SELECT h AS hour, count(id) AS predictions, coalesce({own('avg(probability)', 3)}, 0.0) AS avg_confidence
 FROM range(24) t(h) LEFT JOIN {LOG_SQL} ON hour(ts) = h AND NOT failed GROUP BY h""")
 def trend(spark, sf):
     return mon.hourly_trend(prediction_log(spark, sf))
@@ -160,7 +160,7 @@ def alerts(spark, sf):
 SELECT regexp_replace(replace(lower("Algorithm"), ' ', ''), '[()]', '', 'g') AS id, "Algorithm" AS algorithm, accuracy, rank,
   CASE WHEN rank = 1 THEN 'active' ELSE 'available' END AS status
 FROM (SELECT "Algorithm", accuracy, row_number() OVER (ORDER BY accuracy DESC, "Algorithm") AS rank FROM (
-  SELECT "Algorithm", {r('CASE WHEN "Test_Score" * 2 > 1 THEN "Test_Score" * 2 / 100 ELSE "Test_Score" * 2 END')} AS accuracy FROM {REPORT_SQL}))""")
+  SELECT "Algorithm", {own('CASE WHEN "Test_Score" * 2 > 1 THEN "Test_Score" * 2 / 100 ELSE "Test_Score" * 2 END', 4)} AS accuracy FROM {REPORT_SQL}))""")
 def deployed(spark, sf):
     return mon.deployed_models(report(spark, sf).withColumn("Test_Score", F.col("Test_Score") * 2))
 
