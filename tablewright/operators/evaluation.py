@@ -79,18 +79,17 @@ def metrics(cm: DataFrame) -> DataFrame:
 
 
 def _cumulated(counts: DataFrame) -> DataFrame:
-    """Counts with tp and fp at or above each score and the 1-based place from the top."""
+    """Counts with tp and fp at or above each score and the 1-based place from the top.
+
+    all_pos, all_neg and scores hold the totals.
+    """
     return running(
         counts.withColumn("down", -F.col("score")), [], ["down"],
         sums={"tp": F.col("pos"), "fp": F.col("neg"), "place": F.lit(1).cast("bigint")},
+        totals_of={"all_pos": "tp", "all_neg": "fp", "scores": "place"},
     ).drop("down")
 
 
-def _totals(counts: DataFrame) -> Column:
-    return counts.agg(F.struct(
-        F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.count(F.lit(1)).alias("k")).alias("t")).scalar()
-
-
 def auc_and_ap(counts: DataFrame) -> DataFrame:
     """One row: ROC AUC (ties count half; 0 without both classes) and average precision."""
     tp, fp, pos, neg = (F.col(c).cast("double") for c in ("tp", "fp", "pos", "neg"))
@@ -116,7 +115,7 @@ def roc_curve(counts: DataFrame, drop_intermediate: bool = False) -> DataFrame:
     ``drop_intermediate`` leaves out points on a straight line between their
     neighbours, found by joining each point with the next position.
     """
-    points = _cumulated(counts).withColumn("_t", _totals(counts))
+    points = _cumulated(counts)
     if drop_intermediate:
         following = points.select((F.col("place") - 1).alias("_p"), F.col("pos").alias("_pos"), F.col("neg").alias("_neg"))
         points = points.join(following, F.col("place") == F.col("_p"), "left").filter(
@@ -124,8 +123,8 @@ def roc_curve(counts: DataFrame, drop_intermediate: bool = False) -> DataFrame:
             | (F.col("pos") != F.col("_pos")) | (F.col("neg") != F.col("_neg"))
         ).drop("_p", "_pos", "_neg")
     curve = points.select(
-        F.col("place").alias("position"), share(F.col("fp"), F.col("_t.n")).alias("fpr"),
-        share(F.col("tp"), F.col("_t.p")).alias("tpr"), F.col("score").alias("threshold"))
+        F.col("place").alias("position"), share(F.col("fp"), F.col("all_neg")).alias("fpr"),
+        share(F.col("tp"), F.col("all_pos")).alias("tpr"), F.col("score").alias("threshold"))
     start = counts.sparkSession.range(0, 1, 1, 1).select(
         F.lit(0).cast("bigint").alias("position"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"),
         F.lit(None).cast("double").alias("threshold"))
@@ -134,10 +133,10 @@ def roc_curve(counts: DataFrame, drop_intermediate: bool = False) -> DataFrame:
 
 def pr_curve(counts: DataFrame) -> DataFrame:
     """Precision-recall points by rising threshold, closed by (recall 0, precision 1)."""
-    points = _cumulated(counts).withColumn("_t", _totals(counts))
+    points = _cumulated(counts)
     curve = points.select(
-        (F.col("_t.k") - F.col("place")).alias("position"),
-        ratio(F.col("tp"), F.col("_t.p")).alias("recall"),
+        (F.col("scores") - F.col("place")).alias("position"),
+        ratio(F.col("tp"), F.col("all_pos")).alias("recall"),
         share(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), F.col("score").alias("threshold"))
     last = counts.agg(F.count(F.lit(1)).alias("position")).select(
         "position", F.lit(0.0).alias("recall"), F.lit(1.0).alias("precision"),

@@ -71,13 +71,16 @@ def _with_bucket(df: DataFrame, by: Column, groups: list[str], used: list[str])
 
 def running(df: DataFrame, groups: list[str], order_by: list[str],
             sums: Mapping[str, Column] | None = None,
-            maxima: Mapping[str, Column] | None = None) -> DataFrame:
+            maxima: Mapping[str, Column] | None = None,
+            totals_of: Mapping[str, str] | None = None) -> DataFrame:
     """``df`` plus running sums and maxima, in ascending ``order_by`` within ``groups``.
 
     ``order_by`` has to be unique within a group.  Order descending by a
-    negated column.  Sums include the current row.
+    negated column.  Sums include the current row.  ``totals_of`` adds the
+    group's total of a sum under a new name; it comes with the bucket totals
+    and costs nothing more.
     """
-    sums, maxima = dict(sums or {}), dict(maxima or {})
+    sums, maxima, totals_of = dict(sums or {}), dict(maxima or {}), dict(totals_of or {})
     clash = {"_bucket", "_splits", "_points"} & set(df.columns)
     if clash:
         raise ValueError(f"reserved column names in use: {sorted(clash)}")
@@ -97,7 +100,9 @@ def running(df: DataFrame, groups: list[str], order_by: list[str],
         Window.partitionBy(*[col(g) for g in groups]).orderBy("_bucket")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
+    whole = Window.partitionBy(*[col(g) for g in groups])
     before = totals.select(
+        *[F.sum(f"_tot_{n}").over(whole).alias(f"_all_{out}") for out, n in totals_of.items()],
         *[col(g).alias(f"_g{i}") for i, g in enumerate(groups)],
         F.col("_bucket").alias("_b"),
         *[F.coalesce(F.sum(f"_tot_{n}").over(earlier), F.lit(0)).alias(f"_pre_{n}") for n in sums],
@@ -115,6 +120,7 @@ def running(df: DataFrame, groups: list[str], order_by: list[str],
         *[col(c) for c in df.columns],
         *[(F.sum(f"_in_{n}").over(inside) + F.col(f"_pre_{n}")).alias(n) for n in sums],
         *[F.greatest(F.max(f"_in_{n}").over(inside), F.col(f"_pre_{n}")).alias(n) for n in maxima],
+        *[F.col(f"_all_{out}").alias(out) for out in totals_of],
     )
 
 
@@ -137,13 +143,7 @@ def group_quantiles(df: DataFrame, groups: list[str], value: str,
         .groupBy(*[col(g) for g in groups], col(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    ranked = running(counted, groups, ["_v"], sums={"_upto": F.col("_n")})
-    sizes = counted.groupBy(*[col(g).alias(f"_k{i}") for i, g in enumerate(groups)]).agg(
-        F.sum("_n").alias("_size"))
-    match = F.lit(True)
-    for i, g in enumerate(groups):
-        match = match & col(g).eqNullSafe(F.col(f"_k{i}"))
-    placed = ranked.join(sizes, match, "inner")
+    placed = running(counted, groups, ["_v"], sums={"_upto": F.col("_n")}, totals_of={"_size": "_upto"})
     return _pick(placed, [col(g).alias(g) for g in groups], probs)
 
 
@@ -172,8 +172,10 @@ def column_quantiles(df: DataFrame, probs: Mapping[str, float], columns: Sequenc
                      approx: bool = False) -> DataFrame:
     """Exact quantiles per numeric column: column and one value per name in ``probs``.
 
-    Two passes and no shuffle of the data: a sketch brackets every quantile by
-    two values, then one aggregate keeps distinct values only inside the
+    Two passes and no shuffle of the data: sketches bracket every quantile by
+    two values (one sketch per 256th of the tasks, so no task merges them all;
+    a quantile of the whole lies between the least and greatest of the parts),
+    then one aggregate keeps distinct values only inside the
     brackets (under half a percent of the rows each) and of every gap between
     them just the count and the two bordering values.  The sketch's rank error
     is a quarter of the margin; should a wanted rank still lie inside a gap the
@@ -192,16 +194,17 @@ def column_quantiles(df: DataFrame, probs: Mapping[str, float], columns: Sequenc
         ]))).filter(col(names[0]).isNotNull())
     points = [min(max(probs[n] + d, 0.0), 1.0) for n in names for d in (-_MARGIN, _MARGIN)]
     numeric = list(columns) if columns is not None else numeric_columns(df)
-    sketch = df.agg(*[
+    sketches = df.groupBy((F.spark_partition_id() % 256).alias("_part")).agg(*[
         F.struct(
-            F.lit(c).alias("_column"), F.count(col(c)).alias("_size"),
+            F.lit(c).alias("_column"), F.count(col(c)).alias("_count"),
             F.percentile_approx(col(c).cast("double"), points, _SKETCH_ACCURACY).alias("_at"),
         ).alias(f"_{i}") for i, c in enumerate(numeric)
-    ]).select(F.inline(F.array(*[f"_{i}" for i in range(len(numeric))]))).filter("_size > 0")
-    bounds = sketch.select("_column", "_size", *[
-        F.get("_at", F.lit(2 * i + side)).alias(f"_{end}{i}")
-        for i in range(len(names)) for side, end in enumerate(("lo", "hi"))
-    ])
+    ]).select(F.inline(F.array(*[f"_{i}" for i in range(len(numeric))])))
+    bounds = sketches.groupBy("_column").agg(
+        F.sum("_count").alias("_size"),
+        *[F.min(F.get("_at", F.lit(2 * i))).alias(f"_lo{i}") for i in range(len(names))],
+        *[F.max(F.get("_at", F.lit(2 * i + 1))).alias(f"_hi{i}") for i in range(len(names))],
+    ).filter("_size > 0")
     # One row per column: bounded by the schema, so broadcast.
     near = numeric_cells(df, numeric).join(F.broadcast(bounds), F.col("column") == F.col("_column"))
     value, inside, gap = F.col("value"), F.lit(False), F.lit(0)

@@ -51,11 +51,11 @@ def version_history(log: DataFrame, model: str = "model_id", time: Sequence[str]
     running maximum work in buckets of a model, see ``running``.
     """
     rows = log.select("*", F.unix_micros(col(time[0]).cast("timestamp")).alias("_time"))
-    rows = running(rows, [model], list(time), sums={"version_number": F.lit(1).cast("bigint")}, maxima={
+    rows = running(rows, [model], list(time), sums={"version_number": F.lit(1).cast("bigint")},
+                   totals_of={"_versions": "version_number"}, maxima={
         "_best": F.when(col(metric).isNotNull(), F.struct(
             col(metric).alias("metric"), (-F.col("_time")).alias("early"), col(algorithm).alias("algorithm")))})
-    last = log.groupBy(col(model).alias("_m")).agg(F.count(F.lit(1)).alias("_versions"))
-    return rows.join(last, col(model).eqNullSafe(F.col("_m"))).select(
+    return rows.select(
         *[col(c) for c in log.columns], "version_number",
         F.concat(F.lit("v"), F.col("version_number").cast("string"), F.lit(".0")).alias("version"),
         (F.col("version_number") == F.col("_versions")).alias("is_current"),
