@@ -12,13 +12,11 @@ spread over some 330 tasks.  The result is exact.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
-from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import col
+from ..functions.columns import col, quoted
 from ..plans.schema import numeric_cells, numeric_columns
 
 _FAN = 10  # split points are searched in three steps of this width
@@ -45,28 +43,33 @@ def _split_points(df: DataFrame, by: Column, spread: Column) -> Column:
     )).scalar()
 
 
-def _with_bucket(df: DataFrame, by: Column, groups: list[str], used: list[str]) -> DataFrame:
+def _with_bucket(df: DataFrame, order_by: Sequence[str], groups: Sequence[str], used: Sequence[str]) -> DataFrame:
     """Add ``_bucket``: how many split points are at or below the row's order value.
 
     Rows are drawn by a hash of everything ``running`` uses, which also keeps
     the sample's plan equal to the other branches', so that the shuffle that
     made ``df`` is reused and not run again.
     """
-    spread = F.struct(by, *[col(c) for c in groups + used])
+    names = [quoted(c) for c in order_by]
+    by = names[0] if len(names) == 1 else f"struct({', '.join(names)})"
+    spread = F.struct(*[col(c) for c in [*order_by, *groups, *used]])
 
-    def reached(points: str) -> Column:
+    def reached(points: str) -> str:
         # Written out, not as a lambda, so that it is compiled; a missing point compares as null.
-        return reduce(add, [
-            F.when(F.get(points, F.lit(i)) <= by, 1).otherwise(0) for i in range(_FAN - 1)
-        ])
+        return " + ".join(f"CASE WHEN get({points}, {i}) <= {by} THEN 1 ELSE 0 END" for i in range(_FAN - 1))
 
     # ``_bucket`` can never be null, or the optimizer would test it for null far below, on raw rows.
-    out = df.withColumn("_splits", _split_points(df, by, spread))
-    out = out.withColumn("_points", F.col("_splits.hundreds")).withColumn("_bucket", reached("_points"))
-    for finer in ("tens", "ones"):
-        out = out.withColumn("_points", F.get(f"_splits.{finer}", F.col("_bucket"))).withColumn(
-            "_bucket", F.col("_bucket") * _FAN + reached("_points"))
-    return out.drop("_splits", "_points")
+    out = df.withColumn("_splits", _split_points(df, F.expr(by), spread))
+    out = out.selectExpr("*", f"{reached('_splits.hundreds')} AS _hundreds")
+    out = out.selectExpr("*", "get(_splits.tens, _hundreds) AS _points")
+    out = out.selectExpr("*", f"_hundreds * {_FAN} + {reached('_points')} AS _tens")
+    out = out.selectExpr("*", "get(_splits.ones, _tens) AS _last")
+    out = out.selectExpr("*", f"_tens * {_FAN} + {reached('_last')} AS _bucket")
+    return out.drop(*_RESERVED[1:])
+
+
+# Columns that exist only inside this module.
+_RESERVED = ["_bucket", "_splits", "_hundreds", "_points", "_tens", "_last"]
 
 
 def running(df: DataFrame, groups: list[str], order_by: list[str],
@@ -81,15 +84,12 @@ def running(df: DataFrame, groups: list[str], order_by: list[str],
     and costs nothing more.
     """
     sums, maxima, totals_of = dict(sums or {}), dict(maxima or {}), dict(totals_of or {})
-    clash = {"_bucket", "_splits", "_points"} & set(df.columns)
+    clash = set(_RESERVED) & set(df.columns)
     if clash:
         raise ValueError(f"reserved column names in use: {sorted(clash)}")
     order = [col(c) for c in order_by]
-    by = order[0] if len(order) == 1 else F.struct(*order)
-    rows = df
-    for name, value in {**sums, **maxima}.items():
-        rows = rows.withColumn(f"_in_{name}", value)
-    rows = _with_bucket(rows, by, groups, [f"_in_{n}" for n in [*sums, *maxima]])
+    rows = df.select("*", *[value.alias(f"_in_{name}") for name, value in {**sums, **maxima}.items()])
+    rows = _with_bucket(rows, order_by, groups, [f"_in_{n}" for n in [*sums, *maxima]])
 
     totals = rows.groupBy(*[col(g) for g in groups], "_bucket").agg(
         *[F.sum(f"_in_{n}").alias(f"_tot_{n}") for n in sums],
