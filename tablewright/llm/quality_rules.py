@@ -16,7 +16,6 @@ from .common import text_or_empty
 from .sampling import labelled
 
 _BLANKS = " \t\n\x0b\f\r"
-_BLANK_RUN = "[\\x20\\x09-\\x0D]+"
 _SYMBOLS = "#*$%&|<>"
 
 
@@ -30,31 +29,35 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     replaced.
     """
     own = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
-    t = text_or_empty(text)
-    blanks = F.lit(_BLANKS)
-    df = docs.drop(*own, "_words", "_lines", "_windows").withColumn(
-        "_words", F.when(F.btrim(t, blanks) == "", F.array().cast("array<string>")).otherwise(F.split(F.btrim(t, blanks), _BLANK_RUN))
-    ).withColumn("_lines", F.filter(F.split(t, "\n"), lambda line: F.btrim(line, blanks) != ""))
-    windows = F.when(
-        F.size("_words") >= 3,
-        F.expr("transform(sequence(2, size(_words) - 1), i -> xxhash64(_words[i - 2], _words[i - 1], _words[i]))"),
-    ).otherwise(F.array().cast("array<bigint>"))
-    df = df.withColumn("_windows", windows)
-    # The sorted windows are bound to a name, so that they are made once; most texts need no sort.
-    repeated = F.expr("""
-        transform(array(sort_array(transform(_windows, (x, i) -> struct(x AS x, i AS i)))), s ->
-            transform(filter(s, (e, k) -> (k > 0 AND s[k - 1].x = e.x) OR (k + 1 < size(s) AND s[k + 1].x = e.x)), e -> e.i))[0]
-    """)
-    df = df.withColumn("_windows", F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), repeated).otherwise(F.array().cast("array<int>")))
-    covered = F.array_union(F.array_union("_windows", F.expr("transform(_windows, i -> i + 1)")), F.expr("transform(_windows, i -> i + 2)"))
+    df = docs.drop(*own, "_stats").withColumn("_stats", F.expr(_word_statistics(f"coalesce(CAST(`{text}` AS STRING), '')")))
+    t, blanks = text_or_empty(text), F.lit(_BLANKS)
+    lines = F.filter(F.split(t, "\n"), lambda line: F.btrim(line, blanks) != "")
     return df.withColumns({
-        "n_words": F.size("_words").cast("long"),
-        "word_chars": F.length(F.array_join("_words", "")).cast("long"),
+        **{c: F.col(f"_stats.{c}").cast("long") for c in ("n_words", "word_chars", "n_repeat_words")},
         "n_symbols": F.length(F.regexp_replace(t, f"[^{_SYMBOLS}]+", "")).cast("long"),
-        "n_lines": F.size("_lines").cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "n_repeat_words": F.when(F.size("_windows") > 0, F.size(covered)).otherwise(0).cast("long"),
-    }).drop("_words", "_lines", "_windows")
+        "n_lines": F.size(lines).cast("long"),
+        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
+    }).drop("_stats")
+
+
+def _word_statistics(text: str) -> str:
+    """One expression for all that is counted in words.
+
+    Each step is bound to a name by a one-element array, so it is made once per
+    text, also where a filter on the result is pushed down and the expression
+    with it.  Windows of three words are hashed; only a text in which two hashes
+    agree has them sorted, with their places.
+    """
+    blanks = "concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))"
+    words = f"filter(split(btrim({text}, {blanks}), '[\\\\x20\\\\x09-\\\\x0D]+'), x -> x != '')"
+    hashed = "CASE WHEN size(w) > 2 THEN transform(sequence(2, size(w) - 1), i -> xxhash64(w[i - 2], w[i - 1], w[i])) ELSE array() END"
+    found_twice = """transform(array(sort_array(transform(h, (x, i) -> struct(x AS x, i AS i)))), s ->
+        transform(filter(s, (e, k) -> (k > 0 AND s[greatest(k - 1, 0)].x = e.x) OR (k + 1 < size(s) AND s[least(k + 1, size(s) - 1)].x = e.x)), e -> e.i))[0]"""
+    covered = "size(array_union(array_union(p, transform(p, i -> i + 1)), transform(p, i -> i + 2)))"
+    repeated = f"""transform(array({hashed}), h -> CASE WHEN size(array_distinct(h)) = size(h) THEN 0
+        ELSE transform(array({found_twice}), p -> {covered})[0] END)[0]"""
+    return f"""transform(array({words}), w -> named_struct(
+        'n_words', size(w), 'word_chars', length(array_join(w, '')), 'n_repeat_words', {repeated}))[0]"""
 
 
 def base_failed() -> Column:

@@ -69,9 +69,9 @@ _SITE_ROWS = ", ".join(f"('{s}', '{v}')" for s, v in SITES)
 
 OP4_SQL = rf"""
 WITH cut AS (
-    SELECT page_id, coalesce(url, '') AS u, strpos(coalesce(url, ''), '://') AS at FROM pages
+    SELECT page_id, coalesce(url, '') AS u, strpos(coalesce(url, ''), '://') AS mark FROM pages
 ), rest AS (
-    SELECT page_id, CASE WHEN at > 0 THEN substr(u, at + 3) ELSE '' END AS r FROM cut
+    SELECT page_id, CASE WHEN mark > 0 THEN substr(u, mark + 3) ELSE '' END AS r FROM cut
 ), parts AS (
     SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
         regexp_extract(substr(r, length(regexp_extract(r, '^[^/?#]*')) + 1), '^[^?#]*') AS path
