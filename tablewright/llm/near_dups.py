@@ -7,11 +7,12 @@ the same for all texts (optimal densification).  Texts that agree in all rows of
 a band share a bucket.
 
 Buckets never emit all pairs.  One hub is compared with the others, on full
-sets.  What links becomes one component; only where a bucket still holds members
-of different components, further hubs (from the smallest components first, four
-times as many in each round) are compared with the members of other components.
-A pair of one component needs no comparison, so no link between components is
-lost.
+sets, and what links becomes one component.  Where the other members of a bucket
+still belong to different components, an exact way handles the rest: of each
+such member only its rarest shingles, as many as a similar text must share one
+of, are joined, and a pair comes out only if the places of that shingle leave
+room for enough common ones.  A pair of one component needs no comparison, so no
+link between components is lost.
 """
 
 from __future__ import annotations
@@ -157,29 +158,50 @@ def near_duplicates(
 
     pairs = written(buckets.where("doc != hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct(), "pairs")
     groups = written(components(copies.unionByName(confirmed(pairs))), "groups")
-    rest, most = buckets.where("doc != hub").select("key", "doc"), 1
-    while True:
-        label = F.coalesce("component", "doc")
-        rest = rest.join(groups.withColumnRenamed("id", "doc"), "doc", "left").select("key", "doc", label.alias("label"))
-        mixed = rest.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l != m").select("key")
-        sizes = rest.groupBy("key", "label").agg(F.count("*").alias("size"))
-        rest = rest.join(mixed, "key", "left_semi").join(sizes, ["key", "label"])
-        rest = written(rest.withColumn("turn", F.row_number().over(Window.partitionBy("key").orderBy("size", "label", "doc"))), "rest")
-        if rest.isEmpty():
-            break
-        hub = rest.where(F.col("turn") <= most).select("key", F.col("doc").alias("a"), F.col("label").alias("la"), F.col("turn").alias("ta"))
-        new = rest.join(hub, "key").where("label != la and (turn > ta)").select(
-            F.least("a", "doc").alias("a"), F.greatest("a", "doc").alias("b")
-        ).distinct().join(pairs, ["a", "b"], "left_anti")
-        new = written(new, "pairs")
-        found = written(confirmed(new), "found")
-        if not found.isEmpty():
-            groups = written(components(groups.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(found)), "groups")
-        pairs = pairs.unionByName(new)
-        rest, most = rest.where(F.col("turn") > most).select("key", "doc"), most * 4
+    label = F.coalesce("component", "doc")
+    rest = buckets.where("doc != hub").join(groups.withColumnRenamed("id", "doc"), "doc", "left").select("key", "doc", label.alias("label"))
+    mixed = rest.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l != m").select("key")
+    open_ = written(rest.join(mixed, "key", "left_semi").select("doc", "label").distinct(), "open")
+    more = written(_rare_shingle_pairs(texts, open_, words, percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    found = written(confirmed(more), "found")
+    if not found.isEmpty():
+        groups = written(components(groups.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(found)), "groups")
     rows_ = sigs.select("_id", "n").join(groups.withColumnRenamed("id", "_id"), "_id", "left")
     component = F.coalesce("component", "_id")
     return rows_.select(
         F.col("_id").alias(id), F.col("n").alias("n_shingles"), component.alias("component_id"),
         F.coalesce(F.col("_id") == component, F.lit(True)).alias("kept"),
     )
+
+
+def _rare_shingle_pairs(texts: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs (a < b) of members with different labels that can be similar: a superset of all that are.
+
+    A member's shingles are put in order of how many members have them.  Two
+    sets with ``percent`` in common share one of the first n - percent * n / 100
+    + 1 of each, and from their first common shingle on both have at least as
+    many left as they must share.
+    """
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = shingle_sets(list(pdf["_text"]), words)
+            yield pd.DataFrame({
+                "doc": pdf["doc"], "label": pdf["label"], "n": [len(x) for x in found],
+                "whole": [xxh3_128_digest(x.tobytes()) for x in found], "all": [x.view(np.int64) for x in found],
+            })
+
+    rows = texts.withColumnRenamed("_id", "doc").join(members, "doc").select("doc", "label", "_text")
+    rows = rows.mapInPandas(sets, "doc long, label long, n long, whole binary, all array<long>")
+    rows = written(rows.select("doc", "label", "n", "whole", F.explode("all").alias("shingle")), "shingles")
+    often = rows.groupBy("shingle").agg(F.count("*").alias("often"))
+    order = Window.partitionBy("doc", "whole").orderBy("often", "shingle")
+    rows = rows.join(often, "shingle").withColumn("place", F.row_number().over(order))
+    need = lambda n: F.floor((n * percent + 99) / 100)
+    first = written(rows.where((F.col("place") <= F.col("n") - need(F.col("n")) + 1) & (F.col("often") > 1)).select("shingle", "doc", "label", "n", "place"), "first")
+    x, y = first.alias("x"), first.alias("y")
+    left = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) + 1
+    fits = (
+        (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.doc") < F.col("y.doc")) & (F.col("x.label") != F.col("y.label"))
+        & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & ((100 + percent) * left >= percent * (F.col("x.n") + F.col("y.n")))
+    )
+    return x.join(y, fits).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
