@@ -182,6 +182,7 @@ class Index:
     ids: list[int]
     words: list[np.ndarray]
     answers: list[np.ndarray]
+    different: list[tuple[np.ndarray, np.ndarray]]
     kind: str
     cosine: float
     overlap: float
@@ -207,16 +208,25 @@ class Index:
         passage[nxt] += latent[nxt + 1]
         norm = np.sqrt((passage * passage).sum(axis=1))
         near = passage @ self.items.T >= self.cosine * norm[:, None]
-        where, item = np.nonzero(near & (norm[:, None] > 0))
+        item, where = np.nonzero((near & (norm[:, None] > 0)).T)
+        if not len(item):
+            return out
+        # Candidates of one item that touch in one text are checked together.
+        new = np.ones(len(item), bool)
+        new[1:] = (item[1:] != item[:-1]) | (text_of[where[1:]] != text_of[where[:-1]]) | (full[where[1:]] > full[where[:-1]] + 2)
+        starts = np.flatnonzero(new)
+        ends = np.append(starts[1:], len(item)) - 1
         done: dict[tuple[int, int], float] = {}
-        for p, k in zip(where.tolist(), item.tolist()):
+        for k, p, q in zip(item[starts].tolist(), where[starts].tolist(), where[ends].tolist()):
             text = int(text_of[p])
             n = len(self.words[k])
-            if done.get((text, k), 0.0) == 1.0:
+            lo, hi = (int(full[p]) - int(begins[text])) * _HALF - n, (int(full[q]) - int(begins[text]) + 2) * _HALF + n
+            around = np.frombuffer(codes[text], self.kind)[max(0, lo) : hi]
+            # No more of the item can be there in order than is there at all.
+            different, times = self.different[k]
+            there = np.bincount(around, minlength=len(self.idf))[different]
+            if np.minimum(there, times).sum() < min(self.overlap, self.paraphrase) * n:
                 continue
-            place = (int(full[p]) - int(begins[text])) * _HALF
-            own = np.frombuffer(codes[text], self.kind)
-            around = own[max(0, place - n) : place + 2 * _HALF + n]
             share = common_subsequence(self.words[k], around) / n
             if share >= self.overlap or share >= self.paraphrase and len(self.answers[k]) > 2 and common_subsequence(self.answers[k], around) == len(self.answers[k]):
                 done[text, k] = max(share, done.get((text, k), 0.0))
@@ -227,7 +237,7 @@ class Index:
 
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
-    rank: int = 48, common: float = 0.005, cosine: float = 0.35, overlap: float = 0.7, paraphrase: float = 0.5, block: int = 256,
+    rank: int = 48, common: float = 0.002, cosine: float = 0.4, overlap: float = 0.7, paraphrase: float = 0.5, block: int = 256,
 ) -> DataFrame:
     """One row per row of ``docs``: id, n_words, contaminated, item_ids, best_overlap.
 
@@ -266,7 +276,7 @@ def find_leaks(
         latent /= np.maximum(np.sqrt((latent * latent).sum(axis=1, keepdims=True)), 1e-12)
         index = Index(
             idf.astype(np.float32), basis.astype(np.float32), latent.astype(np.float32), items.ids[at : at + block], some,
-            items.answers[at : at + block], kind, cosine, overlap, paraphrase,
+            items.answers[at : at + block], [np.unique(w, return_counts=True) for w in some], kind, cosine, overlap, paraphrase,
         )
         found = _search(found, index)
     return found.select(
