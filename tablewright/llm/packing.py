@@ -144,7 +144,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = 4096, id:
         held = made = 0
         for pdf in batches:
             texts, names = list(pdf["_text"]), [None if pd.isna(i) else int(i) for i in pdf["_id"]]
-            for a, b in portions(texts):
+            for a, b in portions(texts, 1 << 22):
                 codes, at = coder.encode(texts[a:b])
                 codes = codes.astype("<u4")
                 for k in range(b - a):

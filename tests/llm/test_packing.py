@@ -32,7 +32,7 @@ def _pair():
     return _made
 
 
-@pytest.mark.parametrize("name", ["<|endoftext|>", "a<|endoftext|>b c", "it's I'LL x'y 12a", "ＡＢ ﬁ é ́x"])
+@pytest.mark.parametrize("name", ["<|endoftext|>", "a<|endoftext|>b c", "<|ENDOFTEXT|>.", "a. b, ., ,. é. É, 1. A.B.", "it's I'LL x'y 12a", "ＡＢ ﬁ é ́x"])
 def test_encoder_on_odd_words(name):
     ids, _ = WordEncoder(PATH).encode([name, "x " + name + " y"])
     want = [i for t in (name, "x " + name + " y") for i in _pair()[1].encode(t, add_special_tokens=False).ids]
