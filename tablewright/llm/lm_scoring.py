@@ -60,7 +60,8 @@ def count(docs: DataFrame, labels: DataFrame, label: str, tokenizer: str, patter
     one = labels.select(F.col(f"`{id}`").cast("long").alias("_id"), F.col(f"`{label}`").cast("int").alias("_label"))
     good = one.where("_id is not null").groupBy("_id").agg(F.min("_label").alias("_label")).where("_label = 1")
     plain = docs.select(F.col(f"`{id}`").cast("long").alias("_id"), text_or_empty(text).alias("_text"))
-    rows = plain.join(good, "_id", "left").select("_text", F.col("_label").isNotNull().alias("_target"))
+    # Labels grow with the corpus: a shuffled join at any size.
+    rows = plain.join(good.hint("merge"), "_id", "left").select("_text", F.col("_label").isNotNull().alias("_target"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = encoder(tokenizer, pattern)
