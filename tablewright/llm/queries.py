@@ -88,6 +88,33 @@ SELECT page_id, host, path, rule,
 FROM parts LEFT JOIN best USING (page_id)
 """
 
+OP6_SQL = r"""
+WITH raw AS (
+    SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents
+), windows AS (
+    SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 400)) AS w FROM raw, unnest(range(0, greatest(0, length(h) // 2 - 199))) AS t(i)
+), twice AS (
+    SELECT w FROM windows GROUP BY w HAVING count(*) > 1
+), hits AS (
+    SELECT doc_id, i FROM windows SEMI JOIN twice USING (w)
+), runs AS (
+    SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 200 THEN 0 ELSE 1 END AS fresh FROM hits
+), grouped AS (
+    SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS g FROM runs
+), spans AS (
+    SELECT doc_id, g, min(i) AS a, max(i) + 200 AS b FROM grouped GROUP BY ALL
+), edges AS (
+    SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM spans
+), kept AS (
+    SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS tail,
+        string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS front
+    FROM edges JOIN raw USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+    sha256(unhex(CASE WHEN tail IS NULL THEN h ELSE front || substr(h, 2 * tail + 1) END)) AS kept_sha256
+FROM raw LEFT JOIN kept USING (doc_id)
+"""
+
 OP8_SQL = r"""
 WITH RECURSIVE words AS (
     SELECT doc_id, list_filter(string_split_regex(
@@ -121,4 +148,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_quality_rules, op10_benchmark_leaks,
     )
 }
-SQL: dict[str, str] = {"op4_url_rules": OP4_SQL, "op8_near_duplicates": OP8_SQL}
+SQL: dict[str, str] = {"op4_url_rules": OP4_SQL, "op6_repeated_bytes": OP6_SQL, "op8_near_duplicates": OP8_SQL}
