@@ -90,6 +90,39 @@ def wide(spark, sf):
     return c.pair_correlations(rows).select("column1", "column2", "correlation", "n")
 
 
+_FAR = "o_orderkey AS a, 2 * o_orderkey AS b, o_totalprice AS c"
+
+
+@query("c3_offset_columns", f"""
+SELECT width, column1, column2, {r('correlation')} AS correlation, n FROM (VALUES (3), (7)) AS w(width), (
+  SELECT 'a' AS column1, 'b' AS column2, corr(a, b) AS correlation, count(*) AS n FROM (SELECT {_FAR} FROM orders)
+  UNION ALL SELECT 'a', 'c', corr(a, c), count(*) FROM (SELECT {_FAR} FROM orders))""")
+def offset_columns(spark, sf):
+    """Columns far from zero, alone and among others."""
+    far = ["1e15D + o_orderkey AS a", "1e15D + 2 * o_orderkey AS b", "o_totalprice AS c"]
+    more = ["1e15D AS k", "o_custkey AS d", "o_orderkey % 7 AS e", "-o_totalprice AS f"]
+    orders, out = table(spark, sf, "orders"), None
+    for columns in (far, far + more):
+        found = c.pair_correlations(orders.selectExpr(*columns)).filter("column1 = 'a' AND column2 IN ('b', 'c')")
+        part = found.select(F.lit(len(columns)).alias("width"), "column1", "column2", "correlation", "n")
+        out = part if out is None else out.union(part)
+    return out
+
+
+@query("c3_nan_columns", f"""
+SELECT width, {r('corr(a, b)')} AS correlation, count(a) AS n FROM (VALUES (2), (6)) AS w(width),
+  (SELECT CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice END AS a, o_totalprice + o_custkey AS b FROM orders) GROUP BY width""")
+def nan_columns(spark, sf):
+    pair = ["CASE WHEN o_orderkey % 5 = 0 THEN double('NaN') ELSE o_totalprice END AS a", "o_totalprice + o_custkey AS b"]
+    more = ["o_custkey AS c", "o_orderkey AS d", "o_orderkey % 7 AS e", "o_custkey % 5 AS f"]
+    orders, out = table(spark, sf, "orders"), None
+    for columns in (pair, pair + more):
+        found = c.pair_correlations(orders.selectExpr(*columns)).filter("column1 = 'a' AND column2 = 'b'")
+        part = found.select(F.lit(len(columns)).alias("width"), "correlation", "n")
+        out = part if out is None else out.union(part)
+    return out
+
+
 @query("c4_correlation_pairs", f"""
 SELECT column1, column2, {r('correlation')} AS correlation, n, {_STRENGTH} AS strength, 1 AS significant FROM {_PAIRS}
 WHERE abs(correlation) >= 0.3""")

@@ -85,11 +85,21 @@ def coercion(spark, sf):
     return out
 
 
+@query("j7_decimal_keys", """
+SELECT a.o_orderkey AS left_key, b.o_orderkey AS right_key FROM orders a JOIN orders b
+ON 9007199254740993::HUGEINT + a.o_orderkey = 9007199254740992::HUGEINT + 2 * b.o_orderkey""")
+def decimal_keys(spark, sf):
+    orders = table(spark, sf, "orders")
+    left = orders.selectExpr("9007199254740993 + o_orderkey AS key", "o_orderkey AS left_key")
+    right = orders.selectExpr("CAST(9007199254740992 + 2 * o_orderkey AS DECIMAL(20, 0)) AS other", "o_orderkey AS right_key")
+    return j.join_tables(left, right, "key", "other", "inner").df.select("left_key", "right_key")
+
+
 @query("j8_overlap_rename", """
 SELECT c_custkey, c_acctbal, o_orderkey, o_totalprice AS orders_c_acctbal FROM customer
-LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 5 = 0) ON c_custkey = o_custkey""")
+LEFT JOIN orders ON c_custkey = o_custkey""")
 def overlap(spark, sf):
-    orders = table(spark, sf, "orders").filter("o_orderkey % 5 = 0").selectExpr(
+    orders = table(spark, sf, "orders").selectExpr(
         "o_custkey AS c_custkey", "o_orderkey", "o_totalprice AS c_acctbal")
     return j.join_tables(table(spark, sf, "customer").select("c_custkey", "c_acctbal"), orders,
                          "c_custkey", "c_custkey", "left", "orders").df

@@ -46,6 +46,23 @@ def csv_sink(spark, sf):
     return csv_round_trip(orders_with_holes(spark, sf), scratch_path(spark, "orders_csv"))
 
 
+@query("s5_csv_text", """
+SELECT doc_id, md5(text) AS text, lang, source, n_chars FROM (
+  SELECT doc_id, concat(text, chr(10), '"quoted, ', lang, '"', chr(10)) AS text, lang, source, n_chars FROM documents)""")
+def csv_text(spark, sf):
+    docs = table(spark, sf, "documents").selectExpr(
+        "doc_id", "concat(text, chr(10), '\"quoted, ', lang, '\"', chr(10)) AS text", "lang", "source", "n_chars")
+    return csv_round_trip(docs, scratch_path(spark, "documents_csv")).withColumn("text", F.md5("text"))
+
+
+@query("s1_csv_reordered_schema", """
+SELECT c_acctbal, c_custkey, c_name FROM customer""", digits=2)
+def csv_reordered(spark, sf):
+    path = scratch_path(spark, "customer_by_name")
+    write_csv(table(spark, sf, "customer"), path)
+    return read_csv(spark, path, schema="c_acctbal double, c_custkey bigint, c_name string")
+
+
 @query("s6_report_sources", """
 WITH r AS (SELECT concat(p_brand, ' (', p_type, ')') AS algorithm, avg(p_size) / 50.0 AS test FROM part
            GROUP BY p_brand, p_type),

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import col, name_frame, share
-from ..functions.numbers import correlation, matrix_strength, pair_strength, real_deviation, vif_severity
+from ..functions.numbers import matrix_strength, pair_strength, vif_severity
 from ..functions.tails import correlation_p_value
 from ..plans.schema import numeric_columns
 
@@ -30,27 +30,57 @@ def pair_correlations(df: DataFrame, columns: Sequence[str] | None = None, listw
 
     ``i < j`` are positions in the column list.  ``listwise`` keeps only rows
     without any missing value; otherwise each pair uses the rows where both are
-    present.  r is null when a column is constant.
+    present.  NaN is missing.  r is null when a column is constant: when the
+    deviation of its centred values is under a millionth of the largest of them.
+    Fewer than two columns have no pairs.
     """
     names = list(columns) if columns is not None else numeric_columns(df)
     if len(names) < 2:
-        raise ValueError("need at least 2 numeric columns")
-    rows = df.select(*[col(c).cast("double").alias(f"v{i}") for i, c in enumerate(names)])
+        return df.sparkSession.createDataFrame([], "i int, j int, column1 string, column2 string, correlation double, n bigint")
+    value = [col(c).cast("double") for c in names]
+    rows = df.select(*[F.when(~F.isnan(v), v).alias(f"v{i}") for i, v in enumerate(value)])
     if listwise:
         rows = rows.na.drop("any")
+    rows = _centred(rows)
     if len(names) <= _ONE_AGGREGATE[listwise]:
         return _pairs_by_aggregate(rows, names, listwise)
     return _pairs_by_matrix(rows, names)
 
 
+_NOISE = 1e-6  # a smaller share of the largest value is rounding, not spread
+
+
+def _centred(rows: DataFrame) -> DataFrame:
+    """Values minus their column's mean (or its only value): a scalar subquery, so still one lazy plan.
+
+    Both ways to the pairs start from here, so the number of columns doesn't
+    change what counts as constant.
+    """
+    centre = rows.agg(F.struct(*[
+        F.when(F.min(c) == F.max(c), F.min(c)).otherwise(F.avg(c)).alias(c) for c in rows.columns
+    ]).alias("m")).scalar()
+    return rows.withColumn("_m", centre).select(*[(F.col(c) - F.col(f"_m.{c}")).alias(c) for c in rows.columns])
+
+
+def _spread(x: Column) -> Column:
+    """Deviation of centred values; null where it is rounding noise."""
+    size = F.greatest(F.abs(F.min(x)), F.abs(F.max(x)))
+    deviation = F.stddev_samp(x)
+    return F.when(deviation > size * _NOISE, deviation)
+
+
 def _pairs_by_aggregate(rows: DataFrame, names: list[str], complete: bool) -> DataFrame:
     pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
     aggs = [F.count(F.lit(1)).alias("n")]
     if complete:
-        aggs += [real_deviation(F.stddev_samp(f"v{i}"), F.col(f"v{i}")).alias(f"s{i}") for i in range(len(names))]
+        aggs += [_spread(F.col(f"v{i}")).alias(f"s{i}") for i in range(len(names))]
         aggs += [F.covar_samp(f"v{i}", f"v{j}").alias(f"c{i}_{j}") for i, j in pairs]
     else:
-        aggs += [correlation(F.col(f"v{i}"), F.col(f"v{j}")).alias(f"r{i}_{j}") for i, j in pairs]
+        both = {(i, j): F.col(f"v{i}").isNotNull() & F.col(f"v{j}").isNotNull() for i, j in pairs}
+        aggs += [F.try_divide(
+            F.covar_samp(f"v{i}", f"v{j}"),
+            _spread(F.when(both[i, j], F.col(f"v{i}"))) * _spread(F.when(both[i, j], F.col(f"v{j}"))),
+        ).alias(f"r{i}_{j}") for i, j in pairs]
         aggs += [F.count_if(F.col(f"v{i}").isNotNull() & F.col(f"v{j}").isNotNull()).alias(f"n{i}_{j}")
                  for i, j in pairs]
 
@@ -70,17 +100,11 @@ def _pairs_by_aggregate(rows: DataFrame, names: list[str], complete: bool) -> Da
 def _pairs_by_matrix(rows: DataFrame, names: list[str]) -> DataFrame:
     """Sums of products per task by matrix multiplication, then added up per pair.
 
-    Values are centred first (a scalar subquery, so still one lazy plan), which
-    keeps the sums of squares small.  A mask stands for missing values.  Tasks
-    are coalesced, for a partial is k*k rows and there should not be one per
-    input split.
+    Values are centred, which keeps the sums of squares small.  A mask stands
+    for missing values.  Each task sends k*k rows; they are added up by pair
+    and a part of the tasks first, so no pair's rows meet in one task at once.
     """
     k = len(names)
-    v = [f"v{i}" for i in range(k)]
-    centre = rows.agg(F.struct(*[
-        F.when(F.min(c) == F.max(c), F.min(c)).otherwise(F.avg(c)).alias(c) for c in v
-    ]).alias("m")).scalar()
-    centred = rows.withColumn("_m", centre).select(*[(F.col(c) - F.col(f"_m.{c}")).alias(c) for c in v])
     left, right = np.triu_indices(k, 1)
 
     def partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,15 +125,18 @@ def _pairs_by_matrix(rows: DataFrame, names: list[str]) -> DataFrame:
             names=["i", "j", "n", "sx", "sy", "sxx", "syy", "sxy"],
         )
 
-    tasks = 2 * rows.sparkSession.sparkContext.defaultParallelism
-    sums = centred.coalesce(tasks).mapInArrow(
+    columns = ("n", "sx", "sy", "sxx", "syy", "sxy")
+    partial = rows.mapInArrow(
         partials, "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double",
-    ).groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    )
+    part = partial.withColumn("_part", F.spark_partition_id() % 256)
+    sums = part.groupBy("i", "j", "_part").agg(*[F.sum(c).alias(c) for c in columns])
+    sums = sums.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in columns])
     n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
 
     def spread(squares: Column, total: Column) -> Column:
         left_over = n * squares - total * total
-        return F.when(left_over > n * squares * 1e-12, F.sqrt(left_over))  # less is rounding noise
+        return F.when(left_over > n * squares * _NOISE**2, F.sqrt(left_over))
 
     r = F.try_divide(n * F.col("sxy") - sx * sy, spread(F.col("sxx"), sx) * spread(F.col("syy"), sy))
     labels = F.array(*[F.lit(x) for x in names])
@@ -259,7 +286,7 @@ def vif_exact(pairs: DataFrame) -> DataFrame:
             names, m = _matrix_of(frame)
             yield pd.DataFrame({"feature": names, "vif_score": np.diag(np.linalg.pinv(m))})
 
-    return _vif_labels(pairs.coalesce(1).mapInPandas(solve, "feature string, vif_score double"))
+    return _vif_labels(pairs.repartition(1).mapInPandas(solve, "feature string, vif_score double"))
 
 
 def problem_features(scores: DataFrame) -> DataFrame:
@@ -319,7 +346,7 @@ def feature_clusters(pairs: DataFrame, cut: float = 0.5) -> DataFrame:
             names, m = _matrix_of(frame)
             yield pd.DataFrame({"feature": names, "cluster": ward_groups(1 - np.abs(m), cut)})
 
-    return pairs.coalesce(1).mapInPandas(cluster, "feature string, cluster int")
+    return pairs.repartition(1).mapInPandas(cluster, "feature string, cluster int")
 
 
 def relationship_insights(pairs: DataFrame, top: int = 5) -> DataFrame:

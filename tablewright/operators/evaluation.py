@@ -16,14 +16,14 @@ from ..functions.columns import col, ratio, share
 from ..functions.numbers import correlation, gap_status, target_strength
 from ..functions.text import model_id
 from .correlation import pair_correlations
-from .joins import join_small
+from .joins import join_lookup
 from .ranking import dense_index, running
 
 
 def encode_labels(df: DataFrame, label: str, code: str = "label_code") -> DataFrame:
     """Add the 0-based position of the label among the sorted distinct labels."""
     codes = dense_index(df, label, code).withColumnRenamed(label, "_label")
-    return join_small(df, codes, col(label) == F.col("_label")).drop("_label")
+    return join_lookup(df, codes, col(label) == F.col("_label")).drop("_label")
 
 
 def score_counts(df: DataFrame, label: str, score: str) -> DataFrame:
@@ -264,9 +264,17 @@ def feature_importance(importances: DataFrame, data: DataFrame, features: Sequen
         F.round(r, 4).alias("correlation_with_target"), target_strength(r).alias("correlation_strength"))
 
 
-def feature_interactions(data: DataFrame, features: Sequence[str], least: float = 0.05, top: int = 10) -> DataFrame:
-    """The strongest pairs among the first ten features, with sign."""
-    pairs = pair_correlations(data, list(features)[:10])
+def feature_interactions(data: DataFrame, features: Sequence[str], least: float = 0.05, top: int = 10,
+                         importance: Mapping[str, float] | None = None, first: int | None = None) -> DataFrame:
+    """The ``top`` strongest pairs of features, with sign.
+
+    ``first`` looks at that many features only: those of the highest
+    ``importance`` where it is given, else the first by position.
+    """
+    names = list(features)
+    if importance is not None:
+        names.sort(key=lambda name: -importance.get(name, 0.0))
+    pairs = pair_correlations(data, names[:first])
     r = F.col("correlation")
     return pairs.filter(F.abs(r) > least).select(
         F.col("column1").alias("feature1"), F.col("column2").alias("feature2"),

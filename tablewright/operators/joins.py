@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import col
 from ..plans.schema import is_float, is_integer, is_numeric, overlap
@@ -58,12 +59,18 @@ def key_text(value: Column, dtype) -> Column:
 def coerce_keys(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> tuple[DataFrame, DataFrame]:
     """Bring two key columns to one type.
 
-    Integer against float: both double.  Number against text: both text.  Same
+    Integer against decimal: both one decimal that holds either, so the
+    comparison is exact.  Integer against float: both double, which tells
+    integers apart up to 2**53 only.  Number against text: both text.  Same
     family: unchanged.
     """
     lt, rt = left.schema[left_key].dataType, right.schema[right_key].dataType
     if lt == rt:
         return left, right
+    if isinstance(lt, T.DecimalType) and is_integer(rt) or is_integer(lt) and isinstance(rt, T.DecimalType):
+        one = lt if isinstance(lt, T.DecimalType) else rt
+        whole = T.DecimalType(min(38, max(19, one.precision - one.scale) + one.scale), one.scale)
+        return left.withColumn(left_key, col(left_key).cast(whole)), right.withColumn(right_key, col(right_key).cast(whole))
     if is_integer(lt) and is_float(rt):
         return left.withColumn(left_key, col(left_key).cast("double")), right
     if is_float(lt) and is_integer(rt):
@@ -119,20 +126,12 @@ def join_tables(left: DataFrame, right: DataFrame, left_key: str, right_key: str
     return Joined(out, renamed)
 
 
-_FEW_ROWS = 100_000
-
-
-def join_small(df: DataFrame, lookup: DataFrame, match: Column) -> DataFrame:
+def join_lookup(df: DataFrame, lookup: DataFrame, match: Column) -> DataFrame:
     """Left join onto a table that is expected, but not known, to be small.
 
-    Its rows are counted first.  Within a bound it is broadcast and ``df`` is
-    not shuffled; beyond, this is an ordinary join, whose hot keys adaptive
-    execution splits.  A small lookup stays persisted, as it has been computed.
+    Nothing is counted or held: adaptive execution broadcasts the lookup when
+    its bytes allow it, and splits hot keys when they don't.
     """
-    held = lookup.persist()
-    if held.count() <= _FEW_ROWS:
-        return df.join(F.broadcast(held), match, "left")
-    held.unpersist()
     return df.join(lookup, match, "left")
 
 

@@ -205,6 +205,8 @@ def categorical_statistics(df: DataFrame) -> DataFrame:
 
 def _value_counts_text(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Counts by whole text, since the values themselves are reported."""
+    if not names:
+        return df.sparkSession.createDataFrame([], "column string, value string, n bigint")
     cells = df.select(*[col(c) for c in names]).unpivot([], [quoted(c) for c in names], "column", "value")
     return cells.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 

@@ -183,8 +183,11 @@ def column_quantiles(df: DataFrame, probs: Mapping[str, float], columns: Sequenc
     the quantiles themselves: one pass, not interpolated.
     """
     names = list(probs)
+    numeric = list(columns) if columns is not None else numeric_columns(df)
+    if not numeric:
+        fields = ", ".join(f"{quoted(n)} double" for n in names)
+        return df.sparkSession.createDataFrame([], f"column string, {fields}")
     if approx:
-        numeric = list(columns) if columns is not None else numeric_columns(df)
         return df.agg(*[
             F.percentile_approx(col(c).cast("double"), list(probs.values()), 10 * _SKETCH_ACCURACY).alias(f"_{i}")
             for i, c in enumerate(numeric)
@@ -193,7 +196,6 @@ def column_quantiles(df: DataFrame, probs: Mapping[str, float], columns: Sequenc
             for i, c in enumerate(numeric)
         ]))).filter(col(names[0]).isNotNull())
     points = [min(max(probs[n] + d, 0.0), 1.0) for n in names for d in (-_MARGIN, _MARGIN)]
-    numeric = list(columns) if columns is not None else numeric_columns(df)
     sketches = df.groupBy((F.spark_partition_id() % 256).alias("_part")).agg(*[
         F.struct(
             F.lit(c).alias("_column"), F.count(col(c)).alias("_count"),

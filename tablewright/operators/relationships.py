@@ -139,7 +139,10 @@ def measure_suggestions(suggestions: DataFrame, tables: Mapping[str, DataFrame])
             "relationship_type", "match_count", "match_percentage", "orphan_left_count", "orphan_right_count",
         ))
     if not parts:
-        raise ValueError("no suggestions to measure")
+        return suggestions.sparkSession.createDataFrame([], (
+            "left_table string, right_table string, left_column string, right_column string, confidence double, "
+            "relationship_type string, match_count bigint, match_percentage double, orphan_left_count bigint, orphan_right_count bigint"
+        ))
     out = parts[0]
     for part in parts[1:]:
         out = out.union(part)

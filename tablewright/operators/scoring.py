@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import col, ratio
 from ..functions.numbers import confidence_band, key_number, sigmoid, zscore
-from .joins import join_small
+from .joins import join_lookup
 from .projection import align_columns
 from .ranking import dense_index, group_quantiles
 
@@ -100,7 +100,7 @@ def transform_manual(df: DataFrame, prep: ManualPreparation, keep: Sequence[str]
         out += [F.coalesce((col(c) == v).cast("int"), F.lit(0)).alias(f"{c}_{v}") for v in values[1:]]
     for i, (c, table) in enumerate(prep.codes.items()):
         coded = table.select(col(c).alias(f"_value{i}"), F.col("_code").alias(f"_code{i}"))
-        df = join_small(df, coded, col(c) == F.col(f"_value{i}"))
+        df = join_lookup(df, coded, col(c) == F.col(f"_value{i}"))
         out.append(F.coalesce(F.col(f"_code{i}"), F.lit(-1)).cast("int").alias(c))
     result = df.select(*[col(k) for k in keep], *out)
     if expected is not None:
@@ -209,7 +209,7 @@ def split_rows(df: DataFrame, key: str, label: str, test_share: float = 0.2, see
     numbered = df.withColumn("_h", key_number(col(key), seed))
     cuts = group_quantiles(numbered.select(col(label), "_h"), [label], "_h", {"_cut": test_share})
     cuts = cuts.withColumnRenamed(label, "_label")
-    joined = join_small(numbered, cuts, col(label).eqNullSafe(F.col("_label")))
+    joined = join_lookup(numbered, cuts, col(label).eqNullSafe(F.col("_label")))
     return joined.withColumn("split", F.when(F.col("_h") <= F.col("_cut"), "test").otherwise("train")).drop(
         "_h", "_label", "_cut")
 

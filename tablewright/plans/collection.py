@@ -102,44 +102,43 @@ def join_columns(relationships: Iterable[Relationship]) -> dict[str, str]:
     return out
 
 
-# Names that mark a key, and how many columns a table may add.
+# Names that mark a key, and the functions by kind of column.
 _KEY_MARKS = ("_id", "sk_id", "index")
-_MAX_NUMERIC, _MAX_TEXT = 10, 3
+_FUNCTIONS = {"numeric": ["sum", "mean", "max"], "categorical": ["nunique"]}
+
+
+def _useful(row: Mapping | None) -> bool:
+    """A column worth aggregating: profiled, no key, some value, more than one of them."""
+    return (
+        row is not None and not row["is_potential_key"] and not any(mark in row["name"].lower() for mark in _KEY_MARKS)
+        and (row["null_percentage"] or 0) < 100 and (row["unique_count"] or 0) > 1
+    )
 
 
 def auto_aggregations(tables: Mapping[str, DataFrame], profiles: Mapping[str, Sequence[Mapping]],
-                      primary: str, keys: Mapping[str, str]) -> list[Aggregation]:
+                      primary: str, keys: Mapping[str, str], most: Mapping[str, int] | None = None,
+                      warnings: list[str] | None = None) -> list[Aggregation]:
     """An aggregation per related table, chosen from its column profile.
 
     ``profiles`` holds per table the profile rows (``name``, ``null_percentage``,
     ``unique_count``, ``is_potential_key``): one small row per column.  A table
-    without a join column falls back on its first potential key.
+    without a join column falls back on its first potential key.  ``most``
+    bounds the columns a table may add by kind (``{"numeric": 10}``); what that
+    leaves out is told in ``warnings``.
     """
     out = []
-    for table, df in tables.items():
-        if table == primary:
-            continue
+    for table in (t for t in tables if t != primary):
         rows = {r["name"]: r for r in profiles.get(table, [])}
-        key = keys.get(table) or next((n for n, r in rows.items() if r["is_potential_key"]), None)
-        if not key:
-            continue
-        features: list[dict] = []
-        numeric = text = 0
-        for f in df.schema.fields:
-            row = rows.get(f.name)
-            if row is None or row["is_potential_key"]:
-                continue
-            if any(mark in f.name.lower() for mark in _KEY_MARKS):
-                continue
-            if (row["null_percentage"] or 0) >= 100 or (row["unique_count"] or 0) <= 1:
-                continue
-            kind = kind_of(f.dataType)
-            if kind == "numeric" and numeric < _MAX_NUMERIC:
-                features.append({"column": f.name, "functions": ["sum", "mean", "max"]})
-                numeric += 1
-            elif kind == "categorical" and text < _MAX_TEXT:
-                features.append({"column": f.name, "functions": ["nunique"]})
-                text += 1
-        if features:
+        potential = [n for n, r in rows.items() if r["is_potential_key"]]
+        key = keys.get(table) or (potential[0] if potential else None)
+        fields = [f for f in tables[table].schema.fields if _useful(rows.get(f.name))]
+        by_kind = {kind: [f.name for f in fields if kind_of(f.dataType) == kind] for kind in _FUNCTIONS}
+        chosen = {kind: names[: (most or {}).get(kind)] for kind, names in by_kind.items()}
+        if warnings is not None:
+            warnings += [f"{table}.{n}: left out" for kind in by_kind for n in by_kind[kind][len(chosen[kind]):]]
+        features = [
+            {"column": f.name, "functions": _FUNCTIONS[kind]} for f in fields for kind, names in chosen.items() if f.name in names
+        ]
+        if key and features:
             out.append(Aggregation(table, key, table_prefix(table), features))
     return out

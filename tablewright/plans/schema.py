@@ -116,6 +116,8 @@ def identity_of(field: T.StructField) -> Column:
 def numeric_cells(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Every present numeric cell as (column, value double)."""
     names = columns if columns is not None else numeric_columns(df)
+    if not names:
+        return df.sparkSession.createDataFrame([], "column string, value double")
     wide = df.select(*[col(n).cast("double").alias(n) for n in names])
     return wide.unpivot([], [quoted(n) for n in names], "column", "value").filter("value IS NOT NULL")
 
@@ -133,11 +135,7 @@ _TABLE_SHORT = {
 
 
 def table_prefix(table: str) -> str:
-    """Prefix of generated features: known short name, else built from the words."""
-    known = _TABLE_SHORT.get(table.lower())
-    if known:
-        return known + "_"
-    words = re.split(r"[_\s]+", table)
-    if len(words) == 1:
-        return table.upper()[:8] + "_"
-    return "_".join(w.upper()[:4] for w in words[:3]) + "_"
+    """Upper-case prefix of a table's features: its short name, or 8 letters of one word, or 4 of each of three."""
+    words = re.split("[_ \t\r\n]+", table)
+    letters = 8 if len(words) == 1 else 4
+    return _TABLE_SHORT.get(table.lower(), "_".join(w[:letters] for w in words[:3]).upper()) + "_"

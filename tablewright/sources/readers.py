@@ -25,21 +25,32 @@ def read_source(spark: SparkSession, kind: str, path: str | None = None,
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
              infer: bool = False, **options) -> DataFrame:
-    """CSV with a header.  NA texts become null before any cast.
+    """CSV with a header; quoted fields may hold line breaks.  NA texts become null before any cast.
+
+    ``options`` are the reader's and override the defaults.  A file whose
+    fields may hold line breaks is read by one task; ``multiLine=False`` makes
+    large files splittable, for data known to have none.  Columns are matched
+    with ``schema`` by the header's names; one that the file lacks is an error.
 
     The file is read as text and cast afterwards, because Spark's own CSV
     reader knows one null text only.  ``schema`` casts without another pass
     (text that does not fit becomes null); ``infer=True`` costs one pass that
     tests every column over the whole file.  Without either, columns stay text.
     """
-    reader = spark.read.options(header=True, multiLine=False, escape='"', **options)
+    reader = spark.read.options(**{"header": True, "multiLine": True, "escape": '"', **options})
     if schema is None:
         text = normalize_missing(reader.csv(path), NA_TEXTS)
         return cast_text(text, infer_types(text)) if infer else text
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
-    as_text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
-    text = normalize_missing(reader.schema(as_text).csv(path), NA_TEXTS)
+    text = reader.csv(path)
+    if str(options.get("header", True)).lower() == "true":
+        if missing := [f.name for f in schema.fields if f.name not in text.columns]:
+            raise ValueError(f"columns not in the file: {missing}")
+        text = text.select(*[col(f.name) for f in schema.fields])
+    else:
+        text = text.toDF(*schema.fieldNames())
+    text = normalize_missing(text, NA_TEXTS)
     return cast_text(text, {f.name: f.dataType for f in schema.fields})
 
 

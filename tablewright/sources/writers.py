@@ -8,7 +8,8 @@ from .readers import read_csv
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    """CSV with a header; blanks and line breaks at the ends of a text are kept."""
+    df.write.mode(mode).options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def write_table(df: DataFrame, path: str, kind: str = "parquet", mode: str = "overwrite",
