@@ -1,10 +1,12 @@
 """J: joins, guards, the wide-table build, relationship checks."""
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..operators import joins as j
 from ..operators import relationships as rel
-from ..operators.derive import build_report, build_wide_table, guard_report
+from ..operators.derive import build_report, build_wide_table, guard_report, warning_rows
 from ..operators.profile import introspect
 from ..plans.collection import Aggregation, Collection, Relationship
 from .base import ORDERS_WITH_HOLES, orders_with_holes, query, r, table
@@ -145,6 +147,19 @@ FROM customer LEFT JOIN (
 LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey"""
 
 
+@query("j10_wide_table_warnings", """
+SELECT * FROM (VALUES ('''orders'': column ''absent'' not found, skipped'), ('''orders'': unknown function ''product'', skipped'), ('''supplier'' is aggregated but no relationship joins it')) AS t(warning)""")
+def wide_warnings(spark, sf):
+    """Columns and functions that aren't there are skipped, and the build goes on."""
+    odd = replace(FLAGSHIP, tables=[*FLAGSHIP.tables, "supplier"], aggregations=[
+        Aggregation("orders", "o_custkey", "ORD_", [
+            {"column": "o_totalprice", "functions": ["sum", "product"]}, {"column": "absent", "functions": ["sum"]}]),
+        Aggregation("supplier", "s_nationkey", "SUP_", [{"column": "s_acctbal", "functions": ["sum"]}]),
+    ])
+    built = build_wide_table(odd, {**flagship_tables(spark, sf), "supplier": table(spark, sf, "supplier")})
+    return warning_rows(built).filter(built.df.agg(F.count("ORD_o_totalprice_sum")).scalar() > 0)
+
+
 @query("j10_wide_table", _FLAGSHIP_SQL)
 def wide(spark, sf):
     return _flagship(spark, sf).df

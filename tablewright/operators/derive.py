@@ -35,10 +35,12 @@ def build_wide_table(collection: Collection, tables: Mapping[str, DataFrame], *,
     Relationships are folded in order onto the growing table, so the left
     column is looked up in what has been joined so far.  An aggregated table
     has unique keys; a raw one is cut to the first row per key unless
-    ``guard`` is off (then its rows multiply, as in a plain join).  Nothing
-    runs until the caller acts on ``df``.
+    ``guard`` is off (then its rows multiply, as in a plain join).  Unknown
+    tables, double entries and self joins are errors; an absent column or an
+    unknown function is skipped and told in ``warnings``.  Nothing runs until
+    the caller acts on ``df``.
     """
-    problems = validate_collection(collection, tables)
+    problems = validate_collection(collection, tables, columns=False)
     if problems:
         raise ValueError("; ".join(problems))
     primary = tables[collection.primary]
@@ -47,6 +49,8 @@ def build_wide_table(collection: Collection, tables: Mapping[str, DataFrame], *,
         primary = first_rows(primary, order, sample_rows) if order else primary.limit(sample_rows)
     out = Derived(df=primary, primary=primary)
 
+    if collection.target and collection.target not in primary.columns:
+        out.warnings.append(f"target column '{collection.target}' not in table '{collection.primary}'")
     rolled: dict[str, DataFrame] = {}
     for a in collection.aggregations:
         try:

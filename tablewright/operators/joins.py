@@ -8,6 +8,7 @@ full outer join whose hot key is on the left.
 from __future__ import annotations
 
 from collections.abc import Sequence
+import itertools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -93,7 +94,8 @@ def join_tables(left: DataFrame, right: DataFrame, left_key: str, right_key: str
     """Join ``right`` onto ``left`` on one key pair.
 
     Null keys meet null keys unless ``null_safe`` is off.  Columns of the right
-    side whose name is taken become ``{right_name}_{column}``.  The output has
+    side whose name is taken become ``{right_name}_{column}``, with a number
+    after it where that is taken too.  The output has
     the key once, under the left name; rows that exist only on the right keep
     their key.
     """
@@ -102,10 +104,11 @@ def join_tables(left: DataFrame, right: DataFrame, left_key: str, right_key: str
     if coerce:
         left, right = coerce_keys(left, right, left_key, right_key)
     taken = [c for c in overlap(left.columns, right.columns) if c != right_key]
-    renamed = {c: f"{right_name}_{c}" for c in taken}
-    clash = (set(renamed.values()) & (set(left.columns) | set(right.columns)))
-    if clash:
-        raise ValueError(f"renamed columns would collide: {sorted(clash)}")
+    used, renamed = set(left.columns) | set(right.columns), {}
+    for c in taken:
+        names = itertools.chain([f"{right_name}_{c}"], (f"{right_name}_{c}_{i}" for i in itertools.count(2)))
+        renamed[c] = next(n for n in names if n not in used)
+        used.add(renamed[c])
     others = [c for c in right.columns if c != right_key]
     side = right.select(col(right_key).alias("_right_key"), *[col(c).alias(renamed.get(c, c)) for c in others])
     right_out = [renamed.get(c, c) for c in others]

@@ -58,8 +58,11 @@ def orphaned_aggregations(collection: Collection) -> list[str]:
     return [a.table for a in collection.aggregations if a.table not in used]
 
 
-def validate_collection(collection: Collection, tables: Mapping[str, DataFrame]) -> list[str]:
-    """Everything wrong with the configuration, judged by schemas alone."""
+def validate_collection(collection: Collection, tables: Mapping[str, DataFrame], columns: bool = True) -> list[str]:
+    """Everything wrong with the configuration, judged by schemas alone.
+
+    ``columns=False`` leaves out missing columns, which a build skips with a warning.
+    """
     problems = []
     if collection.primary not in tables:
         problems.append(f"primary table '{collection.primary}' is unknown")
@@ -68,7 +71,7 @@ def validate_collection(collection: Collection, tables: Mapping[str, DataFrame])
         for table, column in ((r.left_table, r.left_column), (r.right_table, r.right_column)):
             if table not in tables:
                 problems.append(f"table '{table}' is unknown")
-            elif column not in tables[table].columns:
+            elif columns and column not in tables[table].columns:
                 problems.append(f"column '{column}' not in table '{table}'")
         if r.left_table == r.right_table:
             problems.append(f"table '{r.left_table}' cannot be joined to itself")
@@ -85,10 +88,10 @@ def validate_collection(collection: Collection, tables: Mapping[str, DataFrame])
             problems.append(f"table '{a.table}' is unknown")
             continue
         for column in [a.group_by, *[f["column"] for f in a.features]]:
-            if column not in tables[a.table].columns:
+            if columns and column not in tables[a.table].columns:
                 problems.append(f"column '{column}' not in table '{a.table}'")
     target = collection.target
-    if target and collection.primary in tables and target not in tables[collection.primary].columns:
+    if columns and target and collection.primary in tables and target not in tables[collection.primary].columns:
         problems.append(f"target column '{target}' not in table '{collection.primary}'")
     return problems
 

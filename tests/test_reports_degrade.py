@@ -1,8 +1,11 @@
 """Reports on tables without some kind of column are empty; builds and readers keep what they are given."""
 
+from statistics import NormalDist
+
+import numpy as np
 import pytest
 
-from tablewright.operators import correlation, joins, profile, relationships
+from tablewright.operators import correlation, distribution, joins, profile, relationships
 from tablewright.sources.readers import read_csv
 from tablewright.sources.writers import csv_round_trip, write_csv
 
@@ -44,3 +47,16 @@ def test_integers_meet_decimals_exactly(spark):
 def test_no_suggestions_to_measure(spark):
     none = spark.createDataFrame([], "left_table string, right_table string, left_column string, right_column string, confidence double")
     assert relationships.measure_suggestions(none, {}).count() == 0
+
+
+def test_normal_scores_are_the_inverse_normal():
+    inverse = NormalDist().inv_cdf
+    for n in (3, 50, 5000, 100_000):
+        shares = (np.arange(1, n + 1) - 0.375) / (n + 0.25)
+        assert np.allclose(distribution.normal_scores(shares), [inverse(s) for s in shares], rtol=0, atol=1e-9)
+
+
+def test_a_taken_name_gets_a_number(spark):
+    left = spark.createDataFrame([(1, 2, 3)], "k int, v int, r_v int")
+    got = joins.join_tables(left, spark.createDataFrame([(1, 9)], "k2 int, v int"), "k", "k2", "left", "r")
+    assert got.renamed == {"v": "r_v_2"} and got.df.first().r_v_2 == 9
