@@ -4,6 +4,7 @@ A suffix array sorted only to ``width`` bytes has one group per repeated
 window.  The sort is by most significant digit, in passes that drop a suffix
 as soon as its group has no other member:
 
+0. Each task settles what repeats among its own texts and sends one record of it.
 1. *First digit, over the cluster.*  Of each window the smallest of its
    32-byte substrings (by hash) is its anchor, so equal windows have equal
    anchors at equal places.  Only one record per anchor (about 1.5 in 100
@@ -38,6 +39,7 @@ from .texthash import Buffer, U, mix, sliding
 
 _ANCHOR = 32
 _SEGMENT = 1 << 20  # bytes of a text that are looked at together
+_LONGEST = 1 << 19  # bytes of a settled run in one record
 SPAN, REQUEST, SPREAD = 0, 1, 2
 
 
@@ -103,6 +105,41 @@ def _changes(*columns: np.ndarray) -> np.ndarray:
     return out
 
 
+def combine(found: dict[str, np.ndarray], copies: np.ndarray) -> dict[str, np.ndarray]:
+    """Settle what repeats among one task's own texts before anything is shuffled.
+
+    ``copies`` says how many rows each record stands for.  Of a span that occurs
+    twice here one record goes on, with weight 2; where it occurs is settled, and
+    told in merged runs with weight 0 under a key of the text's own.  So a span
+    or text that a third of all rows hold is one record per batch.
+    """
+    _, first, of = np.unique(mix(found["anchor"].view(U) * U(0x8EBC6AF09C88C6E3) + found["span"].view(U)), return_index=True, return_inverse=True)
+    times = np.bincount(of, copies)
+    many = times[of] > 1
+    keep = ~many
+    keep[first] = True
+    out = {k: found[k][keep] for k in ("anchor", "span", "doc", "place")}
+    out["weight"] = np.minimum(times[of[keep]], 2).astype(np.int64)
+    if not many.any():
+        return out
+    doc, (start, length) = found["doc"][many], unpack(found["place"][many])
+    order = np.lexsort((start, doc))
+    doc, start, end = doc[order], start[order], (start + length)[order]
+    # The furthest end so far within a text; texts are kept apart by a large step.
+    step = np.cumsum(_changes(doc)) * (int(end.max()) + 1)
+    reach = np.maximum.accumulate(end + step)
+    new = np.concatenate([[True], (start + step)[1:] > reach[:-1]]) | _changes(doc)
+    begins = np.flatnonzero(new)
+    ends = (reach - step)[np.append(begins[1:], len(doc)) - 1]
+    pieces = -(-(ends - start[begins]) // _LONGEST)
+    at = np.repeat(start[begins], pieces) + (np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * _LONGEST
+    runs = {"doc": np.repeat(doc[begins], pieces), "place": pack(at, np.minimum(np.repeat(ends, pieces) - at, _LONGEST))}
+    runs["anchor"] = mix(runs["doc"].view(U)).view(np.int64)
+    runs["span"], runs["weight"] = runs["place"], np.zeros(len(at), np.int64)
+    return {k: np.concatenate([out[k], runs[k]]) for k in out}
+
+
+_ANCHORS = "anchor long, span long, doc long, place long, weight long"
 _SETTLED = "anchor long, doc long, place long, kind int, known boolean"
 
 
@@ -156,8 +193,14 @@ def settle(crowd: int):
         for pdf in batches:
             if not len(pdf):
                 continue
+            weight = pdf["weight"].to_numpy()
             x = {k: pdf[k].to_numpy() for k in ("anchor", "span", "doc", "place")}
-            x["weight"], x["told"] = np.ones(len(pdf), np.int64), np.zeros(len(pdf), bool)
+            if not weight.all():  # settled before the shuffle
+                yield rows(weight == 0, x, SPAN, True)
+                x, weight = {k: v[weight > 0] for k, v in x.items()}, weight[weight > 0]
+                if not len(weight):
+                    continue
+            x["weight"], x["told"] = weight, np.zeros(len(weight), bool)
             if carry is not None:
                 x = {k: np.concatenate([carry[k], x[k]]) for k in x}
             out, carry, crowded = step(x, crowded, False)
@@ -267,7 +310,8 @@ def _cut(width: int, spread: bool):
                     out["place"].append(pack(at, np.full(len(at), width)))
                     out["doc"].append(np.full(len(at), doc, np.int64))
             if out["doc"]:
-                yield pd.DataFrame({k: v if k == "bytes" else np.concatenate(v) for k, v in out.items() if v})
+                frame = pd.DataFrame({k: v if k == "bytes" else np.concatenate(v) for k, v in out.items() if v})
+                yield frame.assign(weight=1) if spread else frame
 
     return run
 
@@ -316,17 +360,18 @@ def remove_repeats(docs: DataFrame, text: str = "text", width: int = 200, crowd:
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            texts = [t.encode() for t in pdf["_text"]]
-            for some, keys, base in _segments(texts, pdf["_doc"].to_numpy(), width):
-                found = anchors(some, keys, base, width)
-                if len(found["doc"]):
-                    yield pd.DataFrame(found)
+            keys, first, times = np.unique(pdf["_doc"].to_numpy(), return_index=True, return_counts=True)
+            texts = [t.encode() for t in pdf["_text"].iloc[first]]
+            parts = [anchors(some, own, base, width) for some, own, base in _segments(texts, keys, width)]
+            found = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]} if parts else {"doc": keys[:0]}
+            if len(found["doc"]):
+                yield pd.DataFrame(combine(found, times[np.searchsorted(keys, found["doc"])]))
 
     def settled(rows: DataFrame) -> DataFrame:
         rows = rows.repartition("anchor").sortWithinPartitions("anchor", "span", "doc", "place")
         return rows.mapInPandas(settle(crowd), _SETTLED)
 
-    first = written(settled(keyed.select("_doc", "_text").mapInPandas(find, "anchor long, span long, doc long, place long")), "repeats")
+    first = written(settled(keyed.select("_doc", "_text").mapInPandas(find, _ANCHORS)), "repeats")
     asked = first.where(F.col("kind") != SPAN).groupBy(F.col("doc").alias("_doc")).agg(
         F.collect_list("anchor").alias("_anchors"), F.collect_list("place").alias("_places"),
         F.collect_list("kind").alias("_kinds"), F.collect_list("known").alias("_known"),
@@ -334,7 +379,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", width: int = 200, crowd:
     joined = keyed.join(asked, "_doc")
     parts = joined.mapInPandas(_cut(width, False), "anchor long, doc long, place long, known boolean, bytes binary")
     second = parts.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(_compare(width), "doc long, place long")
-    many = joined.where(F.array_contains("_kinds", SPREAD)).mapInPandas(_cut(width, True), "anchor long, span long, doc long, place long")
+    many = joined.where(F.array_contains("_kinds", SPREAD)).mapInPandas(_cut(width, True), _ANCHORS)
     third = settled(many).where(F.col("kind") == SPAN).select("doc", "place")
     spans = first.where(F.col("kind") == SPAN).select("doc", "place").unionByName(second).unionByName(third)
     spans = spans.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("place").alias("_places"))

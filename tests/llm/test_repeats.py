@@ -31,7 +31,7 @@ def texts(seed, n=60):
     words = ["alpha", "béta", "gamma", "delta", "ñu", "rho", "s", "tau"]
     make = lambda k: " ".join(r.choice(words) + str(r.randrange(40)) for _ in range(k))
     shared, line = make(60), "common line " * 6
-    out = [None, "", "short", "a" * 900, "ab" * 400, shared, shared]
+    out = [None, "", "short", "a" * 900, "ab" * 400, shared, shared, *["xy z" * 90] * 5, *[make(70)] * 4]
     for i in range(n):
         t = make(r.randrange(5, 150))
         if i % 3 == 0:
@@ -71,7 +71,7 @@ def test_repeats_of_an_empty_table(spark):
 def test_settle_does_not_depend_on_batches():
     r = random.Random(3)
     rows = sorted((r.randrange(6), r.randrange(5), r.randrange(4), r.randrange(3)) for _ in range(300))
-    pdf = pd.DataFrame(rows, columns=["anchor", "span", "doc", "place"])
+    pdf = pd.DataFrame(rows, columns=["anchor", "span", "doc", "place"]).assign(weight=1)
     for crowd in (1, 3, 100):
         whole = pd.concat(list(repeats.settle(crowd)(iter([pdf]))))
         for size in (1, 2, 7, 50):
@@ -80,3 +80,19 @@ def test_settle_does_not_depend_on_batches():
             assert sort(parts[parts.kind == 0]) == sort(whole[whole.kind == 0])
             asked = lambda x: {(a, d, p, bool(k)) for a, d, p, k in x[x.kind > 0][["anchor", "doc", "place", "known"]].itertuples(index=False)}
             assert asked(parts) == asked(whole)
+
+
+def test_combining_keeps_runs_apart_and_cuts_long_ones(monkeypatch):
+    monkeypatch.setattr(repeats, "_LONGEST", 300)
+    texts = [b"ab" * 500, b"ab" * 400, b"q" * 250 + bytes(range(48, 120)) * 4]
+    keys = np.array([5, -3, 9])
+    found = repeats.anchors(texts, keys, np.zeros(3, np.int64), 200)
+    got = repeats.combine(found, np.ones(len(found["doc"]), np.int64))
+    covered = {int(k): set() for k in keys}
+    start, length = repeats.unpack(got["place"])
+    for d, a, n, w in zip(got["doc"], start, length, got["weight"]):
+        if w == 0:
+            assert n <= 300
+            covered[int(d)] |= set(range(a, a + n))
+    assert covered[5] == set(range(1000)) and covered[-3] == set(range(800))
+    assert set(got["weight"].tolist()) <= {0, 1, 2}
