@@ -220,34 +220,50 @@ def repeated_windows(
     spans that are not known to be repeated as a whole.
     """
     lengths = np.fromiter(map(len, spans), np.int64, len(spans))
-    first = np.cumsum(lengths) - lengths
-    buffer = Buffer(np.frombuffer(b"".join(spans), np.uint8))
-    n = lengths - width + 1
-    of = np.repeat(np.arange(len(spans)), n)
-    at = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + first[of]
+    first, n = np.cumsum(lengths) - lengths, lengths - width + 1
+    # A large group has millions of windows: narrow numbers, and bytes are hashed a portion at a time.
+    of = np.repeat(np.arange(len(spans), dtype=np.int32), n)
+    at = np.ones(len(of), np.int32)
+    at[np.cumsum(n)[:-1]] = 1 - n[:-1]
+    at[:1] = 0
+    np.cumsum(at, out=at)
     salt = group.astype(np.int64).view(U) * U(0x8EBC6AF09C88C6E3)
+
+    def digits(reach: int) -> np.ndarray:
+        out = np.empty(len(of), U)
+        for a, b in portions(spans):
+            lo, hi = np.searchsorted(of, [a, b])
+            if lo < hi:
+                buffer, mine = Buffer(np.frombuffer(b"".join(spans[a:b]), np.uint8)), of[lo:hi]
+                place = (first - first[a])[mine] + at[lo:hi]
+                out[lo:hi] = mix(buffer.at(place, place + reach) + salt[mine])
+        return out
+
     owner = mix(salt + doc.astype(np.int64).view(U))
     _, inverse, times = np.unique(owner, return_inverse=True, return_counts=True)
     twice = np.flatnonzero((times[inverse] > 1)[of])
     if len(twice):
-        place = mix(owner[of[twice]] + (start[of[twice]] + at[twice] - first[of[twice]]).astype(U))
+        place = mix(owner[of[twice]] + (start[of[twice]] + at[twice]).astype(U))
         once = np.ones(len(at), bool)
         once[twice] = False
         once[twice[np.unique(place, return_index=True)[1]]] = True
         of, at = of[once], at[once]
     for reach in (width // 2, width):
-        digit = mix(buffer.at(at, at + reach) + salt[of])
+        digit = digits(reach)
         order = np.argsort(digit)
-        same = digit[order[1:]] == digit[order[:-1]]
+        digit = digit[order]
+        same = digit[1:] == digit[:-1]
+        del digit
         more = np.zeros(len(at), bool)
-        more[order[1:]] |= same
-        more[order[:-1]] |= same
+        more[order[1:][same]] = True
+        more[order[:-1][same]] = True
+        del order, same
         of, at = of[more], at[more]
     mine = ~known[of]
     of, at = of[mine], at[mine]
     begins = np.flatnonzero(_changes(of, at - np.arange(len(at))))
     ends = np.append(begins[1:], len(at))[: len(begins)] - 1
-    return of[begins], at[begins] - first[of[begins]], at[ends] - first[of[begins]]
+    return of[begins], at[begins].astype(np.int64), at[ends].astype(np.int64)
 
 
 def _compare(width: int):
