@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from __spark_entry__ import queries
+from tablewright.catalog import QUERIES
 from tablewright.operators.aggregate import aggregate_table
 from tablewright.operators.joins import first_row_per_key, orphan_rows
 from tablewright.operators.profile import first_values
@@ -15,7 +15,7 @@ FOLDER = data_folder("0.001")
 PYTHON = re.compile(r"ArrowEvalPython|BatchEvalPython|MapInPandas|MapInArrow|PythonMapInArrow|FlatMapGroups")
 # Where Python is allowed: normal scores, p values, matrix partials and k*k matrices.
 MAY_USE_PYTHON = {"q7_shapiro_wilk", "q7_normality_moments", "q12_complete_profile", "o4_top_by_magnitude",
-                  "e12_feature_interactions", *(n for n in queries() if re.match(r"c\d", n))}
+                  "e12_feature_interactions", *(n for n in QUERIES if re.match(r"c\d", n))}
 # Fitting and streaming run while the frame is built.
 EAGER = ("m14_", "t1_", "t3_streamed", "t4_", "t5_", "t6_", "m1_")
 
@@ -24,9 +24,9 @@ def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(n for n in queries() if not n.startswith(EAGER)))
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if not n.startswith(EAGER)))
 def test_no_product_and_no_stray_python(spark, name):
-    plan = plan_of(queries()[name](spark, FOLDER))
+    plan = plan_of(QUERIES[name].build(spark, FOLDER))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     if name not in MAY_USE_PYTHON:
         assert not PYTHON.search(plan)
