@@ -15,6 +15,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import col, quoted
 from ..plans.schema import numeric_cells, numeric_columns
@@ -53,13 +54,16 @@ def _with_bucket(df: DataFrame, order_by: Sequence[str], groups: Sequence[str],
     names = [quoted(c) for c in order_by]
     by = names[0] if len(names) == 1 else f"struct({', '.join(names)})"
     spread = F.struct(*[col(c) for c in [*order_by, *groups, *used]])
+    # Any text splits the order, so a short beginning of a drawn one does: 999 whole documents need not be kept.
+    short = [f"substring({n}, 1, 64) AS {n}" if isinstance(df.schema[c].dataType, T.StringType) else n for c, n in zip(order_by, names)]
+    point = f"struct({', '.join(short)})" if len(short) > 1 else short[0].removesuffix(f" AS {names[0]}")
 
     def reached(points: str) -> str:
         # Written out, not as a lambda, so that it is compiled; a missing point compares as null.
         return " + ".join(f"CASE WHEN get({points}, {i}) <= {by} THEN 1 ELSE 0 END" for i in range(_FAN - 1))
 
     # ``_bucket`` can never be null, or the optimizer would test it for null far below, on raw rows.
-    out = df.withColumn("_splits", _split_points(df, F.expr(by), spread))
+    out = df.withColumn("_splits", _split_points(df, F.expr(point), spread))
     out = out.selectExpr("*", f"{reached('_splits.hundreds')} AS _hundreds")
     out = out.selectExpr("*", "get(_splits.tens, _hundreds) AS _points")
     out = out.selectExpr("*", f"_hundreds * {_FAN} + {reached('_points')} AS _tens")
