@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import portions, small_batches, text_or_empty
 from .wordbpe import encoder
 
-BLOCK = 1 << 23  # ids that one task packs together, at most: 32 MB
+BLOCK = 1 << 22  # ids that one task packs together, at most: 16 MB
 
 
 class OpenWindows:
@@ -117,7 +117,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = 4096, id:
     ``tokenizer`` is the path of a tokenizers file whose pre-tokenizer drops
     white space; it must be there on every executor.  ``end_id`` ends each
     document, so a null or empty text is one piece of one id.  Each task packs
-    its own rows in blocks of up to 8 million ids, without a shuffle: at most
+    its own rows in blocks of up to 4 million ids, without a shuffle: at most
     the last window of a block is not full.  Sequence ids are unique, not
     gapless.  Rows with a null or repeated id are packed like any others.  With ``ids``, the ids of a piece
     come as an array in column ids.  Other columns are not read.

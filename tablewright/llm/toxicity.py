@@ -78,7 +78,7 @@ def _bags(texts: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray, np.nd
         ids.append(found)
         shares.append(share.astype(np.float32))
         begins.append(begins[-1] + len(found))
-        if len(known) > _MOST_WORDS:
+        if len(known) > _MOST_WORDS // 5:  # on the driver: arrays, not numbers
             known.clear()
     return np.array(begins), np.concatenate(ids), np.concatenate(shares)
 
@@ -88,7 +88,7 @@ def _telling(begins: np.ndarray, ids: np.ndarray, labels: np.ndarray, buckets: i
     n, positive = len(labels), labels.sum()
     texts = np.bincount(ids, minlength=buckets)
     share = texts / n
-    toxic = np.bincount(ids, np.repeat(labels, np.diff(begins)), buckets)
+    toxic = np.bincount(ids[np.repeat(labels > 0, np.diff(begins))], minlength=buckets)
     spread = np.sqrt(np.maximum(positive * share * (1 - share) * (n - positive) / n, 1e-9))
     return (np.abs(toxic - positive * share) >= errors * spread) & (texts >= 3)
 
