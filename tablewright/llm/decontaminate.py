@@ -8,10 +8,14 @@
    a random matrix and by their own transpose, the sums over all tasks span the
    leading singular directions.  The items' own vectors join that basis, so that
    projecting loses nothing of an item.
-4. Passages near an item by cosine in that space are candidates.  The longest
-   common subsequence of the item and the words around the candidate decides;
-   a paraphrase that keeps half of the item counts if it also holds the item's
-   answer (its last sentence) in full.
+4. Passages near an item by cosine in that space are candidates.  So is, whatever
+   its words weigh, every stretch of a text that holds enough of an item's rarest
+   words: no text that keeps the least share of an item's words can hold fewer, and
+   copies of an item in many texts can't hide each other.  The longest common
+   subsequence of the item and the words around the candidate decides; a paraphrase
+   that keeps half of the item counts if it also holds the item's answer (its last
+   sentence) in full: in order, and word for word where only the rarest words led there,
+   for among common words some half of an item and its answer meet by chance.
 
 Items are processed in blocks; what is broadcast is bounded by the benchmark's
 vocabulary and one block of items.
@@ -19,6 +23,7 @@ vocabulary and one block of items.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -172,6 +177,62 @@ def common_subsequence(item: np.ndarray, words: np.ndarray) -> int:
     return len(item) - row.bit_count()
 
 
+@dataclass(frozen=True)
+class Holders:
+    """Some items' rarest words: the items (``item``) of word w stand from ``at[w]`` to ``at[w + 1]``."""
+
+    at: np.ndarray
+    item: np.ndarray
+
+
+def _rarest(words: np.ndarray, seen: np.ndarray, blocks: int, least: float) -> tuple[np.ndarray, int, float]:
+    """Words of an item, how many of them every text that keeps the share ``least`` of it holds, and how often one is met.
+
+    Of n words such a text keeps t, and so at least k of the n - t + k rarest; the
+    k that costs least to look for is taken, by the words' frequencies.
+    """
+    n = len(words)
+    t = min(n, max(1, math.ceil(least * n - 1e-9)))
+    ordered = words[np.argsort(seen[words], kind="stable")]
+    best = (np.inf, ordered, 1, 0.0)
+    for k in range(1, t + 1):
+        some = np.unique(ordered[: n - t + k])
+        rate = float(seen[some].sum()) / max(1, blocks * _HALF)
+        mean = rate * _span(n)
+        chance = max(0.0, 1.0 - sum(math.exp(i * math.log(mean) - mean - math.lgamma(i + 1)) for i in range(k - 1))) if mean else float(k == 1)
+        # A candidate costs as much as some hundred words that are only met.
+        best = min(best, (rate * (1 + 300 * chance), some, k, rate), key=lambda x: x[0])
+    return best[1:]
+
+
+def _span(n: int) -> int:
+    """Words that an item of n words may be spread over: a passage and the item's length around it."""
+    return 2 * _HALF + 2 * n
+
+
+def rare_words(items: list[np.ndarray], seen: np.ndarray, blocks: int, least: float) -> tuple[list[Holders], np.ndarray]:
+    """Holders of all items, in groups of which few words are met at a place of a text, and each item's least number."""
+    found = [_rarest(words, seen, blocks, least) for words in items]
+    groups, total = np.zeros(len(items), np.int64), 0.0
+    for i, (_, _, rate) in enumerate(found):
+        total += rate
+        groups[i] = int(total // 4)
+    out = []
+    for g in np.unique(groups):
+        mine = np.flatnonzero(groups == g)
+        word = np.concatenate([found[i][0] for i in mine])
+        item = np.repeat(mine, [len(found[i][0]) for i in mine]).astype(np.uint16)
+        out.append(Holders(np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(seen)))]), item[np.argsort(word, kind="stable")]))
+    return out, np.array([k for _, k, _ in found], np.int64)
+
+
+def _places(some: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Where ``some`` stands word for word."""
+    if not 0 < len(some) <= len(words):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero((np.lib.stride_tricks.sliding_window_view(words, len(some)) == some).all(axis=1))
+
+
 @dataclass(frozen=True)
 class Index:
     """The latent space and one block of items in it; ``cosine`` and the overlaps are the thresholds."""
@@ -183,6 +244,8 @@ class Index:
     words: list[np.ndarray]
     answers: list[np.ndarray]
     different: list[tuple[np.ndarray, np.ndarray]]
+    holders: list[Holders]
+    least: np.ndarray
     kind: str
     cosine: float
     overlap: float
@@ -191,10 +254,19 @@ class Index:
     def leaks(self, codes: list[bytes]) -> list[list[tuple[int, float]]]:
         """For each text the items it holds, each with the share of the item's words found in order."""
         words, block, begins = _blocks(codes, self.kind)
+        done: dict[tuple[int, int], float] = {}
+        self._near(codes, words, block, begins, done)
+        self._holding(codes, words, done)
         out: list[list[tuple[int, float]]] = [[] for _ in codes]
+        for (text, k), share in sorted(done.items()):
+            out[text].append((self.ids[k], share))
+        return out
+
+    def _near(self, codes: list[bytes], words: np.ndarray, block: np.ndarray, begins: np.ndarray, done: dict[tuple[int, int], float]) -> None:
+        """What stands around the passages near an item in the latent space."""
         some = self.idf[words] > 0
         if not some.any():
-            return out
+            return
         picked, at = words[some], block[some]
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         full = at[first]  # blocks that hold a telling word
@@ -210,29 +282,75 @@ class Index:
         near = passage @ self.items.T >= self.cosine * norm[:, None]
         item, where = np.nonzero((near & (norm[:, None] > 0)).T)
         if not len(item):
-            return out
+            return
         # Candidates of one item that touch in one text are checked together.
         new = np.ones(len(item), bool)
         new[1:] = (item[1:] != item[:-1]) | (text_of[where[1:]] != text_of[where[:-1]]) | (full[where[1:]] > full[where[:-1]] + 2)
         starts = np.flatnonzero(new)
         ends = np.append(starts[1:], len(item)) - 1
-        done: dict[tuple[int, int], float] = {}
         for k, p, q in zip(item[starts].tolist(), where[starts].tolist(), where[ends].tolist()):
             text = int(text_of[p])
             n = len(self.words[k])
             lo, hi = (int(full[p]) - int(begins[text])) * _HALF - n, (int(full[q]) - int(begins[text]) + 2) * _HALF + n
-            around = np.frombuffer(codes[text], self.kind)[max(0, lo) : hi]
-            # No more of the item can be there in order than is there at all.
-            different, times = self.different[k]
-            there = np.bincount(around, minlength=len(self.idf))[different]
-            if np.minimum(there, times).sum() < min(self.overlap, self.paraphrase) * n:
-                continue
-            share = common_subsequence(self.words[k], around) / n
-            if share >= self.overlap or share >= self.paraphrase and len(self.answers[k]) > 2 and common_subsequence(self.answers[k], around) == len(self.answers[k]):
+            share = self._share(k, np.frombuffer(codes[text], self.kind)[max(0, lo) : hi])
+            if share:
                 done[text, k] = max(share, done.get((text, k), 0.0))
-        for (text, k), share in sorted(done.items()):
-            out[text].append((self.ids[k], share))
-        return out
+
+    def _holding(self, codes: list[bytes], words: np.ndarray, done: dict[tuple[int, int], float]) -> None:
+        """What stands around the stretches that hold enough of an item's rarest words."""
+        ends = np.cumsum([len(c) // np.dtype(self.kind).itemsize for c in codes])
+        for held in self.holders:
+            count = held.at[words + 1] - held.at[words]
+            place = np.flatnonzero(count)
+            count = count[place]
+            if not len(place):
+                continue
+            first = np.cumsum(count) - count
+            item = held.item[np.repeat(held.at[words[place]] - first, count) + np.arange(int(count.sum()))]
+            order = np.argsort(item, kind="stable")
+            item, place = item[order].astype(np.int64), np.repeat(place, count)[order]
+            text = np.searchsorted(ends, place, "right")
+            last = np.arange(len(item)) + self.least[item] - 1
+            inside = last < len(item)
+            first, last = np.flatnonzero(inside), last[inside]
+            sizes = np.array([_span(len(w)) for w in self.words])
+            good = (item[first] == item[last]) & (text[first] == text[last]) & (place[last] - place[first] < sizes[item[first]])
+            first, last = first[good], last[good]
+            if not len(first):
+                continue
+            # Stretches of one item that overlap are checked together; both ends rise.
+            new = np.ones(len(first), bool)
+            new[1:] = first[1:] > last[:-1]
+            starts = np.flatnonzero(new)
+            stops = np.append(starts[1:], len(first)) - 1
+            for p, q in zip(first[starts].tolist(), last[stops].tolist()):
+                k, t = int(item[p]), int(text[p])
+                n, begin = len(self.words[k]), int(ends[t - 1]) if t else 0
+                around = np.frombuffer(codes[t], self.kind)[max(0, int(place[p]) - begin - n - _HALF) : int(place[q]) - begin + n + _HALF]
+                share = self._share(k, around, True)
+                if share and len(around) > _span(n) + _HALF:
+                    # A long stretch has more room than a leak may take: what decides is one place of it.
+                    share = max(self._share(k, around[at : at + _span(n) + _HALF], True) for at in range(0, len(around) - _span(n), _HALF))
+                if share:
+                    done[t, k] = max(share, done.get((t, k), 0.0))
+
+    def _share(self, k: int, around: np.ndarray, literal: bool = False) -> float:
+        """The share of an item's words that these words hold in order, 0 if that is no leak; ``literal``: a paraphrase's answer is word for word."""
+        n = len(self.words[k])
+        # No more of the item can be there in order than is there at all.
+        different, times = self.different[k]
+        there = np.bincount(around, minlength=len(self.idf))[different]
+        if np.minimum(there, times).sum() < min(self.overlap, self.paraphrase) * n:
+            return 0.0
+        share = common_subsequence(self.words[k], around) / n
+        return share if share >= self.overlap or share >= self.paraphrase and self._answered(k, around, literal) else 0.0
+
+    def _answered(self, k: int, around: np.ndarray, literal: bool) -> bool:
+        """Whether an item's answer is there in full."""
+        answer = self.answers[k]
+        if len(answer) <= 2:
+            return False
+        return bool(len(_places(answer, around))) if literal else common_subsequence(answer, around) == len(answer)
 
 
 def find_leaks(
@@ -242,10 +360,11 @@ def find_leaks(
     """One row per row of ``docs``: id, n_words, contaminated, item_ids, best_overlap.
 
     A text is contaminated by an item when ``overlap`` of the item's words stand
-    in it in order within the item's length around a passage that the index
-    finds, or ``paraphrase`` of them and the answer.  Words in more than
-    ``common`` of all passages carry no weight in the search (they count in the
-    order check); an item of such words only weighs them all alike.  Words are
+    in it in order within the item's length around a passage, or ``paraphrase``
+    of them and the answer.  Words in more than ``common`` of all passages carry
+    no weight in the latent space (they count in the order check); an item of such
+    words only weighs them all alike.  What that space doesn't find for it, the
+    search by rarest words does, which knows no limit on frequencies.  Words are
     runs of letters and digits in lower case.  A null or empty text is clean;
     items without words are left out; an empty benchmark contaminates nothing.
     Repeated and null ids are judged row by row; other columns are not read.
@@ -274,9 +393,10 @@ def find_leaks(
         basis = left[:, values > 1e-9 * max(values[0], 1e-300)]
         latent = vectors @ basis
         latent /= np.maximum(np.sqrt((latent * latent).sum(axis=1, keepdims=True)), 1e-12)
+        holders, least = rare_words(some, seen, blocks, min(overlap, paraphrase))
         index = Index(
             idf.astype(np.float32), basis.astype(np.float32), latent.astype(np.float32), items.ids[at : at + block], some,
-            items.answers[at : at + block], [np.unique(w, return_counts=True) for w in some], kind, cosine, overlap, paraphrase,
+            items.answers[at : at + block], [np.unique(w, return_counts=True) for w in some], holders, least, kind, cosine, overlap, paraphrase,
         )
         found = _search(found, index)
     return found.select(

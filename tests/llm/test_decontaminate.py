@@ -70,3 +70,21 @@ def test_items_of_common_words_only_are_found(spark):
     docs = spark.createDataFrame([(i, text(60) + (" " + item if i == 3 else "")) for i in range(200)], "doc_id long, text string")
     got = D.find_leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string"), overlap=0.95).where("contaminated").collect()
     assert [g.doc_id for g in got] == [3]
+
+
+def test_a_paraphrase_in_many_texts_does_not_hide_itself(spark):
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    items = [(i, " ".join(word() for _ in range(28)) + ". " + " ".join(word() for _ in range(4)) + ".") for i in range(5)]
+    leak = items[2][1].split()
+    for at in r.sample(range(28), 8):  # 75 % of the words are kept
+        leak[at] = word()
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    for rows, copies in ((300, 100), (4, 2)):
+        texts = [[word() for _ in range(100)] for _ in range(rows)]
+        for t in texts[:copies]:
+            at = r.randrange(100)
+            t[at:at] = leak
+        docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+        got = {g.doc_id: g.item_ids for g in D.find_leaks(docs, benchmark).collect()}
+        assert got == {i: [2] if i < copies else [] for i in range(rows)}
