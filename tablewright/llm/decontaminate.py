@@ -15,7 +15,9 @@
    subsequence of the item and the words around the candidate decides; a paraphrase
    that keeps half of the item counts if it also holds the item's answer (its last
    sentence) in full: in order, and word for word where only the rarest words led there,
-   for among common words some half of an item and its answer meet by chance.
+   for among common words some half of an item and its answer meet by chance.  An
+   answer of one or two words must stand word for word at the end of a stretch of the
+   item's length and a block that holds, with the answer, half of the item in order.
 
 Items are processed in blocks; what is broadcast is bounded by the benchmark's
 vocabulary and one block of items.
@@ -63,7 +65,7 @@ def read_benchmark(items: DataFrame, id: str = "item_id", text: str = "text") ->
     number = lambda h: np.searchsorted(vocabulary, h).astype(np.int64) + 1
     answers = []
     for _, h, t in found:
-        last = word_hashes([_raw(_SENTENCE.split(t.strip())[-1])], True)[0]
+        last = next(x for s in reversed(_SENTENCE.split(t.strip())) if len(x := word_hashes([_raw(s)], True)[0]))
         answers.append(number(last) if len(last) < len(h) else number(h))
     return Benchmark([i for i, _, _ in found], vocabulary, [number(h) for _, h, _ in found], answers)
 
@@ -349,7 +351,10 @@ class Index:
         """Whether an item's answer is there in full."""
         answer = self.answers[k]
         if len(answer) <= 2:
-            return False
+            # A word or two stand anywhere by chance: they must be next to the matched words.
+            body = self.words[k][: len(self.words[k]) - len(answer)]
+            wanted = self.paraphrase * len(self.words[k]) - len(answer)
+            return any(common_subsequence(body, around[max(0, p - len(body) - _HALF) : p]) >= wanted for p in _places(answer, around).tolist())
         return bool(len(_places(answer, around))) if literal else common_subsequence(answer, around) == len(answer)
 
 

@@ -88,3 +88,19 @@ def test_a_paraphrase_in_many_texts_does_not_hide_itself(spark):
         docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
         got = {g.doc_id: g.item_ids for g in D.find_leaks(docs, benchmark).collect()}
         assert got == {i: [2] if i < copies else [] for i in range(rows)}
+
+
+def test_a_paraphrase_with_a_short_answer_is_found(spark):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    body = [word() for _ in range(20)]
+    items = [(1, " ".join(body) + ". Ja."), (2, " ".join(body[::-1]) + "? Gamma Delta. ?!")]
+    clean = [word() for _ in range(40)]
+    half = lambda words: [w if i % 5 < 3 else word() for i, w in enumerate(words)]
+    texts = [
+        ([*clean, *half(body), "ja", *clean], [1]), ([*clean, *half(body), *clean], []), (["ja", *clean, *half(body), *clean], []),
+        ([*half(body[::-1]), "gamma", "delta"], [2]), ([*half(body[::-1]), "gamma", *clean, "delta"], []),
+    ]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    got = {g.doc_id: g.item_ids for g in D.find_leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(texts)}
