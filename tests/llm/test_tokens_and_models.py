@@ -110,3 +110,30 @@ def test_counts_and_losses_against_brute_force(spark):
         assert math.isclose(models.losses(np.array(ids[1:]), coder.size)[k], total / (len(ids) - 1), rel_tol=0.02)
     alone = L.fit(docs, labels.limit(0), PATH, P.PATTERN)
     assert {g.difference for g in L.score(docs, alone, PATH, P.PATTERN).collect()} == {0.0, None}
+
+
+def test_many_different_bigrams_are_counted_exactly(spark):
+    r = np.random.default_rng(5)
+    coder = encoder(PATH, P.PATTERN)
+    words = ["".join(w) for w in r.choice(list("abcdefghijklmnopqrstuvwxyz"), (20_000, 5)).tolist()]
+    texts = [" ".join(r.choice(words, 1000).tolist()) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    got = {g.doc_id: g for g in L.score(docs, L.fit(docs, labels, PATH, P.PATTERN), PATH, P.PATTERN).collect()}
+    ids = [[coder.size, *coder.encode(t).tolist()] for t in texts]
+    unigrams, pairs = [{}, {}], [{}, {}]
+    for i, x in enumerate(ids):
+        for k in (0, 1) if i % 2 else (1,):
+            for a in x:
+                unigrams[k][a] = unigrams[k].get(a, 0) + 1
+            for p in zip(x, x[1:]):
+                pairs[k][p] = pairs[k].get(p, 0) + 1
+    n = [sum(u.values()) for u in unigrams]
+    assert len(got) == 200 and len(pairs[1]) > 80_000
+    for i in (3, 4):
+        for k, name, scale in ((0, "target_loss", 1.0), (1, "background_loss", n[0] / n[1])):
+            total = 0.0
+            for a, b in zip(ids[i], ids[i][1:]):
+                one = (unigrams[k].get(b, 0) * scale + 1) / (n[k] * scale + coder.size + 1)
+                total -= math.log((pairs[k].get((a, b), 0) * scale + 200 * one) / (unigrams[k].get(a, 0) * scale + 200))
+            assert math.isclose(got[i][name], total / (len(ids[i]) - 1), rel_tol=1e-9)
