@@ -1,7 +1,8 @@
 """Toxicity: character n-gram embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word is the mean of the vectors of its character n-grams, a text the mean of
-its words and a few words without weight.  An unseen misspelling shares most n-grams with the word it hides.
+its words and a few words without weight.  A run of over 64 letters, as in scripts
+without blanks, counts as several words: pieces that overlap, so that no n-gram is lost.  An unseen misspelling shares most n-grams with the word it hides.
 Once trained, each n-gram's vector times the softmax weights is one number, so a
 text's score needs one look-up per word.
 """
@@ -23,18 +24,29 @@ from .sampling import held_out, labelled
 
 _WORD = re.compile(r"[^\W\d_]+")
 _MOST_WORDS = 300_000  # words whose weight a worker keeps
+_LONGEST = 64  # letters of a word or piece
+_CUT = "\0"
 _NEUTRAL = 8  # words without weight that every text's mean includes, so that three words can't decide alone
 
 
 def grams(word: str, buckets: int) -> list[int]:
-    """Buckets of a word's character 3- to 5-grams and of the word itself."""
-    whole = f"<{word[:64]}>"
+    """Buckets of a word's character 3- to 5-grams and of the word itself; a piece of a run has no mark where it is cut."""
+    whole = f"<{word}>".replace(f"<{_CUT}", "").replace(f"{_CUT}>", "")
     found = {whole} | {whole[i : i + n] for n in (3, 4, 5) for i in range(len(whole) - n + 1)}
     return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % buckets for g in sorted(found)]
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Runs of letters in lower case; long ones in pieces, with ``_CUT`` at the ends that are none of the run's."""
+    words = _WORD.findall(text.lower())
+    if not words or len(max(words, key=len)) <= _LONGEST:
+        return words
+    out = []
+    for w in words:
+        step = _LONGEST - 4  # each 5-gram is in a piece
+        for at in range(0, max(1, len(w) - 4), step) if len(w) > _LONGEST else (0,):
+            out.append((_CUT if at else "") + w[at : at + _LONGEST] + (_CUT if at + _LONGEST < len(w) else ""))
+    return out
 
 
 @dataclass(frozen=True)

@@ -46,3 +46,19 @@ def test_empty_tables_and_one_class(spark):
     assert {g.score for g in T.score_toxicity(docs, T.fit(docs, labels.limit(0))).collect()} == {0.5}
     only = T.fit(docs, labels.where("toxic = 0"))
     assert all(g.predicted == 0 for g in T.score_toxicity(docs, only).collect())
+
+
+def test_long_runs_are_read_to_their_end(spark):
+    r = random.Random(2)
+    letters = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    for n in (1, 63, 64, 65, 66, 124, 125, 126, 185, 1000):
+        run = letters(n)
+        whole = f"<{run}>"
+        want = {zlib.crc32(whole[i : i + k].encode()) % (1 << 30) for k in (3, 4, 5) for i in range(len(whole) - k + 1)}
+        got = set().union(*(T.grams(w, 1 << 30) for w in T.words_of(run)))
+        assert want <= got and (n > 64 or T.words_of(run) == [run])
+    _, docs, labels = _tables(spark)
+    model = T.fit(docs, labels)
+    neutral = "mida" * 30
+    plain, hidden, begun = model.score([neutral + "tepolomi" * 3, neutral + "scoundrel" * 3, "scoundrel" * 3 + neutral], {})
+    assert hidden > plain and begun > plain
