@@ -8,7 +8,10 @@ them says which lines read like content.  A region is content when lines above
 the threshold hold most of its text, and then all of its lines are kept, short
 ones too; a page's ``article`` or ``main`` takes the place of a page-wide region, and one that holds any line above it is content.
 Lines of menus, adverts, forms, comments and the like are told by element, role
-and class: they count for the threshold, but are never content.
+and class: they count for the threshold, but are never content.  A form, or an
+element told by class or id, that the page stands in is none of them: one that holds
+an ``article`` or ``main``, where none is outside it, and at least as much text as is
+outside, or, without, nine times that text.  The page is then read again without that mark.
 """
 
 from __future__ import annotations
@@ -55,23 +58,25 @@ _P_CLOSERS = _BLOCKS - frozenset("br body head html title option caption legend
 _NAME = re.compile(r"[a-z]+")
 
 
-def _marked(attrs: list[tuple[str, str | None]]) -> bool:
+def _marked(attrs: list[tuple[str, str | None]]) -> int:
+    """1 if the element is hidden or has such a role, 2 if only its class or id says what it is."""
+    found = 0
     for name, value in attrs:
         if name in ("class", "id"):
             low = (value or "").lower()
             if not _MARKS.isdisjoint(_NAME.findall(low)):
-                return True
+                found = 2
         elif name == "role" and (value or "").strip().lower() in _ROLES:
-            return True
+            return 1
         elif name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-    return False
+            return 1
+    return found
 
 
 @dataclass
 class Line:
     region: int
-    dropped: bool = False
+    dropped: int = 0
     tags: int = 0
     parts: list[str] = field(default_factory=list)
     text: str = ""
@@ -80,9 +85,13 @@ class Line:
 class Page(HTMLParser):
     """Cuts a page into lines while the parser runs; an element left open ends with its parent."""
 
-    def __init__(self) -> None:
+    def __init__(self, released: frozenset[int] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int]] = [("", False, 0)]  # element, dropped, region
+        # Element, dropped, region; dropped is 0, 1, or minus the number of the element whose class, id or form says so.
+        self.stack: list[tuple[str, int, int]] = [("", 0, 0)]
+        self.released, self.seen = released, 1
+        self.held: dict[int, int] = {}  # text inside such elements
+        self.articles: set[int] = set()  # those that hold an article or main
         self.regions: list[tuple[str, int]] = [("", -1)]  # element, parent
         self.lines: list[Line] = [Line(0)]
 
@@ -108,9 +117,18 @@ class Page(HTMLParser):
             self._close(frozenset(("head",)), frozenset())
         _, dropped, region = self.stack[-1]
         # A page header is dropped, one inside an article is its heading.
-        dropped = dropped or tag in _DROPPED or tag == "header" and not any(s[0] in ("article", "main") for s in self.stack)
+        self.seen += 1
+        if not dropped and tag in _DROPPED and tag != "form":
+            dropped = 1
+        if not dropped and tag == "header" and not any(s[0] in ("article", "main") for s in self.stack):
+            dropped = 1
+        if not dropped and tag == "form" and self.seen not in self.released:
+            dropped = -self.seen
         if not dropped and attrs and tag not in ("html", "body", "main") and (tag != "article" or any(s[0] in ("article", "main") for s in self.stack)):
-            dropped = _marked(attrs)
+            mark = _marked(attrs)
+            dropped = 1 if mark == 1 else -self.seen if mark and self.seen not in self.released else 0
+        if dropped < 0 and tag in ("article", "main"):
+            self.articles.add(-dropped)
         if tag in _VOID:
             if tag in ("br", "hr"):
                 self._break()
@@ -126,7 +144,7 @@ class Page(HTMLParser):
             self._switch(dropped)
         self.lines[-1].tags += 1
 
-    def _switch(self, dropped: bool) -> None:
+    def _switch(self, dropped: int) -> None:
         """An inline element that is dropped, or its end: the text around it stays one line."""
         self.lines.append(Line(self.stack[-1][2], dropped))
 
@@ -155,6 +173,8 @@ class Page(HTMLParser):
     def handle_data(self, data: str) -> None:
         if self.stack[-1][0] not in _RAW:
             self.lines[-1].parts.append(data)
+            if (dropped := self.stack[-1][1]) < 0 and not any(s[0] in _DROPPED and s[0] != "form" for s in self.stack):
+                self.held[-dropped] = self.held.get(-dropped, 0) + len(" ".join(data.split()))
 
 
 def _smoothed(values: np.ndarray, radius: int = 2) -> np.ndarray:
@@ -178,11 +198,27 @@ def _threshold(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
+def _read(html: str) -> tuple[Page, list[Line]]:
+    """The page and its lines, without the marks of what the page stands in."""
+    released: frozenset[int] = frozenset()
+    while True:
+        page = Page(released)
+        page.feed(html)
+        page.close()
+        lines = _joined(page.lines)
+        if not page.held or len(released) >= 8:
+            return page, lines
+        outside = [x for x in lines if not x.dropped]
+        size, most = sum(len(x.text) for x in outside), max(page.held, key=page.held.__getitem__)
+        if any(page.around(x.region, n) >= 0 for x in outside for n in ("article", "main")):
+            return page, lines
+        if page.held[most] < max(1, (1 if most in page.articles else 9) * size):
+            return page, lines
+        released |= {most}
+
+
 def main_text(html: str) -> str:
-    page = Page()
-    page.feed(html)
-    page.close()
-    lines = _joined(page.lines)
+    page, lines = _read(html)
     if not lines or all(x.dropped for x in lines):
         return ""
     sizes = np.array([len(x.text) for x in lines], float)

@@ -50,3 +50,13 @@ def test_pages_against_brute_force(spark):
     assert len(got) == 82 and extract(pages.limit(0)).count() == 0
     for g in got:
         assert g.text == want.get(g.page_id, "") and g.n_chars == len(g.text)
+
+
+@pytest.mark.parametrize("page,want", [
+    (f"<body><header>Site</header><div class='wrap has-sidebar'><article>{BODY}</article><div class=sidebar>Side</div></div></body>", TEXT),
+    (f"<body><form action=x><div class=menu><a>Menu</a></div><article>{BODY}</article><input></form></body>", TEXT),
+    (f"<body><form><div id='has-share'><div>{BODY}</div></div><nav>n</nav></form></body>", TEXT),
+    (f"<body><article>{BODY}</article><div id=comments><article><p>{'I disagree. ' * 300}</p></article></div></body>", TEXT),
+])
+def test_what_the_page_stands_in_is_not_dropped(page, want):
+    assert main_text(page) == want
