@@ -207,7 +207,7 @@ def _rarest(words: np.ndarray, seen: np.ndarray, blocks: int, least: float) -> t
     return best[1:]
 
 
-def _span(n: int) -> int:
+def _span(n):
     """Words that an item of n words may be spread over: a passage and the item's length around it."""
     return 2 * _HALF + 2 * n
 
@@ -223,7 +223,7 @@ def rare_words(items: list[np.ndarray], seen: np.ndarray, blocks: int, least: fl
     for g in np.unique(groups):
         mine = np.flatnonzero(groups == g)
         word = np.concatenate([found[i][0] for i in mine])
-        item = np.repeat(mine, [len(found[i][0]) for i in mine]).astype(np.uint16)
+        item = np.repeat(mine, [len(found[i][0]) for i in mine]).astype(np.int32)
         out.append(Holders(np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(seen)))]), item[np.argsort(word, kind="stable")]))
     return out, np.array([k for _, k, _ in found], np.int64)
 
@@ -235,9 +235,26 @@ def _places(some: np.ndarray, words: np.ndarray) -> np.ndarray:
     return np.flatnonzero((np.lib.stride_tricks.sliding_window_view(words, len(some)) == some).all(axis=1))
 
 
+class Places:
+    """Where each word stands in several texts put one after the other; text i begins at ``begins[i]``."""
+
+    def __init__(self, words: np.ndarray, begins: np.ndarray) -> None:
+        self.words, self.begins = words, begins
+        self._span = len(words) + 1
+        known = np.flatnonzero(words)
+        self._key = np.sort(words[known] * self._span + known)
+
+    def between(self, word: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """How often each word stands in [first, last)."""
+        return np.searchsorted(self._key, word * self._span + last) - np.searchsorted(self._key, word * self._span + first)
+
+
 @dataclass(frozen=True)
 class Index:
-    """The latent space and one block of items in it; ``cosine`` and the overlaps are the thresholds."""
+    """The latent space and one block of items in it; ``cosine`` and the overlaps are the thresholds.
+
+    Item k has ``sizes[k]`` words; its different ones stand from ``starts[k]`` to ``starts[k + 1]`` in ``word``, each with its number in ``times``.
+    """
 
     idf: np.ndarray
     basis: np.ndarray
@@ -245,7 +262,10 @@ class Index:
     ids: list[int]
     words: list[np.ndarray]
     answers: list[np.ndarray]
-    different: list[tuple[np.ndarray, np.ndarray]]
+    sizes: np.ndarray
+    starts: np.ndarray
+    word: np.ndarray
+    times: np.ndarray
     holders: list[Holders]
     least: np.ndarray
     kind: str
@@ -257,14 +277,15 @@ class Index:
         """For each text the items it holds, each with the share of the item's words found in order."""
         words, block, begins = _blocks(codes, self.kind)
         done: dict[tuple[int, int], float] = {}
-        self._near(codes, words, block, begins, done)
-        self._holding(codes, words, done)
+        counts = Places(words, np.concatenate([[0], np.cumsum([len(c) // np.dtype(self.kind).itemsize for c in codes])]).astype(np.int64))
+        self._near(words, block, begins, counts, done)
+        self._holding(words, counts, done)
         out: list[list[tuple[int, float]]] = [[] for _ in codes]
         for (text, k), share in sorted(done.items()):
             out[text].append((self.ids[k], share))
         return out
 
-    def _near(self, codes: list[bytes], words: np.ndarray, block: np.ndarray, begins: np.ndarray, done: dict[tuple[int, int], float]) -> None:
+    def _near(self, words: np.ndarray, block: np.ndarray, begins: np.ndarray, counts: Places, done: dict[tuple[int, int], float]) -> None:
         """What stands around the passages near an item in the latent space."""
         some = self.idf[words] > 0
         if not some.any():
@@ -289,18 +310,18 @@ class Index:
         new = np.ones(len(item), bool)
         new[1:] = (item[1:] != item[:-1]) | (text_of[where[1:]] != text_of[where[:-1]]) | (full[where[1:]] > full[where[:-1]] + 2)
         starts = np.flatnonzero(new)
-        ends = np.append(starts[1:], len(item)) - 1
-        for k, p, q in zip(item[starts].tolist(), where[starts].tolist(), where[ends].tolist()):
-            text = int(text_of[p])
-            n = len(self.words[k])
-            lo, hi = (int(full[p]) - int(begins[text])) * _HALF - n, (int(full[q]) - int(begins[text]) + 2) * _HALF + n
-            share = self._share(k, np.frombuffer(codes[text], self.kind)[max(0, lo) : hi])
+        stops = np.append(starts[1:], len(item)) - 1
+        k, text, n = item[starts], text_of[where[starts]], self.sizes[item[starts]]
+        first = (full[where[starts]] - begins[text]) * _HALF - n + counts.begins[text]
+        last = (full[where[stops]] - begins[text] + 2) * _HALF + n + counts.begins[text]
+        for k, text, around in self._possible(counts, k, text, first, last):
+            share = self._share(k, around)
             if share:
                 done[text, k] = max(share, done.get((text, k), 0.0))
 
-    def _holding(self, codes: list[bytes], words: np.ndarray, done: dict[tuple[int, int], float]) -> None:
+    def _holding(self, words: np.ndarray, counts: Places, done: dict[tuple[int, int], float]) -> None:
         """What stands around the stretches that hold enough of an item's rarest words."""
-        ends = np.cumsum([len(c) // np.dtype(self.kind).itemsize for c in codes])
+        spans = _span(self.sizes)
         for held in self.holders:
             count = held.at[words + 1] - held.at[words]
             place = np.flatnonzero(count)
@@ -311,12 +332,11 @@ class Index:
             item = held.item[np.repeat(held.at[words[place]] - first, count) + np.arange(int(count.sum()))]
             order = np.argsort(item, kind="stable")
             item, place = item[order].astype(np.int64), np.repeat(place, count)[order]
-            text = np.searchsorted(ends, place, "right")
+            text = np.searchsorted(counts.begins, place, "right") - 1
             last = np.arange(len(item)) + self.least[item] - 1
             inside = last < len(item)
             first, last = np.flatnonzero(inside), last[inside]
-            sizes = np.array([_span(len(w)) for w in self.words])
-            good = (item[first] == item[last]) & (text[first] == text[last]) & (place[last] - place[first] < sizes[item[first]])
+            good = (item[first] == item[last]) & (text[first] == text[last]) & (place[last] - place[first] < spans[item[first]])
             first, last = first[good], last[good]
             if not len(first):
                 continue
@@ -325,10 +345,11 @@ class Index:
             new[1:] = first[1:] > last[:-1]
             starts = np.flatnonzero(new)
             stops = np.append(starts[1:], len(first)) - 1
-            for p, q in zip(first[starts].tolist(), last[stops].tolist()):
-                k, t = int(item[p]), int(text[p])
-                n, begin = len(self.words[k]), int(ends[t - 1]) if t else 0
-                around = np.frombuffer(codes[t], self.kind)[max(0, int(place[p]) - begin - n - _HALF) : int(place[q]) - begin + n + _HALF]
+            first, last = first[starts], last[stops]
+            k, t = item[first], text[first]
+            n = self.sizes[k]
+            for k, t, around in self._possible(counts, k, t, place[first] - n - _HALF, place[last] + n + _HALF):
+                n = int(self.sizes[k])
                 share = self._share(k, around, True)
                 if share and len(around) > _span(n) + _HALF:
                     # A long stretch has more room than a leak may take: what decides is one place of it.
@@ -336,15 +357,25 @@ class Index:
                 if share:
                     done[t, k] = max(share, done.get((t, k), 0.0))
 
+    def _possible(
+        self, counts: Places, item: np.ndarray, text: np.ndarray, first: np.ndarray, last: np.ndarray,
+    ) -> Iterator[tuple[int, int, np.ndarray]]:
+        """The stretches [first, last) that hold enough of the item's words in any order, cut to their texts: (item, text, words).
+
+        No more of an item can be there in order than is there at all, a word counted as often as the item has it.
+        """
+        first, last = np.maximum(first, counts.begins[text]), np.minimum(last, counts.begins[text + 1])
+        sizes = self.starts[item + 1] - self.starts[item]
+        row = np.repeat(np.arange(len(item)), sizes)
+        entry = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(self.starts[item], sizes)
+        there = counts.between(self.word[entry], first[row], last[row])
+        held = np.bincount(row, np.minimum(there, self.times[entry]), len(item))
+        for i in np.flatnonzero(held >= min(self.overlap, self.paraphrase) * self.sizes[item]).tolist():
+            yield int(item[i]), int(text[i]), counts.words[first[i] : last[i]]
+
     def _share(self, k: int, around: np.ndarray, literal: bool = False) -> float:
         """The share of an item's words that these words hold in order, 0 if that is no leak; ``literal``: a paraphrase's answer is word for word."""
-        n = len(self.words[k])
-        # No more of the item can be there in order than is there at all.
-        different, times = self.different[k]
-        there = np.bincount(around, minlength=len(self.idf))[different]
-        if np.minimum(there, times).sum() < min(self.overlap, self.paraphrase) * n:
-            return 0.0
-        share = common_subsequence(self.words[k], around) / n
+        share = common_subsequence(self.words[k], around) / len(self.words[k])
         return share if share >= self.overlap or share >= self.paraphrase and self._answered(k, around, literal) else 0.0
 
     def _answered(self, k: int, around: np.ndarray, literal: bool) -> bool:
@@ -398,10 +429,12 @@ def find_leaks(
         basis = left[:, values > 1e-9 * max(values[0], 1e-300)]
         latent = vectors @ basis
         latent /= np.maximum(np.sqrt((latent * latent).sum(axis=1, keepdims=True)), 1e-12)
+        different = [np.unique(w, return_counts=True) for w in some]
         holders, least = rare_words(some, seen, blocks, min(overlap, paraphrase))
         index = Index(
             idf.astype(np.float32), basis.astype(np.float32), latent.astype(np.float32), items.ids[at : at + block], some,
-            items.answers[at : at + block], [np.unique(w, return_counts=True) for w in some], holders, least, kind, cosine, overlap, paraphrase,
+            items.answers[at : at + block], np.array([len(w) for w in some]), np.concatenate([[0], np.cumsum([len(w) for w, _ in different])]),
+            np.concatenate([w for w, _ in different]), np.concatenate([n for _, n in different]), holders, least, kind, cosine, overlap, paraphrase,
         )
         found = _search(found, index)
     return found.select(
