@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, lm_scoring, near_dups, packing, quality_rules, repeats, token_counts, toxicity, url_rules
+from . import alignment, decontaminate, html_text, lm_scoring, near_dups, packing, quality_rules, repeats, token_counts, toxicity, url_rules
 from .common import corpus
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_FILE, PIECE_MODEL = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 SITES = [
@@ -64,6 +65,10 @@ def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(corpus(spark, sf_dir, "documents"), corpus(spark, sf_dir, "benchmark"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(corpus(spark, sf_dir, "documents"), BYTE_FILE, PIECE_MODEL)
+
+
 _OWN = "|".join(r.pattern for r in url_rules.OWN_RULES)
 _SITE_ROWS = ", ".join(f"('{s}', '{v}')" for s, v in SITES)
 
@@ -145,7 +150,7 @@ FROM least LEFT JOIN sizes USING (doc_id)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_pack, op2_lm_scores, op3_main_text, op4_url_rules, op5_token_counts, op6_repeated_bytes, op7_toxicity, op8_near_duplicates,
-        op9_quality_rules, op10_benchmark_leaks,
+        op9_quality_rules, op10_benchmark_leaks, op12_token_alignment,
     )
 }
 SQL: dict[str, str] = {"op4_url_rules": OP4_SQL, "op6_repeated_bytes": OP6_SQL, "op8_near_duplicates": OP8_SQL}
