@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, decontaminate, html_text, lm_scoring, near_dups, packing, quality_rules, repeats, token_counts, toxicity, url_rules
+from . import alignment, decontaminate, html_text, lexical, lm_scoring, near_dups, packing, quality_rules, repeats, token_counts, toxicity, url_rules
 from .common import corpus
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -69,6 +69,10 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(corpus(spark, sf_dir, "documents"), BYTE_FILE, PIECE_MODEL)
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(corpus(spark, sf_dir, "documents"), corpus(spark, sf_dir, "benchmark"))
+
+
 _OWN = "|".join(r.pattern for r in url_rules.OWN_RULES)
 _SITE_ROWS = ", ".join(f"('{s}', '{v}')" for s, v in SITES)
 
@@ -147,10 +151,37 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id
 FROM least LEFT JOIN sizes USING (doc_id)
 """
 
+OP13_SQL = r"""
+WITH words AS (
+    SELECT doc_id, unnest(regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9A-Za-z\x{80}-\x{10FFFF}]+')) AS term
+    FROM documents
+), held AS (
+    SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL
+), lengths AS (
+    SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id
+), totals AS (
+    SELECT count(*) AS texts, sum(n)::BIGINT AS total FROM lengths
+), weights AS (
+    SELECT term, floor(1000 * ln((2 * texts + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM held, totals GROUP BY term, texts
+), asked AS (
+    SELECT DISTINCT item_id, unnest(regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9A-Za-z\x{80}-\x{10FFFF}]+')) AS term
+    FROM benchmark
+), scored AS (
+    SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * texts) // total))))::BIGINT AS score
+    FROM asked JOIN held USING (term) JOIN weights USING (term) JOIN lengths USING (doc_id), totals
+    GROUP BY item_id, doc_id
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM scored WHERE score > 0
+QUALIFY rank <= 10
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_pack, op2_lm_scores, op3_main_text, op4_url_rules, op5_token_counts, op6_repeated_bytes, op7_toxicity, op8_near_duplicates,
-        op9_quality_rules, op10_benchmark_leaks, op12_token_alignment,
+        op9_quality_rules, op10_benchmark_leaks, op12_token_alignment, op13_lexical_search,
     )
 }
-SQL: dict[str, str] = {"op4_url_rules": OP4_SQL, "op6_repeated_bytes": OP6_SQL, "op8_near_duplicates": OP8_SQL}
+SQL: dict[str, str] = {"op4_url_rules": OP4_SQL, "op6_repeated_bytes": OP6_SQL, "op8_near_duplicates": OP8_SQL, "op13_lexical_search": OP13_SQL}
