@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, decontaminate, html_text, lexical, lm_scoring, near_dups, packing, quality_rules, repeats, token_counts, toxicity, url_rules
+from . import alignment, byte_cnn, decontaminate, html_text, lexical, lm_scoring, near_dups, packing, quality_rules, repeats, token_counts, toxicity, url_rules
 from .common import corpus
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -65,6 +65,11 @@ def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(corpus(spark, sf_dir, "documents"), corpus(spark, sf_dir, "benchmark"))
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = corpus(spark, sf_dir, "documents")
+    return byte_cnn.score_quality(docs, byte_cnn.fit(docs, corpus(spark, sf_dir, "labels")))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(corpus(spark, sf_dir, "documents"), BYTE_FILE, PIECE_MODEL)
 
@@ -181,7 +186,8 @@ QUALIFY rank <= 10
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_pack, op2_lm_scores, op3_main_text, op4_url_rules, op5_token_counts, op6_repeated_bytes, op7_toxicity, op8_near_duplicates,
-        op9_quality_rules, op10_benchmark_leaks, op12_token_alignment, op13_lexical_search,
+        op9_quality_rules, op10_benchmark_leaks, op11_quality_classifier, op12_token_alignment,
+        op13_lexical_search,
     )
 }
 SQL: dict[str, str] = {"op4_url_rules": OP4_SQL, "op6_repeated_bytes": OP6_SQL, "op8_near_duplicates": OP8_SQL, "op13_lexical_search": OP13_SQL}
