@@ -42,7 +42,7 @@ SELECT job, arg_max(algorithm, last_start) FILTER (WHERE first_completed IS NULL
 def progress(spark, sf):
     out, checkpoint = _paths(spark, "status")
     logs.keep_status(_lines(spark, sf), out, checkpoint).awaitTermination()
-    return job_progress(logs.read_status(spark, out)).select(
+    return job_progress(logs.read_status(spark, out, "bigint")).select(
         "job", "currently_running", "total", "completed_count", "failed_count")
 
 
@@ -64,7 +64,7 @@ FROM ({HOURLY_SQL}) WHERE predictions > 10 AND borderline / predictions::DOUBLE
 def alerts(spark, sf):
     out, checkpoint = _paths(spark, "alerts")
     monitoring.alert_stream(_log(spark, sf), out, checkpoint).awaitTermination()
-    return spark.read.parquet(out).select("window_start", "alert", "severity", "message")
+    return monitoring.read_alerts(spark, out)
 
 
 @query("t6_deduplicated_log", f"SELECT id, {ts('ts')} AS ts, prediction, {r('probability')} AS probability FROM {LOG_SQL}")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.logs import algorithm_aggregates, line_events, tag_lines
+from .snapshots import SnapshotTable
 
 
 def stream_log_lines(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -32,26 +33,34 @@ def tail_lines(lines: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     )
 
 
-def keep_status(lines: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+_MERGED = "job string, algorithm string, last_start {0}, first_completed {0}, first_failed {0}"
+
+
+def status_table(out: str, every: int = 10, position: str = "timestamp") -> SnapshotTable:
+    """The kept status under ``out``: starts only grow and firsts only shrink, so rows of any age can be merged."""
+    def merge(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("job", "algorithm").agg(
+            F.max("last_start").alias("last_start"), F.min("first_completed").alias("first_completed"),
+            F.min("first_failed").alias("first_failed"))
+
+    return SnapshotTable(out, _MERGED.format(position), merge, every)
+
+
+def keep_status(lines: DataFrame, out: str, checkpoint: str, every: int = 10) -> StreamingQuery:
     """Keep start, completion and failure positions per (job, algorithm).
 
     State is one small row per known algorithm of a job.  Each batch writes its
-    changed rows to a folder of its own, overwritten when a batch is repeated;
-    ``read_status`` merges the folders.
+    changed rows; every ``every`` batches they become one snapshot, so the
+    folder stays small however long the stream runs.
     """
     changed = line_events(lines).groupBy("job", "algorithm").agg(*algorithm_aggregates())
-
-    def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
-
+    kept = status_table(out, every, lines.schema["position"].dataType.simpleString())
     return (
-        changed.writeStream.outputMode("update").foreachBatch(write)
+        changed.writeStream.outputMode("update").foreachBatch(kept.write)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
-def read_status(spark: SparkSession, out: str) -> DataFrame:
-    """Current status from the written batches; starts only grow and firsts only shrink."""
-    return spark.read.parquet(out).groupBy("job", "algorithm").agg(
-        F.max("last_start").alias("last_start"), F.min("first_completed").alias("first_completed"),
-        F.min("first_failed").alias("first_failed"))
+def read_status(spark: SparkSession, out: str, position: str = "timestamp") -> DataFrame:
+    """Current status: the newest snapshot and the batches after it."""
+    return status_table(out, position=position).read(spark)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.monitoring import alert_rows, window_aggregates, window_columns
+from .snapshots import SnapshotTable
 
 
 def stream_table(spark: SparkSession, folder: str, pattern: str, like: DataFrame, files_per_trigger: int = 1000) -> DataFrame:
@@ -47,12 +48,23 @@ def append_to(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     )
 
 
-def alert_stream(log: DataFrame, out: str, checkpoint: str, late: str = "1 hour") -> StreamingQuery:
-    """Alerts per closed hour; every batch overwrites a folder of its own, so a repeated batch adds nothing."""
+def alert_table(out: str, every: int = 10) -> SnapshotTable:
+    """The alerts kept under ``out``: an hour is closed once, so no two batches hold the same alert."""
+    return SnapshotTable(out, "window_start timestamp, alert string, severity string, message string", every=every)
+
+
+def alert_stream(log: DataFrame, out: str, checkpoint: str, late: str = "1 hour", every: int = 10) -> StreamingQuery:
+    """Alerts per closed hour, in a table whose batches are merged every ``every`` epochs."""
+    kept = alert_table(out, every)
+
     def write(batch: DataFrame, epoch: int) -> None:
-        alert_rows(batch, keep=["window_start"]).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        kept.write(alert_rows(batch, keep=["window_start"]), epoch)
 
     return (
         hourly_stream(log, late).writeStream.outputMode("append").foreachBatch(write)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
+
+
+def read_alerts(spark: SparkSession, out: str) -> DataFrame:
+    return alert_table(out).read(spark)
