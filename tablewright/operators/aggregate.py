@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import col
-from ..plans.schema import identity_of, is_numeric
+from ..plans.schema import identity_of, is_numeric, key_cells
 from .ranking import group_quantiles
 
 
@@ -19,7 +19,8 @@ class AggFunction:
 
     ``build`` takes the column and the order column (None without one).
     ``apart`` names a function that cannot be an ordinary aggregate without
-    holding a whole group in one buffer; it gets a frame of its own.
+    holding a whole group in one buffer; it gets a frame of its own.  Of
+    ``distinct`` ones several columns are counted together (``distinct_counts``).
     """
 
     suffix: str
@@ -27,6 +28,7 @@ class AggFunction:
     numeric_only: bool = False
     needs_order: bool = False
     apart: str | None = None
+    distinct: bool = False
 
 
 AGG_FUNCTIONS: dict[str, AggFunction] = {
@@ -38,8 +40,8 @@ AGG_FUNCTIONS: dict[str, AggFunction] = {
     "max": AggFunction("max", lambda c, _: F.max(c)),
     "min": AggFunction("min", lambda c, _: F.min(c)),
     "count": AggFunction("count", lambda c, _: F.count(c)),
-    "unique_count": AggFunction("unique_count", lambda c, _: F.count_distinct(c)),
-    "nunique": AggFunction("unique_count", lambda c, _: F.count_distinct(c)),
+    "unique_count": AggFunction("unique_count", lambda c, _: F.count_distinct(c), distinct=True),
+    "nunique": AggFunction("unique_count", lambda c, _: F.count_distinct(c), distinct=True),
     "approx_unique_count": AggFunction("approx_unique_count", lambda c, _: F.approx_count_distinct(c)),
     "std": AggFunction("std", lambda c, _: F.stddev_samp(c), numeric_only=True),
     "variance": AggFunction("variance", lambda c, _: F.var_samp(c), numeric_only=True),
@@ -83,7 +85,8 @@ def aggregate_table(df: DataFrame, group_by: str, prefix: str, features: Sequenc
     they follow the order of the scan.
 
     Everything that has a fixed-size buffer is one hash aggregate with map-side
-    partials.  Medians and modes are reduced to (key, value, count) first, so a
+    partials.  Distinct counts of several columns are taken together from narrow
+    cells, so the other aggregates' rows are not multiplied.  Medians and modes are reduced to (key, value, count) first, so a
     hot key never fills one task's memory.
     """
     if group_by not in df.columns:
@@ -119,6 +122,11 @@ def aggregate_table(df: DataFrame, group_by: str, prefix: str, features: Sequenc
 
     if any(spec.needs_order for _, spec, _ in plain) and not order_by:
         df = df.withColumn("_row_order", F.monotonically_increasing_id())
+    counted = [(c, name) for c, spec, name in plain if spec.distinct]
+    if len({c for c, _ in counted}) > 1:
+        plain = [p for p in plain if not p[1].distinct]
+    else:
+        counted = []
     order = _order_column(df, order_by)
     rows = df.filter(col(group_by).isNotNull())
     key = col(group_by)
@@ -126,7 +134,7 @@ def aggregate_table(df: DataFrame, group_by: str, prefix: str, features: Sequenc
         *[spec.build(col(c), order if spec.needs_order else None).alias(name) for c, spec, name in plain]
     ) if plain else rows.select(key).distinct()
 
-    parts = []
+    parts = [distinct_counts(rows, [group_by], {name: c for c, name in counted})] if counted else []
     for c, name in apart["median"]:
         parts.append(group_quantiles(rows.select(key, col(c)), [group_by], c, {name: 0.5})
                      if c != group_by else rows.groupBy(key).agg(F.max(key).cast("double").alias(name)))
@@ -136,7 +144,22 @@ def aggregate_table(df: DataFrame, group_by: str, prefix: str, features: Sequenc
         extra = part.withColumnRenamed(group_by, "_k")
         # The value of one side is one row per key, so this join never multiplies rows.
         out = out.join(extra, col(group_by) == F.col("_k"), "left").drop("_k")
-    return out.select(key, *[col(n) for n in names]), notes
+    none = {name for _, name in counted}  # a key without any present value
+    return out.select(key, *[F.coalesce(col(n), F.lit(0)).alias(n) if n in none else col(n) for n in names]), notes
+
+
+def distinct_counts(df: DataFrame, groups: Sequence[str], columns: Mapping[str, str]) -> DataFrame:
+    """Distinct present values of several columns per group: the group, and one count for each name in ``columns``.
+
+    Cells become (group, column, key of the value), each task keeps one of equal
+    ones, and what is left is counted.  A hot group is spread over all tasks by its
+    values, and no row of the table is repeated with all it holds.  A group without
+    any present value has no row.
+    """
+    different = list(dict.fromkeys(columns.values()))
+    cells = key_cells(df, different, list(groups)).filter("_a IS NOT NULL")
+    keys = [col(g) for g in groups]
+    return cells.distinct().groupBy(*keys).agg(*[F.count_if(F.col("_i") == different.index(c)).alias(name) for name, c in columns.items()])
 
 
 def group_mode(df: DataFrame, group_by: str, column: str, name: str) -> DataFrame:

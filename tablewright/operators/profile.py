@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import col, name_frame, quoted
-from ..plans.schema import columns_by_kind, display_type, kind_of, numeric_cells, numeric_columns, text_cells
+from ..plans.schema import columns_by_kind, display_type, key_cells, kind_of, numeric_cells, numeric_columns, text_cells
 from .aggregate import duplicate_counts
 from .ranking import column_quantiles
 
@@ -42,11 +42,15 @@ def column_counts(df: DataFrame, approx: bool = False) -> DataFrame:
         return text_cells(df).groupBy("column").agg(
             F.count(F.lit(1)).alias("row_count"), F.count_if(F.col("value").isNull()).alias("null_count"),
             F.approx_count_distinct("value", 0.01).alias("unique_count"))
-    return _value_counts(df, df.columns).groupBy("column").agg(
+    if not df.columns:
+        return df.sparkSession.createDataFrame([], "column string, row_count bigint, null_count bigint, unique_count bigint")
+    counted = key_cells(df, df.columns).groupBy("_i", "_a", "_b").agg(F.count(F.lit(1)).alias("n"))
+    names = F.array(*[F.lit(c) for c in df.columns])
+    return counted.groupBy("_i").agg(
         F.sum("n").alias("row_count"),
-        F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("null_count"),
-        F.count("value").alias("unique_count"),
-    )
+        F.sum(F.when(F.col("_a").isNull(), F.col("n")).otherwise(0)).alias("null_count"),
+        F.count("_a").alias("unique_count"),
+    ).select(F.get(names, F.col("_i")).alias("column"), "row_count", "null_count", "unique_count")
 
 
 def introspect(df: DataFrame, order_by: Sequence[str] | None = None, sample_size: int = 0,

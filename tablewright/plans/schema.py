@@ -113,6 +113,31 @@ def identity_of(field: T.StructField) -> Column:
     return value
 
 
+# Types of at most 8 bytes: a 64-bit hash of one such value is a permutation, so it tells them apart exactly.
+_NARROW = (
+    T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DateType, T.TimestampType, T.TimestampNTZType,
+)
+
+
+def cell_key(field: T.StructField) -> list[Column]:
+    """Two integers that tell a column's values apart, null for null: exact for narrow types, 128 bits of hash for others.
+
+    No number is turned into text for it, and a long text moves 16 bytes.
+    """
+    kind = field.dataType
+    value = identity_of(field) if not isinstance(kind, T.StringType) else col(field.name)
+    exact = isinstance(kind, _NARROW) or isinstance(kind, T.DecimalType) and kind.precision <= 18
+    there = col(field.name).isNotNull()
+    second = F.lit(0).cast("bigint") if exact else F.xxhash64(F.lit("second"), value)
+    return [F.when(there, F.xxhash64(value)), F.when(there, second)]
+
+
+def key_cells(df: DataFrame, names: list[str], keep: list[str] | None = None) -> DataFrame:
+    """Every cell as (columns to keep, _i, _a, _b): the column's place in ``names`` and its value's key."""
+    cells = [F.struct(F.lit(i).alias("_i"), *(k.alias(n) for k, n in zip(cell_key(df.schema[c]), ("_a", "_b")))) for i, c in enumerate(names)]
+    return df.select(*[col(c) for c in keep or []], F.inline(F.array(*cells)))
+
+
 def numeric_cells(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Every present numeric cell as (column, value double)."""
     names = columns if columns is not None else numeric_columns(df)

@@ -32,6 +32,23 @@ def test_rules(detail):
     assert created_columns("P_", [{"column": "x_var1", "functions": ["var", "mode"]}]) == ["P_x_var1_variance", "P_x_var1_mode"]
 
 
+def test_many_distinct_counts_together(spark):
+    """Equal values of any type count once, nulls never, and no row is repeated for it."""
+    long = "x" * 300
+    rows = [(1, 1.0, "a", long, [1], 5), (1, -0.0, "a", long + "y", [1], 5), (1, 0.0, "A", long, [1, 2], None), (1, float("nan"), None, None, None, 6),
+            (1, float("nan"), "", long, [], 2**40), (2, None, None, None, None, None), (None, 3.0, "q", "q", [9], 9)]
+    df = spark.createDataFrame(rows, "k int, d double, t string, w string, l array<int>, n bigint").repartition(4)
+    out, _ = aggregate_table(df, "k", "", [{"column": c, "functions": ["nunique", "count"]} for c in ("d", "t", "w", "l", "n")] + [{"column": "n", "functions": ["max"]}])
+    got = {r.k: r for r in out.collect()}
+    names = ["d_unique_count", "t_unique_count", "w_unique_count", "l_unique_count", "n_unique_count"]
+    assert [got[1][n] for n in names] == [3, 3, 2, 3, 3] and [got[2][n] for n in names] == [0] * 5 and set(got) == {1, 2}
+    assert got[1].n_max == 2**40 and got[1].w_count == 4
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan
+    one, _ = aggregate_table(df, "k", "", [{"column": "d", "functions": ["nunique"]}])
+    assert {r.k: r.d_unique_count for r in one.collect()} == {1: 3, 2: 0}
+
+
 def test_errors_and_own_function(detail):
     with pytest.raises(ValueError):
         aggregate_table(detail, "none", "", [{"column": "v", "functions": ["sum"]}])

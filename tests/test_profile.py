@@ -9,6 +9,7 @@ from tablewright.operators.distribution import (
     categorical_distributions, distributions, histograms, normality, outlier_rows, outliers, shapiro_wilk,
 )
 from tablewright.operators.profile import (
+    column_counts,
     categorical_statistics, dataset_info, introspect, missing_values, numeric_statistics, phase_one, quality_checks, quality_report,
     summary,
 )
@@ -143,3 +144,13 @@ def test_small_samples(spark):
         assert 0 < row.statistic <= 1 and 0 <= row.p_value <= 1
         if w:
             assert row.statistic == pytest.approx(w, abs=1e-3)
+
+
+def test_column_counts_tell_values_of_every_type_apart(spark):
+    df = spark.createDataFrame(
+        [(1, 1.5, "a", b"x", [1], {"k": 1}), (1, -0.0, "a" * 200, b"", [], {}), (2, 0.0, "a" * 201, None, [1], None), (None, None, "", b"x", None, {})],
+        "n int, d double, t string, b binary, l array<int>, m map<string,int>").withColumn("c", F.col("n").cast("decimal(30,2)"))
+    got = {r.column: (r.row_count, r.null_count, r.unique_count) for r in column_counts(df).collect()}
+    assert got == {"n": (4, 1, 2), "d": (4, 1, 2), "t": (4, 0, 4), "b": (4, 1, 2), "l": (4, 1, 2), "m": (4, 1, 2), "c": (4, 1, 2)}
+    plan = column_counts(df.select("n", "d"))._jdf.queryExecution().executedPlan().toString()
+    assert "as string" not in plan
