@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tablewright.operators import ranking
 from tablewright.operators.ranking import column_quantiles, dense_index, group_quantiles, running
 
 
@@ -76,3 +77,17 @@ def test_quantiles_survive_repartitioning(skewed):
     a = column_quantiles(df.repartition(1), probs).collect()
     b = column_quantiles(df.repartition(13, "v"), probs).collect()
     assert sorted(a) == sorted(b)
+
+
+def test_steps_and_a_million_ties(spark):
+    probs = {"low": 0.0, "q": 0.25, "m": 0.5, "p": 0.777, "top": 1.0}
+    steps = spark.range(1_200_000).select(F.when(F.col("id") < 1_000_000, 5.0).otherwise((F.col("id") % 3 * 1e12).cast("double")).alias("v"))
+    want = np.percentile(steps.toPandas()["v"], [0, 25, 50, 77.7, 100])
+    assert list(column_quantiles(steps, probs).first()[1:]) == pytest.approx(list(want))
+
+
+def test_sketches_bracket_sorted_data_tightly(spark):
+    """Rows in order of their values: brackets are as narrow as for mixed ones."""
+    df = spark.range(400_000).select(F.col("id").cast("double").alias("v")).repartitionByRange(40, "v")
+    row = ranking.column_sketches(df, ["v"]).select("n", F.kll_sketch_get_quantile_double("sketch", F.array(F.lit(0.248), F.lit(0.252))).alias("at")).first()
+    assert row.n == 400_000 and row["at"][0] <= 100_000 <= row["at"][1] and row["at"][1] - row["at"][0] < 4000
