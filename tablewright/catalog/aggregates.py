@@ -86,6 +86,15 @@ def last(spark, sf):
     return _agg(spark, sf, "o_totalprice", "last")
 
 
+@query("a10_first_in_file_order", f"""
+SELECT o_custkey, arg_min(o_totalprice, o_orderkey) FILTER (WHERE o_totalprice IS NOT NULL) AS o_totalprice_first,
+  arg_max(o_totalprice, o_orderkey) FILTER (WHERE o_totalprice IS NOT NULL) AS o_totalprice_last {_G}""")
+def in_file_order(spark, sf):
+    # The file is in order of o_orderkey; shuffled rows still know their place in it.
+    out, _ = a.aggregate_table(orders_with_holes(spark, sf).repartition(64), "o_custkey", "", [{"column": "o_totalprice", "functions": ["first", "last"]}])
+    return out
+
+
 @query("a12_mode", f"""
 SELECT o_custkey, o_orderpriority AS o_orderpriority_mode FROM (
   SELECT o_custkey, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY

@@ -65,6 +65,14 @@ def first_row(spark, sf):
         "o_orderkey", "o_custkey", "o_totalprice")
 
 
+@query("j6_first_row_in_file_order", f"""
+SELECT o_orderkey, o_custkey, o_totalprice FROM (
+  SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM {ORDERS_WITH_HOLES}) WHERE rn = 1""")
+def first_row_of_file(spark, sf):
+    # The file is in order of o_orderkey; shuffled rows still know their place in it.
+    return j.first_row_per_key(orders_with_holes(spark, sf).repartition(64), "o_custkey").select("o_orderkey", "o_custkey", "o_totalprice")
+
+
 @query("j6_explosion_check", f"""
 SELECT count(*) AS total_rows, count(DISTINCT o_custkey) AS unique_keys,
        {r('count(*) / count(DISTINCT o_custkey)::DOUBLE')} AS rows_per_key,

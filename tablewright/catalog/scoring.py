@@ -65,6 +65,18 @@ def contributions(spark, sf):
     return s.contributions(table(spark, sf, "orders"), "o_orderkey", _WEIGHTS, 2).drop("value")
 
 
+_IMPORTANCES = {"o_custkey": 0.12345, "o_totalprice": 0.61, "shift": 0.26655}
+
+
+@query("m5_importance_contributions", """
+SELECT o_orderkey, rank, feature, contribution, impact, CASE WHEN v > 0 THEN 'positive' ELSE 'negative' END AS direction FROM (
+  SELECT o_orderkey, 1 AS rank, 'o_totalprice' AS feature, 0.61::DOUBLE AS contribution, 61.0::DOUBLE AS impact, o_totalprice::DOUBLE AS v FROM orders UNION ALL
+  SELECT o_orderkey, 2, 'shift', 0.2666, 26.7, CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey % 3 - 1 END FROM orders)""")
+def importances(spark, sf):
+    rows = table(spark, sf, "orders").withColumn("shift", F.expr("CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey % 3 - 1 END"))
+    return s.importance_contributions(rows, "o_orderkey", _IMPORTANCES, 2).drop("value")
+
+
 @query("m6_explanations", f"""
 SELECT o_orderkey, CASE WHEN len(up) > 0 AND len(down) > 0 THEN concat('Key factors supporting yes: ', array_to_string(up, ', '), '. Factors against: ', array_to_string(down, ', '), '.')
   WHEN len(up) > 0 THEN concat('Key factors supporting yes: ', array_to_string(up, ', '), '.')

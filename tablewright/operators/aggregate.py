@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import col
-from ..plans.schema import identity_of, is_numeric, key_cells
+from ..plans.schema import identity_of, is_numeric, key_cells, with_row_order
 from .ranking import group_quantiles
 
 
@@ -82,7 +82,7 @@ def aggregate_table(df: DataFrame, group_by: str, prefix: str, features: Sequenc
     frame (key plus ``{prefix}{column}_{function}``) and the notes on what was
     skipped: unknown columns or functions, and numeric functions on text.
     Null keys form no group.  ``first``/``last`` follow ``order_by``; without it
-    they follow the order of the scan.
+    they follow the order of the files (``with_row_order``).
 
     Everything that has a fixed-size buffer is one hash aggregate with map-side
     partials.  Distinct counts of several columns are taken together from narrow
@@ -121,7 +121,7 @@ def aggregate_table(df: DataFrame, group_by: str, prefix: str, features: Sequenc
         raise ValueError("no valid aggregation features")
 
     if any(spec.needs_order for _, spec, _ in plain) and not order_by:
-        df = df.withColumn("_row_order", F.monotonically_increasing_id())
+        df = with_row_order(df)
     counted = [(c, name) for c, spec, name in plain if spec.distinct]
     if len({c for c, _ in counted}) > 1:
         plain = [p for p in plain if not p[1].distinct]

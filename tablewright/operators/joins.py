@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import col
-from ..plans.schema import is_float, is_integer, is_numeric, overlap
+from ..plans.schema import is_float, is_integer, is_numeric, overlap, with_row_order
 
 JOIN_TYPES = ("left", "inner", "right", "full")
 
@@ -26,10 +26,10 @@ def first_row_per_key(df: DataFrame, key: str, order_by: Sequence[str] | None =
 
     The ``row_number = 1`` filter becomes a group limit that runs before the
     shuffle, so each task sends at most one row per key, hot or not.  Without
-    ``order_by`` the order is that of the scan.
+    ``order_by`` the order is that of the files (``with_row_order``).
     """
     if not order_by:
-        df = df.withColumn("_row_order", F.monotonically_increasing_id())
+        df = with_row_order(df)
         order = [F.col("_row_order")]
     else:
         order = [col(c) for c in order_by]

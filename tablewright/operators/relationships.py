@@ -6,14 +6,28 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import col
 from ..functions.text import plain_name
 from ..plans.collection import Collection
-from ..plans.schema import is_numeric
+from ..plans.schema import cell_key, is_numeric
 from .aggregate import created_columns
 
 
+def _judged(stats: DataFrame) -> DataFrame:
+    """Add the share of keys that match and the cardinality to counts of keys and rows."""
+    base = F.least("left_unique_count", "right_unique_count")
+    left_one = F.col("left_unique_count") == F.col("left_rows")
+    right_one = F.col("right_unique_count") == F.col("right_rows")
+    pct = F.round(F.col("match_count") / F.when(base > 0, base).otherwise(1) * 100, 2)
+    kind = (
+        F.when(left_one & right_one, "one_to_one").when(left_one, "one_to_many")
+        .when(right_one, "many_to_one").otherwise("many_to_many")
+    )
+    return stats.withColumn("match_percentage", pct).withColumn("relationship_type", kind)
+
+
 def validate_relationship(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
     """One row on how well two key columns match.
 
@@ -38,15 +52,7 @@ def validate_relationship(left: DataFrame, right: DataFrame, left_key: str, righ
         F.coalesce(F.sum("ln"), F.lit(0)).alias("left_rows"),
         F.coalesce(F.sum("rn"), F.lit(0)).alias("right_rows"),
     )
-    base = F.least("left_unique_count", "right_unique_count")
-    left_one = F.col("left_unique_count") == F.col("left_rows")
-    right_one = F.col("right_unique_count") == F.col("right_rows")
-    pct = F.round(F.col("match_count") / F.when(base > 0, base).otherwise(1) * 100, 2)
-    kind = (
-        F.when(left_one & right_one, "one_to_one").when(left_one, "one_to_many")
-        .when(right_one, "many_to_one").otherwise("many_to_many")
-    )
-    out = stats.withColumn("match_percentage", pct).withColumn("relationship_type", kind)
+    out = _judged(stats)
     out = out.withColumn("left_column_dtype", F.lit(lt.simpleString()))
     out = out.withColumn("right_column_dtype", F.lit(rt.simpleString()))
     texts = [
@@ -123,30 +129,53 @@ def suggest_relationships(profiles: DataFrame) -> DataFrame:
     return scored.withColumn("_rank", F.row_number().over(best)).filter("_rank = 1").drop("_rank")
 
 
+def _link_key(field: T.StructField) -> Column:
+    """A value as (kind, a, b), alike for values that are equal as keys: a whole number of any type, a text, or one type's own."""
+    value, kind = col(field.name), field.dataType
+    if is_numeric(kind):
+        whole = value.try_cast("bigint")
+        is_whole = F.coalesce(whole.cast(kind) == value, F.lit(False))
+        a = F.when(is_whole, F.xxhash64(whole)).otherwise(F.xxhash64(value.cast("double")))
+        return F.struct(F.lit("number").alias("kind"), F.when(value.isNotNull(), a).alias("a"), F.when(is_whole, 0).otherwise(1).cast("bigint").alias("b"))
+    a, b = cell_key(field)
+    return F.struct(F.lit(kind.simpleString()).alias("kind"), a.alias("a"), b.alias("b"))
+
+
+_PAIR = ["left_table", "right_table", "left_column", "right_column", "confidence"]
+
+
 def measure_suggestions(suggestions: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Suggestions with the match statistics of their data.
+    """Suggestions with the match statistics of their data, as ``validate_relationship`` has them for one.
 
-    One suggestion per table pair comes to the driver (configuration, not
-    data); every one adds a branch to one lazy plan.
+    One plan for any number of suggestions: each table gives its cells as (table,
+    column, key), those of suggested columns are named by their suggestions (one
+    row per pair of tables, so broadcast), and one aggregate by (suggestion, key)
+    tells which sides hold a key and how often.  A hot key is one row per task
+    there.  A suggestion of a table that isn't given has no row.
     """
-    parts = []
-    for s in suggestions.collect():
-        stats = validate_relationship(
-            tables[s["left_table"]], tables[s["right_table"]], s["left_column"], s["right_column"])
-        parts.append(stats.select(
-            *[F.lit(s[c]).alias(c) for c in ("left_table", "right_table", "left_column", "right_column",
-                                             "confidence")],
-            "relationship_type", "match_count", "match_percentage", "orphan_left_count", "orphan_right_count",
-        ))
-    if not parts:
+    cells = None
+    for name, df in tables.items():
+        parts = [F.struct(F.lit(c).alias("_column"), _link_key(df.schema[c]).alias("_key")) for c in df.columns]
+        some = df.select(F.lit(name).alias("_table"), F.inline(F.array(*parts)))
+        cells = some if cells is None else cells.unionByName(some)
+    if cells is None:
         return suggestions.sparkSession.createDataFrame([], (
             "left_table string, right_table string, left_column string, right_column string, confidence double, "
             "relationship_type string, match_count bigint, match_percentage double, orphan_left_count bigint, orphan_right_count bigint"
         ))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
-    return out
+    pair = F.struct(*_PAIR).alias("_pair")
+    sides = suggestions.select(pair, F.inline(F.array(*[
+        F.struct(F.col(f"{side}_table").alias("_t"), F.col(f"{side}_column").alias("_c"), F.lit(side).alias("_side")) for side in ("left", "right")])))
+    named = cells.join(F.broadcast(sides), (F.col("_table") == F.col("_t")) & (F.col("_column") == F.col("_c")))
+    keys = named.groupBy("_pair", F.col("_key.kind").alias("_kind"), F.col("_key.a").alias("_a"), F.when(F.col("_key.a").isNotNull(), F.col("_key.b")).alias("_b")).agg(
+        F.count_if(F.col("_side") == "left").alias("_ln"), F.count_if(F.col("_side") == "right").alias("_rn"))
+    key, has_l, has_r = F.col("_a").isNotNull(), F.col("_ln") > 0, F.col("_rn") > 0
+    stats = keys.groupBy("_pair").agg(
+        F.count_if(key & has_l).alias("left_unique_count"), F.count_if(key & has_r).alias("right_unique_count"),
+        F.count_if(key & has_l & has_r).alias("match_count"), F.count_if(key & has_l & ~has_r).alias("orphan_left_count"),
+        F.count_if(key & ~has_l & has_r).alias("orphan_right_count"), F.sum("_ln").alias("left_rows"), F.sum("_rn").alias("right_rows"))
+    return _judged(stats).select(
+        "_pair.*", "relationship_type", "match_count", "match_percentage", "orphan_left_count", "orphan_right_count")
 
 
 def collection_review(collection: Collection, tables: Mapping[str, DataFrame],

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier,
 )
@@ -160,6 +160,29 @@ def contributions(df: DataFrame, key: str, weights: Mapping[str, float], top: in
         F.col("c.value").alias("value"))
 
 
+def importance_contributions(df: DataFrame, key: str, importances: Mapping[str, float], top: int = 8) -> DataFrame:
+    """The most important features per row, for a model that only tells importances: feature, contribution, impact, direction, rank.
+
+    The contribution is the feature's importance, the direction the sign of the
+    row's value (null and zero are negative).  The order is the same for every
+    row (ties as given), so nothing is sorted or shuffled.
+    """
+    chosen = sorted(importances.items(), key=lambda x: -x[1])[:top]
+    terms = [
+        F.struct(
+            F.lit(i + 1).alias("rank"), F.lit(name).alias("feature"), F.lit(round(float(weight), 4)).alias("contribution"),
+            F.lit(round(float(weight) * 100, 1)).alias("impact"),
+            F.when(col(name).cast("double") > 0, "positive").otherwise("negative").alias("direction"), col(name).cast("string").alias("value"))
+        for i, (name, weight) in enumerate(chosen)
+    ]
+    return df.select(col(key), F.inline(F.array(*terms)))
+
+
+def model_importances(model: Transformer, features: Sequence[str]) -> dict[str, float]:
+    """Feature importances of a fitted tree model of Spark ML, by the names that were assembled."""
+    return dict(zip(features, (float(x) for x in model.featureImportances.toArray()), strict=True))
+
+
 def explanations(df: DataFrame, key: str, weights: Mapping[str, float], prediction: str, top: int = 8) -> DataFrame:
     """A sentence per row: up to two supporting factors and one against."""
     rows = df.select(col(key), col(prediction).alias("_p"), _contributions(weights, top).alias("_c"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -113,6 +114,23 @@ def identity_of(field: T.StructField) -> Column:
     return value
 
 
+def with_row_order(df: DataFrame, name: str = "_row_order") -> DataFrame:
+    """Add a column that sorts rows as their files hold them.
+
+    Parquet tells a row's file and its number there, which no repartitioning,
+    filter or projection since the scan changes.  Other files tell the block a row was
+    read from; inside a block, and where there is no file at all, the place in the
+    task counts, so there the order holds until rows are shuffled.
+    """
+    place = F.monotonically_increasing_id()
+    for parts in (["_metadata.file_path", "_metadata.row_index"], ["_metadata.file_path", "_metadata.file_block_start", place]):
+        try:
+            return df.withColumn(name, F.struct(*parts))
+        except AnalysisException:
+            continue
+    return df.withColumn(name, place)
+
+
 # Types of at most 8 bytes: a 64-bit hash of one such value is a permutation, so it tells them apart exactly.
 _NARROW = (
     T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DateType, T.TimestampType, T.TimestampNTZType,

@@ -1,9 +1,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tablewright.operators.aggregate import aggregate_table
 from tablewright.operators.derive import build_report, build_wide_table, guard_report, warning_rows
 from tablewright.operators.joins import first_row_per_key, join_tables, matched_rows, orphan_rows
-from tablewright.operators.relationships import collection_review, suggest_relationships, validate_relationship
+from tablewright.operators.relationships import collection_review, measure_suggestions, suggest_relationships, validate_relationship
 from tablewright.plans.collection import Aggregation, Collection, Relationship, target_column, validate_collection
 
 
@@ -139,3 +140,42 @@ def test_suggestions(spark):
 def test_review(spark, people):
     row = collection_review(Collection("people", ["people"]), {"people": people}).first()
     assert not row.ready_to_process and len(row.warnings) == 2 and row.total_input_rows == 3
+
+
+def test_first_row_is_that_of_the_files_under_any_partitioning(spark, tmp_path):
+    """Values fall in the order of the files, so neither key nor value could lead to the right row by chance."""
+    path = str(tmp_path / "rows")
+    rows = spark.range(5000).select((F.col("id") % 37).alias("k"), (5000 - F.col("id")).alias("v"), F.col("id"))
+    for part in range(4):
+        rows.filter(f"id div 1250 = {part}").coalesce(1).sortWithinPartitions("id").write.option("parquet.block.size", 4096).mode("append").parquet(f"{path}/part={part}")
+    want = {k: k for k in range(37)}
+    for n in (1, 7, 64):
+        df = spark.read.parquet(path).repartition(n).filter("v > 0").withColumn("more", F.lit(1))
+        assert {r.k: r.id for r in first_row_per_key(df, "k").collect()} == want
+        out, _ = aggregate_table(df, "k", "", [{"column": "id", "functions": ["first", "last"]}])
+        assert {r.k: (r.id_first, r.id_last) for r in out.collect()} == {k: (k, max(range(k, 5000, 37))) for k in range(37)}
+    csv = str(tmp_path / "csv")
+    rows.coalesce(1).sortWithinPartitions("id").write.option("header", True).csv(csv)
+    read = spark.read.option("header", True).csv(csv)
+    assert {int(r.k): int(r.id) for r in first_row_per_key(read, "k").collect()} == want
+    assert len(first_row_per_key(rows, "k").collect()) == 37  # no files at all
+
+
+def test_all_suggestions_are_measured_in_one_plan(spark):
+    """The same numbers as pair by pair, over keys of unlike types, nulls and repeats, without a branch per suggestion."""
+    tables = {
+        "a": spark.createDataFrame([(1, "x", 1.0), (2, "x", 2.5), (2, None, None), (None, "z", 2.0**60)], "id int, t string, d double"),
+        "b": spark.createDataFrame([(1.0, "x"), (3.5, "y"), (2.0, "y"), (None, None)], "id double, t string"),
+        "c": spark.createDataFrame([(1, 1), (2, 2**60), (7, None)], "id int, n bigint").withColumn("id", F.col("id").cast("decimal(10,0)")),
+        "e": spark.createDataFrame([("1",), ("x" * 400,)], "id string"),
+    }
+    pairs = [("a", "b", "id", "id"), ("a", "b", "t", "t"), ("a", "c", "id", "id"), ("a", "c", "d", "n"), ("b", "c", "id", "id"), ("a", "e", "id", "id"), ("a", "e", "t", "id")]
+    suggested = spark.createDataFrame([(*p, 0.9) for p in pairs], "left_table string, right_table string, left_column string, right_column string, confidence double")
+    out = measure_suggestions(suggested, tables)
+    got = {tuple(r)[:4]: tuple(r)[5:] for r in out.collect()}
+    for left, right, x, y in pairs:
+        one = validate_relationship(tables[left], tables[right], x, y).first()
+        assert got[left, right, x, y] == (one.relationship_type, one.match_count, one.match_percentage, one.orphan_left_count, one.orphan_right_count)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FullOuter") == 0 and "CartesianProduct" not in plan
+    assert measure_suggestions(suggested.limit(0), tables).collect() == []

@@ -1,6 +1,7 @@
 import math
 
 import pytest
+from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
@@ -125,3 +126,14 @@ def test_find_model_and_ranking(spark):
     rows = mon.deployed_models(report).orderBy("rank").collect()
     assert [(r.id, r.accuracy, r.status) for r in rows] == [("adaboost", 0.81, "active"), ("svc", 0.8, "available")]
     assert math.isclose(rows[0].accuracy, 0.81)
+
+
+def test_importance_contributions_and_those_of_a_fitted_tree(spark):
+    df = spark.createDataFrame([(1, 2.0, -1.0, 5), (2, None, 0.0, 6)], "k int, a double, b double, c int")
+    got = [tuple(r) for r in s.importance_contributions(df, "k", {"b": 0.25, "a": 0.5, "c": 0.25}, 2).orderBy("k", "rank").collect()]
+    assert got == [(1, 1, "a", 0.5, 50.0, "positive", "2.0"), (1, 2, "b", 0.25, 25.0, "negative", "-1.0"),
+                   (2, 1, "a", 0.5, 50.0, "negative", None), (2, 2, "b", 0.25, 25.0, "negative", "0.0")]
+    rows = spark.range(400).select((F.col("id") % 2).cast("double").alias("label"), (F.col("id") % 2 * 10 + F.col("id") % 3).cast("double").alias("good"), (F.col("id") % 7).cast("double").alias("noise"))
+    tree = DecisionTreeClassifier(maxDepth=2).fit(VectorAssembler(inputCols=["noise", "good"], outputCol="features").transform(rows))
+    told = s.model_importances(tree, ["noise", "good"])
+    assert told["good"] > 0.9 and s.importance_contributions(rows.withColumn("k", F.lit(1)), "k", told, 1).first().feature == "good"
