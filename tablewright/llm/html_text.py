@@ -48,6 +48,9 @@ _MARKS = frozenset(
     "notices pager pagination popup privacy promo promoted promotion related replies reply respond search share sharing sidebar signup "
     "skip social sponsor sponsored subscribe tags toolbar topbar widget widgets".split()
 )
+#: Those that an article has as parts of its own.
+_OWN = frozenset(("header",))
+_PROSE = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 #: Elements that an opening tag closes, and where the search for them ends.
 _CLOSES = {
     "li": ("li", "ul ol menu dir"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"),
@@ -58,13 +61,16 @@ _P_CLOSERS = _BLOCKS - frozenset("br body head html title option caption legend
 _NAME = re.compile(r"[a-z]+")
 
 
-def _marked(attrs: list[tuple[str, str | None]]) -> int:
-    """1 if the element is hidden or has such a role, 2 if only its class or id says what it is."""
+def _marked(attrs: list[tuple[str, str | None]], prose: bool, inside: bool) -> int:
+    """1 if the element is hidden or has such a role, 2 if only its class or id says what it is.
+
+    Inside an article, headings and paragraphs (``prose``) are told by no name, and a header is the article's own.
+    """
     found = 0
     for name, value in attrs:
         if name in ("class", "id"):
-            low = (value or "").lower()
-            if not _MARKS.isdisjoint(_NAME.findall(low)):
+            words = set(_NAME.findall((value or "").lower())) - (_OWN if inside else frozenset())
+            if not prose and not _MARKS.isdisjoint(words):
                 found = 2
         elif name == "role" and (value or "").strip().lower() in _ROLES:
             return 1
@@ -124,8 +130,9 @@ class Page(HTMLParser):
             dropped = 1
         if not dropped and tag == "form" and self.seen not in self.released:
             dropped = -self.seen
-        if not dropped and attrs and tag not in ("html", "body", "main") and (tag != "article" or any(s[0] in ("article", "main") for s in self.stack)):
-            mark = _marked(attrs)
+        inside = any(s[0] in ("article", "main") for s in self.stack)
+        if not dropped and attrs and tag not in ("html", "body", "main") and (tag != "article" or inside):
+            mark = _marked(attrs, tag in _PROSE and inside, inside)
             dropped = 1 if mark == 1 else -self.seen if mark and self.seen not in self.released else 0
         if dropped < 0 and tag in ("article", "main"):
             self.articles.add(-dropped)
@@ -199,14 +206,14 @@ def _threshold(values: np.ndarray) -> float:
 
 
 def _read(html: str) -> tuple[Page, list[Line]]:
-    """The page and its lines, without the marks of what the page stands in."""
+    """The page and its lines, without the marks of what the page stands in; every turn releases one more, however deep they are."""
     released: frozenset[int] = frozenset()
     while True:
         page = Page(released)
         page.feed(html)
         page.close()
         lines = _joined(page.lines)
-        if not page.held or len(released) >= 8:
+        if not page.held:
             return page, lines
         outside = [x for x in lines if not x.dropped]
         size, most = sum(len(x.text) for x in outside), max(page.held, key=page.held.__getitem__)

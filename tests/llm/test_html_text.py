@@ -60,3 +60,17 @@ def test_pages_against_brute_force(spark):
 ])
 def test_what_the_page_stands_in_is_not_dropped(page, want):
     assert main_text(page) == want
+
+
+def test_wrappers_of_any_number_are_released():
+    for n in (8, 9, 10, 50):
+        page = "<div class='sidebar wrap'>" * n + "<article><p>The whole text of the page stands here.</p></article>" + "</div>" * n
+        assert main_text(page) == "The whole text of the page stands here."
+
+
+def test_headings_and_paragraphs_of_an_article_are_told_by_no_name():
+    page = (
+        "<article><h2 class='section-header'>Heading two</h2><p>Body text follows here.</p><p class='share-price'>Share price of the firm rose.</p>"
+        "<p class='social'>Social work.</p><div class='header'>Own header</div><p id='search-results'>Results of the search.</p>"
+        "<div class='share'><p>Share this</p></div><p hidden>gone</p></article>")
+    assert main_text(page) == "Heading two Body text follows here. Share price of the firm rose. Social work. Own header Results of the search."
