@@ -36,6 +36,22 @@ def tail(spark, sf):
     return spark.read.parquet(out)
 
 
+@query("t1_tail_log_files", rf"""
+SELECT job, {ts('ts')} AS position, line, coalesce(nullif(regexp_extract(line, 'Training\s+(\w+)\.\.\.', 1), ''),
+  nullif(regexp_extract(line, '✅\s+(\w+):\s+Train=', 1), '')) AS algorithm
+FROM (SELECT job, ts, concat({ts('ts')}, ',000 - INFO - ', line) AS line FROM (SELECT {LINES}, ts FROM events))""")
+def tail_files(spark, sf):
+    # The events as text files, a folder for each job; the second half comes as new files after the first was read.
+    out, checkpoint = _paths(spark, "tail")
+    logs_at = scratch_path(spark, "logs")
+    text = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(",000 - INFO - "), F.col("line"))
+    lines = table(spark, sf, "events").selectExpr(*_split(LINES), "ts").select(F.col("job").cast("string").alias("job"), "position", text.alias("value"))
+    for half in (0, 1):
+        lines.filter(F.col("position") % 2 == half).select("job", "value").write.mode("append").partitionBy("job").text(logs_at)
+        logs.tail_lines(logs.stream_log_lines(spark, logs_at), out, checkpoint).awaitTermination()
+    return spark.read.parquet(out)
+
+
 @query("t3_streamed_progress", f"""
 SELECT job, arg_max(algorithm, last_start) FILTER (WHERE first_completed IS NULL AND last_start IS NOT NULL) AS currently_running,
   count(last_start) AS total, count(first_completed) AS completed_count, count(first_failed) AS failed_count FROM {STATUS_SQL} GROUP BY job""")

@@ -11,16 +11,19 @@ from .snapshots import SnapshotTable
 
 
 def stream_log_lines(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
-    """Lines of new files under ``path``: job (file name without ending), position, line.
+    """Lines of new files under ``path``: job (folder ``job=...``, else the file's name without ending), position, line.
+
+    A file is read once, when it is there; a log that goes on is rotated into new files.
 
     A stream has no line numbers; ``position`` is the time a record starts with
     (``2025-01-31 12:00:00,123 - INFO - ...``), null without one.
     """
     lines = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path)
-    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    name = F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.[^.]*$", "")
+    folder = F.regexp_extract(F.col("_metadata.file_path"), "/job=([^/]+)/", 1)
     stamp = F.regexp_extract("value", r"^\s*(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3})", 1)
     return lines.select(
-        F.regexp_replace(name, r"\.[^.]*$", "").alias("job"),
+        F.coalesce(F.nullif(folder, F.lit("")), name).alias("job"),
         F.try_to_timestamp(stamp, F.lit("yyyy-MM-dd HH:mm:ss,SSS")).alias("position"),
         F.trim("value").alias("line"))
 
