@@ -10,9 +10,10 @@ Buckets never emit all pairs.  One hub is compared with the others, on full
 sets, and what links becomes one component.  Where the other members of a bucket
 still belong to different components, an exact way handles the rest: of each
 such member only its rarest shingles, as many as a similar text must share one
-of, are joined, and a pair comes out only if the places of that shingle leave
-room for enough common ones.  A pair of one component needs no comparison, so no
-link between components is lost.
+of, are joined.  The place of a shingle tells how long a partner can be at most,
+and the join key holds the partner's length, so texts that share a template but
+too little else don't meet at all.  A pair of one component needs no comparison,
+so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -29,6 +30,9 @@ from .common import portions, small_batches, text_or_empty, written
 from .components import components
 from .texthash import U, mix, word_hashes
 
+_FINE = 64  # classes of length an e-fold: texts of one class differ by at most 1.6 % in length
+_BLOCK = 4096  # postings of one key that a block holds, on either side, about
+
 _ODD = np.random.default_rng(5).integers(1, 2**62, 64, dtype=U) * U(2) + U(1)
 
 
@@ -94,9 +98,12 @@ def _signatures(words: int, bands: int, rows: int):
                 mix((signature(s, begins, detours).reshape(bands, rows) * (salt | U(1))).sum(axis=1) + np.arange(bands, dtype=U)).view(np.int64)
                 if len(s) else None for s in sets
             ]
-            yield pd.DataFrame({
+            out = pd.DataFrame({
                 "_id": pdf["_id"].astype("Int64"), "n": [len(s) for s in sets], "whole": [xxh3_128_digest(s.tobytes()) for s in sets], "keys": keys,
             })
+            # Copies inside a batch are linked here, so that a set that many documents have is no hot key later.
+            out["near"] = out.groupby("whole")["_id"].transform("min").astype("Int64")
+            yield out
 
     return run
 
@@ -139,13 +146,15 @@ def near_duplicates(
     small_batches(docs.sparkSession)
     plain = docs.select(F.col(f"`{id}`").cast("long").alias("_id"), text_or_empty(text).alias("_text"))
     sigs = written(
-        plain.mapInPandas(_signatures(words, bands, rows), "_id long, n long, whole binary, keys array<long>"), "signatures",
+        plain.mapInPandas(_signatures(words, bands, rows), "_id long, n long, whole binary, keys array<long>, near long"), "signatures",
     )
     # Texts with the same set are one node: only the smallest id of each set goes on.
     named = sigs.where("n > 0 and _id is not null")
-    node = named.groupBy("whole").agg(F.min("_id").alias("rep"))
-    same = named.join(node, "whole")
-    copies = same.where("_id != rep").select(F.col("rep").alias("a"), F.col("_id").alias("b")).distinct()
+    # Of a batch only the smallest does: a set meets at most once a batch, however many rows have it.
+    close = named.where("_id != near").select(F.col("near").alias("a"), F.col("_id").alias("b"))
+    first = named.where("_id = near").select("_id", "whole", "keys")
+    same = first.join(first.groupBy("whole").agg(F.min("_id").alias("rep")), "whole")
+    copies = close.unionByName(same.where("_id != rep").select(F.col("rep").alias("a"), F.col("_id").alias("b"))).distinct()
     entries = same.where("_id = rep").select(F.col("rep").alias("doc"), F.explode("keys").alias("key")).distinct()
     hubs = entries.groupBy("key").agg(F.count("*").alias("members"), F.min("doc").alias("hub")).where("members > 1")
     buckets = written(entries.join(hubs, "key").select("key", "doc", "hub"), "buckets")
@@ -193,15 +202,48 @@ def _rare_shingle_pairs(texts: DataFrame, members: DataFrame, words: int, percen
     rows = texts.withColumnRenamed("_id", "doc").join(members, "doc").select("doc", "label", "_text")
     rows = rows.mapInPandas(sets, "doc long, label long, n long, whole binary, all array<long>")
     rows = written(rows.select("doc", "label", "n", "whole", F.explode("all").alias("shingle")), "shingles")
-    often = rows.groupBy("shingle").agg(F.count("*").alias("often"))
+    # A shingle that one component alone has links nothing new.
+    often = rows.groupBy("shingle").agg(F.count("*").alias("often"), (F.min("label") != F.max("label")).alias("meets"))
     order = Window.partitionBy("doc", "whole").orderBy("often", "shingle")
     rows = rows.join(often, "shingle").withColumn("place", F.row_number().over(order))
-    need = lambda n: F.floor((n * percent + 99) / 100)
-    first = written(rows.where((F.col("place") <= F.col("n") - need(F.col("n")) + 1) & (F.col("often") > 1)).select("shingle", "doc", "label", "n", "place"), "first")
-    x, y = first.alias("x"), first.alias("y")
-    left = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) + 1
+    need = F.floor((F.col("n") * percent + 99) / 100)
+    first = rows.where((F.col("place") <= F.col("n") - need + 1) & F.col("meets"))
+    x, y = _meetings(written(first.select("shingle", "doc", "label", "n", (F.col("n") - F.col("place") + 1).alias("left")), "first"), percent)
     fits = (
-        (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.doc") < F.col("y.doc")) & (F.col("x.label") != F.col("y.label"))
-        & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & ((100 + percent) * left >= percent * (F.col("x.n") + F.col("y.n")))
+        (F.col("x.label") != F.col("y.label")) & (F.col("x.n") >= F.col("y.n")) & (100 * F.col("y.n") >= percent * F.col("x.n"))
+        & ((100 + percent) * F.least("x.left", "y.left") >= percent * (F.col("x.n") + F.col("y.n")))
     )
-    return x.join(y, fits).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
+    same_key = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in _KEY]
+    return x.join(y, [*same_key, fits]).select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct()
+
+
+_KEY = ("shingle", "class", "row", "column")
+
+
+def _meetings(postings: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The postings (shingle, doc, label, n, left) as x, the longer text of a pair, and y, the shorter one, with the key they meet by.
+
+    ``left`` is how many shingles a text has from this one on.  Similar texts
+    whose first common shingle this is have (100 + percent) * left >= percent *
+    (sum of both lengths) on either side.  So x asks for the lengths from
+    percent * n / 100 to its own or what ``left`` allows, in classes of length;
+    y answers only if ``left`` is enough for a partner of its own length.  A key
+    of many postings is dealt out: x to rows and y to columns of a grid, whose
+    every cell is a key of its own.
+    """
+    n, left = F.col("n"), F.col("left")
+    size_class = lambda length: F.floor(F.log(length.cast("double")) * _FINE)
+    least = F.floor((n * percent + 99) / 100)
+    most = F.least(n, F.floor(left * (100 + percent) / percent) - n)
+    asks = postings.where(least <= most).withColumn("class", F.explode(F.sequence(size_class(least), size_class(most))))
+    answers = postings.where((100 + percent) * left >= 2 * percent * n).withColumn("class", size_class(n))
+    both = asks.select("shingle", "class", F.lit(1).alias("x"), F.lit(0).alias("y")).unionByName(
+        answers.select("shingle", "class", F.lit(0).alias("x"), F.lit(1).alias("y")))
+    blocks = lambda side: F.ceil(F.sum(side) / _BLOCK)
+    grids = both.groupBy("shingle", "class").agg(blocks("x").alias("rows"), blocks("y").alias("columns"))
+    grids = grids.where("rows > 0 and columns > 0")
+    one = lambda of: F.pmod(F.xxhash64("doc"), F.col(of))
+    every = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1))
+    x = asks.join(grids, ["shingle", "class"]).withColumn("row", one("rows")).withColumn("column", every("columns"))
+    y = answers.join(grids, ["shingle", "class"]).withColumn("column", one("columns")).withColumn("row", every("rows"))
+    return x.alias("x"), y.alias("y")

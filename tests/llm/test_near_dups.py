@@ -86,3 +86,60 @@ def test_signatures_estimate_similarity():
     b = np.concatenate([a[:360], r.integers(0, 2**64, 40, dtype=np.uint64)])
     same = near_dups.signature(np.unique(a), begins, detours) == near_dups.signature(np.unique(b), begins, detours)
     assert abs(same.mean() - 360 / 440) < 0.12
+
+
+def test_texts_of_one_template_do_not_meet(spark):
+    # 400 words of a template and 40 own ones: 0.82 alike, so nothing links at 0.85.
+    r = random.Random(8)
+    template = [f"t{i}" for i in range(400)]
+    met = {}
+    original = near_dups._meetings
+
+    def counted(postings, percent):
+        x, y = original(postings, percent)
+        met[size] = x.join(y, [near_dups.F.col(f"x.{k}") == near_dups.F.col(f"y.{k}") for k in near_dups._KEY]).count()
+        return x, y
+
+    near_dups._meetings = counted
+    try:
+        for size in (500, 1000):
+            rows = []
+            for i in range(size):
+                at = r.randrange(400)
+                rows.append((i, " ".join(template[:at] + [f"o{i}_{k}" for k in range(40)] + template[at:])))
+            got = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), percent=85)
+            assert got.where("kept").count() == size
+    finally:
+        near_dups._meetings = original
+    assert met[500] <= 500 and met[1000] <= 1000, met
+
+
+def test_small_blocks_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(near_dups, "_BLOCK", 3)
+    for percent, seed in ((85, 3), (80, 5)):
+        rows = sample(seed)
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        got = near_dups.near_duplicates(docs, percent=percent, bands=8, rows=2).collect()
+        assert sorted(map(tuple, got), key=str) == brute(rows, percent)
+
+
+def test_copies_over_many_partitions(spark):
+    rows = [(i, "one two three four five six seven" if i % 3 else f"own words of text number {i} only") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(16)
+    got = near_dups.near_duplicates(docs, percent=85).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows, 85)
+
+
+def test_every_similar_pair_meets(spark):
+    # All pairs of sets against the join by rarest shingles alone, whatever the buckets found.
+    rows = [x for x in sample(9) if x[0] is not None and (x[1] or "").strip()]
+    rows = list({i: (i, t) for i, t in rows}.values())
+    texts = spark.createDataFrame(rows, "_id long, text string").selectExpr("_id", "text AS _text")
+    members = texts.selectExpr("_id AS doc", "_id AS label")
+    for percent in (60, 80, 95):
+        got = {tuple(p) for p in near_dups._rare_shingle_pairs(texts, members, 5, percent).collect()}
+        sets = {i: shingles(t) for i, t in rows}
+        for a in sets:
+            for b in sets:
+                if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                    assert (a, b) in got
