@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from ..operators import logs
 from ..operators import registry as reg
+from ..session import scratch_path
+from ..sources.readers import list_artifacts, read_summary
 from .base import LINES_SQL, REPORT_SQL, log_lines, query, r, report, table, ts
 
 # Events as activities, models, versions and jobs.
@@ -110,6 +112,31 @@ def training(spark, sf):
     return reg.detect_training_results(rows, best)
 
 
+_ARTIFACTS = """SELECT 'best_model' AS artifact_name, 'model' AS artifact_type, sum(strlen(o_orderpriority) + 1) AS size_bytes FROM orders
+UNION ALL SELECT 'scalers', 'scaler', sum(strlen(c_name) + 1) FROM customer UNION ALL SELECT 'ranked_report', 'report', sum(strlen("Algorithm") + 1) FROM """ + REPORT_SQL + " t"
+
+
+@query("r7_training_artifacts", f"""
+WITH b AS (SELECT * FROM {REPORT_SQL} t ORDER BY t."Test_Score" DESC, "Algorithm" LIMIT 1), a AS ({_ARTIFACTS})
+SELECT "Algorithm" AS best_algorithm, {r('"Test_Score"')} AS best_accuracy, (SELECT count(*) FROM {REPORT_SQL}) AS algorithms,
+  (SELECT {r("avg((o_totalprice > 150000)::INT)")} FROM orders) AS accuracy, (SELECT count(*) FROM orders) AS evaluated_rows,
+  (SELECT sum(size_bytes)::BIGINT FROM a) AS artifact_bytes, artifact_name, artifact_type, size_bytes::BIGINT AS size_bytes FROM b, a""")
+def training_files(spark, sf):
+    folder = scratch_path(spark, "training")
+    rows, orders = report(spark, sf), table(spark, sf, "orders")
+    for name, lines in (("best_model", orders.select("o_orderpriority")), ("scalers", table(spark, sf, "customer").select("c_name")),
+                        ("ranked_report", rows.select("Algorithm"))):
+        lines.write.text(f"{folder}/{name}")
+    measured = scratch_path(spark, "evaluation")
+    orders.agg(F.avg((F.col("o_totalprice") > 150000).cast("int")).alias("accuracy"), F.count("*").alias("evaluated_rows")).write.json(measured)
+    best = rows.orderBy(F.col("Test_Score").desc(), "Algorithm").limit(1).select(
+        F.col("Algorithm").alias("best_model"), F.col("Test_Score").alias("best_score"))
+    out = reg.detect_training_results(
+        rows, best, reg.training_artifacts(list_artifacts(spark, folder), folder),
+        read_summary(spark, measured, "accuracy double, evaluated_rows bigint"))
+    return out.select("best_algorithm", "best_accuracy", "algorithms", "evaluation_metrics.*", "artifact_bytes", F.inline("artifacts"))
+
+
 @query("r8_jobs_by_status", f"""
 SELECT id, pipeline_name, {ts('created_at')} AS created_at FROM {_JOB_SQL} t WHERE status = 'failed' ORDER BY t.created_at DESC, id DESC LIMIT 50""")
 def jobs(spark, sf):

@@ -21,6 +21,36 @@ def pipeline(spark, sf):
     return model.transform(rows).select("o_orderkey", values[0].alias("price"), values[1].alias("is_f"))
 
 
+_KNOWN = "(SELECT concat('order ', o_orderkey) AS v, o_totalprice FROM orders WHERE o_orderkey % 9 <> 0)"
+
+
+def _wide(spark, sf):
+    rows = table(spark, sf, "orders").withColumn("ref", F.concat(F.lit("order "), F.col("o_orderkey")))
+    return rows, s.fit_pipeline(rows.filter("o_orderkey % 9 <> 0"), ["o_totalprice"], ["o_orderstatus", "ref"], most_categories=1000)
+
+
+@query("m1_wide_categories", f"""
+SELECT o_orderkey, 1 + (SELECT count(DISTINCT o_orderstatus) FROM orders WHERE o_orderkey % 9 <> 0) + 1 + n + 1 AS places,
+  1 + status AS status_at, 1 + (SELECT count(DISTINCT o_orderstatus) FROM orders WHERE o_orderkey % 9 <> 0) + 1 + coalesce(code, n) AS ref_at
+FROM orders JOIN (SELECT s AS o_orderstatus, row_number() OVER (ORDER BY s) - 1 AS status FROM (SELECT DISTINCT o_orderstatus AS s FROM orders WHERE o_orderkey % 9 <> 0)) USING (o_orderstatus)
+LEFT JOIN (SELECT v, row_number() OVER (ORDER BY v) - 1 AS code FROM {_KNOWN}) ON v = concat('order ', o_orderkey), (SELECT count(*) AS n FROM {_KNOWN})""")
+def wide_categories(spark, sf):
+    rows, prep = _wide(spark, sf)
+    # A sparse vector as text is (places,[where],[what]); the scaled number comes first.
+    parts = F.split(F.regexp_replace(F.col("features").cast("string"), r"[()\[\]]", ""), ",")
+    return prep.transform(rows.select("o_orderkey", "o_totalprice", "o_orderstatus", "ref")).select(
+        "o_orderkey", parts[0].cast("bigint").alias("places"), parts[2].cast("bigint").alias("status_at"), parts[3].cast("bigint").alias("ref_at"))
+
+
+@query("m1_expected_columns", f"""
+SELECT o_orderkey, CASE WHEN o_orderkey = 1 THEN 1.0 ELSE 0.0 END AS "ref_order 1", 0 AS absent, {r('(o_totalprice - m) / s')} AS o_totalprice,
+  0 AS "ref_order 9", CASE WHEN o_orderstatus = 'O' THEN 1.0 ELSE 0.0 END AS "o_orderstatus_O"
+FROM orders, (SELECT avg(o_totalprice) AS m, stddev_samp(o_totalprice) AS s FROM {_KNOWN})""")
+def expected_columns(spark, sf):
+    rows, prep = _wide(spark, sf)
+    return prep.columns(rows, ["o_orderkey"], ["ref_order 1", "absent", "o_totalprice", "ref_order 9", "o_orderstatus_O"])
+
+
 @query("m2_manual_preparation", f"""
 SELECT o_orderkey, {r('(o_totalprice - m) / sd')} AS o_totalprice_scaled, CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END AS "o_orderstatus_O",
   CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END AS "o_orderstatus_P", coalesce(code, -1) AS clerk, 0 AS absent

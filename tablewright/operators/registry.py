@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -121,16 +122,31 @@ def best_row(report: DataFrame, summary: DataFrame) -> DataFrame:
     return report.join(names, F.col("Algorithm") == F.col("_best")).drop("_best")
 
 
-def detect_training_results(report: DataFrame, summary: DataFrame, artifacts: DataFrame | None = None) -> DataFrame:
-    """One row on a finished training: best algorithm and its scores, algorithms compared, artifact bytes.
+def training_artifacts(files: DataFrame, folder: str) -> DataFrame:
+    """Artifact, its type and bytes from ``list_artifacts`` of ``folder``; a folder of part files is one artifact."""
+    inside = F.split(F.col("file_path"), f"/{re.escape(folder.rstrip('/').rsplit('/', 1)[-1])}/", 2)[1]
+    name = F.split(inside, "/")[0]
+    kind = F.when(name.startswith("best_model"), "model").when(name.startswith("scaler"), "scaler").otherwise("report")
+    return files.groupBy(name.alias("artifact_name")).agg(F.first(kind).alias("artifact_type"), F.sum("file_size_bytes").alias("size_bytes"))
 
-    ``artifacts`` is ``list_artifacts`` of the output folder.
+
+def detect_training_results(report: DataFrame, summary: DataFrame, artifacts: DataFrame | None = None,
+                            metrics: DataFrame | None = None) -> DataFrame:
+    """One row on a finished training: best algorithm and its scores, algorithms compared, metrics, artifacts.
+
+    ``artifacts`` is ``training_artifacts`` of the output folder: its rows come
+    as an array by name, with their bytes summed.  ``metrics`` is an evaluation
+    file of one row, whose columns are taken over.
     """
     algorithms = report.agg(F.count(F.lit(1)).alias("n")).scalar()
     out = best_row(report, summary).select(
         F.col("Algorithm").alias("best_algorithm"), F.col("best_score").alias("best_accuracy"),
         F.col("Train_Score").alias("best_train_score"), F.col("Test_Score").alias("best_test_score"),
         algorithms.alias("algorithms"))
+    if metrics is not None:
+        out = out.select("*", F.struct(*[metrics.select(col(m)).scalar().alias(m) for m in metrics.columns]).alias("evaluation_metrics"))
     if artifacts is not None:
-        out = out.withColumn("artifact_bytes", artifacts.agg(F.sum("file_size_bytes").alias("b")).scalar())
+        listed = F.array_sort(F.collect_list(F.struct("artifact_name", "artifact_type", "size_bytes")))
+        out = out.withColumn("artifacts", artifacts.agg(listed.alias("a")).scalar())
+        out = out.withColumn("artifact_bytes", F.aggregate("artifacts", F.lit(0).cast("bigint"), lambda t, a: t + a["size_bytes"]))
     return out

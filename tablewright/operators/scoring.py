@@ -10,47 +10,108 @@ from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier,
 )
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import (
+    Imputer, OneHotEncoder, OneHotEncoderModel, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler,
+)
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import col, ratio
 from ..functions.numbers import confidence_band, key_number, sigmoid, zscore
+from ..session import scratch_path
 from .joins import join_lookup
 from .projection import align_columns
 from .ranking import dense_index, group_quantiles
 
 
+@dataclass(frozen=True)
+class FittedPreparation:
+    """A fitted pipeline; what its wide text columns hold stays in written tables (value, code)."""
+
+    model: PipelineModel
+    numeric: Sequence[str]
+    categorical: Sequence[str]
+    dictionaries: Mapping[str, DataFrame]
+    encoders: Mapping[str, OneHotEncoderModel]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """``df`` with ``features``: the scaled numbers, then a sparse block per text column.
+
+        A block's last place stands for a missing or unseen value.
+        """
+        out = self.model.transform(df)
+        for i, (c, table) in enumerate(self.dictionaries.items()):
+            coded = table.select(F.col("value").alias(f"_value{i}"), F.col("code").alias(f"_code{i}"))
+            out = join_lookup(out, coded, col(c).cast("string") == F.col(f"_value{i}"))
+            code = F.coalesce(F.col(f"_code{i}"), F.lit(self.encoders[c].categorySizes[0] - 1)).cast("double")
+            out = self.encoders[c].transform(out.withColumn(f"{c}__code", code).drop(f"_value{i}", f"_code{i}"))
+        blocks = ["scaled", *[f"{c}__hot" for c in self.categorical]]
+        out = VectorAssembler(inputCols=blocks, outputCol="features").transform(out)
+        # The assembler names every place; nothing after it needs the names, which grow with the categories.
+        return out.withColumn("features", F.col("features").alias("features", metadata={}))
+
+    def columns(self, df: DataFrame, keep: Sequence[str], expected: Sequence[str]) -> DataFrame:
+        """``keep``, then exactly the columns a model expects, in its order.
+
+        A number is asked for by its name, a category as ``{column}_{value}``.
+        What the training data did not hold is 0.
+        """
+        out = self.model.transform(df)
+        scaled = vector_to_array("scaled")
+        found = {c: scaled[i] for i, c in enumerate(self.numeric) if c in expected}
+        seen = {c: labels for stage in self.model.stages if isinstance(stage, StringIndexerModel)
+                for c, labels in zip(stage.getInputCols(), stage.labelsArray)}
+        for c in sorted(self.categorical, key=len):
+            asked = [e[len(c) + 1:] for e in expected if e.startswith(f"{c}_")]
+            if c in self.dictionaries and asked:
+                # As many values as the model has columns at most.
+                seen[c] = [r.value for r in self.dictionaries[c].filter(F.col("value").isin(asked)).select("value").collect()]
+            known = set(seen.get(c, ()))
+            for value in asked:
+                if value in known:
+                    found[f"{c}_{value}"] = F.coalesce((col(c).cast("string") == F.lit(value)).cast("double"), F.lit(0.0))
+        out = out.select(*[col(k) for k in keep], *[value.alias(name) for name, value in found.items()])
+        return align_columns(out, [*keep, *expected])
+
+
 def fit_pipeline(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (),
-                 most_categories: int = 10_000) -> PipelineModel:
-    """Impute, one-hot encode and scale as a Spark ML pipeline ending in ``features``.
+                 most_categories: int = 10_000) -> FittedPreparation:
+    """Impute, one-hot encode and scale with Spark ML, ending in ``features``.
 
-    The string indexer keeps a column's distinct values on the driver, so their
-    number is checked first; for wider columns use ``fit_manual`` whose codes
-    stay distributed.  Errors of any step surface.
+    The string indexer keeps a column's distinct values on the driver.  A column
+    of over ``most_categories`` values, as a sketch counts them, gets its codes
+    from a table instead, which is written under the shared folder and joined;
+    both ways give the same vectors.  Errors of any step surface.
     """
+    wide: list[str] = []
     if categorical:
-        sizes = train.agg(*[F.approx_count_distinct(col(c)).alias(c) for c in categorical]).first()
-        wide = [c for c in categorical if sizes[c] > most_categories]
-        if wide:
-            raise ValueError(f"too many categories for one-hot encoding: {wide}; use fit_manual")
+        sizes = train.agg(*[F.approx_count_distinct(col(c)).alias(f"_{i}") for i, c in enumerate(categorical)]).first()
+        wide = [c for i, c in enumerate(categorical) if sizes[i] > most_categories]
+    narrow = [c for c in categorical if c not in wide]
     numbers = [f"{c}__number" for c in numeric]
     stages = [Imputer(inputCols=list(numeric), outputCols=numbers, strategy="mean")]
-    blocks = []
-    if categorical:
-        codes, hot = [f"{c}__code" for c in categorical], [f"{c}__hot" for c in categorical]
+    if narrow:
+        codes = [f"{c}__code" for c in narrow]
         stages += [
-            StringIndexer(inputCols=list(categorical), outputCols=codes, handleInvalid="keep", stringOrderType="alphabetAsc"),
-            OneHotEncoder(inputCols=codes, outputCols=hot, handleInvalid="keep"),
+            StringIndexer(inputCols=narrow, outputCols=codes, handleInvalid="keep", stringOrderType="alphabetAsc"),
+            OneHotEncoder(inputCols=codes, outputCols=[f"{c}__hot" for c in narrow], handleInvalid="keep"),
         ]
-        blocks = hot
     stages += [
         VectorAssembler(inputCols=numbers, outputCol="numbers"),
         StandardScaler(inputCol="numbers", outputCol="scaled", withMean=True, withStd=True),
-        VectorAssembler(inputCols=["scaled", *blocks], outputCol="features"),
     ]
-    return Pipeline(stages=stages).fit(train)
+    model = Pipeline(stages=stages).fit(train)
+    dictionaries, encoders = {}, {}
+    spark = train.sparkSession
+    for c in wide:
+        path = scratch_path(spark, "categories")
+        dense_index(train.select(col(c).cast("string").alias("value")), "value").write.parquet(path)
+        dictionaries[c] = spark.read.parquet(path)
+        # The encoder learns the number of places only, from a row that holds the last one.
+        last = spark.range(1).select(F.lit(float(dictionaries[c].count())).alias(f"{c}__code"))
+        encoders[c] = OneHotEncoder(inputCols=[f"{c}__code"], outputCols=[f"{c}__hot"], handleInvalid="keep").fit(last)
+    return FittedPreparation(model, list(numeric), list(categorical), dictionaries, encoders)
 
 
 @dataclass(frozen=True)

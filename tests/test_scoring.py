@@ -24,8 +24,25 @@ def test_pipeline(train):
     values = s.vector_to_array("features")
     row = out.agg(F.avg(values[0]).alias("m"), F.stddev_samp(values[0]).alias("s")).first()
     assert row.m == pytest.approx(0, abs=1e-9) and row.s == pytest.approx(1)
-    with pytest.raises(ValueError):
-        s.fit_pipeline(train, ["x"], ["many"], most_categories=10)
+
+
+def test_wide_categories_give_the_same_vectors(spark, train):
+    names = ["many", "few"]
+    plain, tables = s.fit_pipeline(train, ["x"], names), s.fit_pipeline(train, ["x"], names, most_categories=10)
+    assert not plain.dictionaries and list(tables.dictionaries) == ["many"]
+    batch = spark.createDataFrame([(1, 4.0, "b", "city 10"), (2, None, None, "nowhere"), (3, 1.0, "z", None)], "id int, x double, few string, many string")
+    for rows in (train, batch):
+        got = [{r.id: r.features for r in p.transform(rows).collect()} for p in (plain, tables)]
+        assert got[0] == got[1] and got[0][1].size == 1 + 26 + 4
+    expected = ["many_city 10", "x", "few_b", "few_z", "many_nowhere", "gone"]
+    rows = [[tuple(r) for r in p.columns(batch, ["id"], expected).orderBy("id").collect()] for p in (plain, tables)]
+    assert rows[0] == rows[1]
+    assert [(r[1], r[3], *r[4:]) for r in rows[0]] == [(1.0, 1.0, 0, 0, 0), (0.0, 0.0, 0, 0, 0), (0.0, 0.0, 0, 0, 0)]
+
+
+def test_wide_categories_of_an_empty_table(spark, train):
+    prep = s.fit_pipeline(train.withColumn("many", F.lit(None).cast("string")), ["x"], ["many"], most_categories=-1)
+    assert {r.features.toArray()[1] for r in prep.transform(train).collect()} == {1.0}
 
 
 def test_manual_preparation(spark, train):
