@@ -56,12 +56,29 @@ def enhanced(spark, sf):
     return out.select("column1", "column2", "correlation", "n", "strength", clear.alias("clear"))
 
 
-@query("c2_p_values")
+def _below(top: str, steps: int) -> str:
+    """SQL: the integral from 0 of the density of sqrt(n - 2) times r, for uncorrelated columns, by the midpoint rule."""
+    return (f"({top} / {steps} * list_sum(list_transform(range({steps}), "
+            f"lambda i: pow(1 - pow((i + 0.5) * {top} / {steps}, 2) / (n - 2), (n - 4) / 2.0))))")
+
+
+_P = f"""(SELECT *, CASE WHEN abs(correlation) < 0.3 THEN 'Very Weak' WHEN abs(correlation) < 0.5 THEN 'Weak' WHEN abs(correlation) < 0.7 THEN 'Moderate'
+    WHEN abs(correlation) < 0.9 THEN 'Strong' ELSE 'Very Strong' END AS strength,
+  CASE WHEN abs(correlation) >= 1 THEN 0 ELSE greatest(0, 1 - {_below('least(10, abs(correlation) * sqrt(n - 2))', 5000)} / {_below('10.0', 10000)}) END AS p
+FROM {_WITH_K} WHERE correlation IS NOT NULL)"""
+_P_COLUMNS = f"i, j, column1, column2, {r('correlation')} AS correlation, n, {r('p')} AS p_value, (p < 0.05)::INT AS significant, strength"
+
+
+@query("c2_p_values", f"SELECT {_P_COLUMNS} FROM {_P} WHERE p < 0.05")
 def p_values(spark, sf):
-    """SQL has no t distribution; the tail is tested against known values in the unit tests."""
     return c.significant_pairs(c.enhanced_correlations(numbers(spark, sf)), 0.0)
 
 
+@query("c2_p_values_of_all_pairs", f"SELECT {_P_COLUMNS} FROM {_P}")
+def all_p_values(spark, sf):
+    return c.enhanced_correlations(numbers(spark, sf)).filter("correlation IS NOT NULL")
+
+
 _STRENGTH = ("CASE WHEN abs(correlation) > 0.9 THEN 'Very Strong' WHEN abs(correlation) > 0.7 THEN 'Strong' "
              "WHEN abs(correlation) > 0.5 THEN 'Moderate' WHEN abs(correlation) > 0.3 THEN 'Weak' ELSE 'Very Weak' END")
 _CELLS = (f"(SELECT column2 AS x, column1 AS y, correlation FROM {_PAIRS} UNION ALL SELECT column1, column2, correlation FROM {_PAIRS} "
