@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import portions, small_batches, text_or_empty
-from .wordbpe import encoder
+from .wordbpe import WordEncoder, encoder
 
 BLOCK = 1 << 22  # ids that one task packs together, at most: 16 MB
+PORTION = 1 << 20  # bytes of text that are encoded together: what that takes beside them is some thirty times as much
 
 
 class OpenWindows:
@@ -108,6 +109,14 @@ def layout(totals: np.ndarray, size: int, slack: int = 16) -> dict[str, np.ndarr
     return dict(zip(("doc", "start", "length", "window", "offset"), (np.array(x, np.int64) for x in pieces)))
 
 
+def documents_ids(coder: WordEncoder, texts: list[str], end_id: int) -> Iterator[np.ndarray]:
+    """The ids of each text with ``end_id`` after them; only a portion's are held at a time."""
+    for a, b in portions(texts, PORTION):
+        codes, at = coder.encode(texts[a:b])
+        for k in range(b - a):
+            yield np.append(codes[at[k] : at[k + 1]], np.uint32(end_id)).astype("<u4")
+
+
 PIECES = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -144,18 +153,14 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = 4096, id:
         held = made = 0
         for pdf in batches:
             texts, names = list(pdf["_text"]), [None if pd.isna(i) else int(i) for i in pdf["_id"]]
-            for a, b in portions(texts, 1 << 22):
-                codes, at = coder.encode(texts[a:b])
-                codes = codes.astype("<u4")
-                for k in range(b - a):
-                    one = np.append(codes[at[k] : at[k + 1]], np.uint32(end_id)).astype("<u4")
-                    if held and held + len(one) > BLOCK:
-                        out, made = put(rows, found, task, made)
-                        yield out
-                        rows, found, held = [], [], 0
-                    rows.append(names[a + k])
-                    found.append(one)
-                    held += len(one)
+            for name, one in zip(names, documents_ids(coder, texts, end_id)):
+                if held and held + len(one) > BLOCK:
+                    out, made = put(rows, found, task, made)
+                    yield out
+                    rows, found, held = [], [], 0
+                rows.append(name)
+                found.append(one)
+                held += len(one)
         if found:
             yield put(rows, found, task, made)[0]
 

@@ -9,6 +9,8 @@ from tokenizers import Tokenizer
 
 from .texthash import Buffer, U, mix
 
+LOT = 20_000  # words that the tokenizer gets in one text: it takes about a kilobyte for each until their ids are read
+
 _loaded: dict[str, WordEncoder] = {}
 _BREAK = np.zeros(256, bool)
 _BREAK[[10, 32]] = True
@@ -83,8 +85,10 @@ class WordEncoder:
         self._add(keys[more], counts.reshape(-1, 2).sum(axis=1), self._ids_of(rows[used])[0])
 
     def _encode(self, words: list[str], keys: np.ndarray) -> None:
-        if not words:
-            return
+        for a in range(0, len(words), LOT):
+            self._encode_lot(words[a : a + LOT], keys[a : a + LOT])
+
+    def _encode_lot(self, words: list[str], keys: np.ndarray) -> None:
         plain = np.array([w.isalpha() and (w.isascii() or w.islower() and unicodedata.is_normalized("NFC", w)) for w in words], bool)
         letters = [w for w, p in zip(words, plain.tolist()) if p]
         if letters:  # one pre-token each, so a word ends where a token has the end-of-word mark

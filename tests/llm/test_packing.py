@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -8,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tablewright.llm import packing
+from tablewright.llm import packing, wordbpe
 from tablewright.llm.wordbpe import WordEncoder
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -39,6 +40,37 @@ def test_encoder_on_odd_words(name):
     assert ids.tolist() == want
 
 
+def test_encoding_a_task_s_texts_takes_bounded_memory():
+    r = random.Random(3)
+    texts = [" ".join("".join(r.choice("abcdeéñ") for _ in range(6)) for _ in range(r.randrange(200, 900))) for _ in range(1100)]
+    coder, plain = WordEncoder(PATH), _pair()[1]
+    tracemalloc.start()
+    try:
+        lengths = [len(x) for x in packing.documents_ids(coder, texts, 2)]
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+    assert sum(map(len, texts)) > 3 << 20 and peak < 120
+    for i in (0, 500, 1099):
+        assert lengths[i] == len(plain.encode(texts[i], add_special_tokens=False).ids) + 1
+
+
+def test_the_tokenizer_gets_a_lot_of_words_at_a_time(monkeypatch):
+    monkeypatch.setattr(wordbpe, "LOT", 3)
+    coder, seen = WordEncoder(PATH), []
+
+    class Told:
+        def encode(self, text, **options):
+            seen.append(len(text.split()))
+            return _pair()[1].encode(text, **options)
+
+    coder.tokenizer = Told()
+    text = "one two three four five x-1 y-2 z-3, w-4. Ñandú a.b c.d"
+    ids, _ = coder.encode([text])
+    assert ids.tolist() == _pair()[1].encode(text, add_special_tokens=False).ids
+    assert max(seen) <= 3
+
+
 @settings(deadline=None, max_examples=80)
 @given(st.lists(st.integers(1, 200), max_size=60), st.sampled_from([7, 16, 50]))
 def test_best_fit_takes_the_tightest_window(lengths, size):
