@@ -11,11 +11,13 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import (
-    Imputer, OneHotEncoder, OneHotEncoderModel, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler,
+    Imputer, OneHotEncoder, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import col, ratio
 from ..functions.numbers import confidence_band, key_number, sigmoid, zscore
@@ -25,15 +27,29 @@ from .projection import align_columns
 from .ranking import dense_index, group_quantiles
 
 
+def sparse_vector(size: int, places: Column, values: Column) -> Column:
+    """A sparse vector of ML without a name for any place of it.
+
+    Spark ML's encoder and assembler list all places as attributes on the
+    driver.  Only JSON is read into a vector type, so the parts go through it.
+    """
+    parts = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"), places.alias("indices"), values.alias("values"))
+    schema = T.StructType([T.StructField("vector", VectorUDT())])
+    return F.from_json(F.to_json(F.struct(parts.alias("vector"))), schema, {"mode": "FAILFAST"})["vector"]
+
+
 @dataclass(frozen=True)
 class FittedPreparation:
-    """A fitted pipeline; what its wide text columns hold stays in written tables (value, code)."""
+    """A fitted pipeline; what its wide text columns hold stays in written tables (value, code).
+
+    ``widths`` has how many places a wide column takes.
+    """
 
     model: PipelineModel
     numeric: Sequence[str]
     categorical: Sequence[str]
     dictionaries: Mapping[str, DataFrame]
-    encoders: Mapping[str, OneHotEncoderModel]
+    widths: Mapping[str, int]
 
     def transform(self, df: DataFrame) -> DataFrame:
         """``df`` with ``features``: the scaled numbers, then a sparse block per text column.
@@ -41,15 +57,32 @@ class FittedPreparation:
         A block's last place stands for a missing or unseen value.
         """
         out = self.model.transform(df)
+        if not self.dictionaries:
+            blocks = ["scaled", *[f"{c}__hot" for c in self.categorical]]
+            out = VectorAssembler(inputCols=blocks, outputCol="features").transform(out)
+            # The assembler names every place; nothing after it needs the names, which grow with the categories.
+            return out.withColumn("features", F.col("features").alias("features", metadata={}))
         for i, (c, table) in enumerate(self.dictionaries.items()):
             coded = table.select(F.col("value").alias(f"_value{i}"), F.col("code").alias(f"_code{i}"))
             out = join_lookup(out, coded, col(c).cast("string") == F.col(f"_value{i}"))
-            code = F.coalesce(F.col(f"_code{i}"), F.lit(self.encoders[c].categorySizes[0] - 1)).cast("double")
-            out = self.encoders[c].transform(out.withColumn(f"{c}__code", code).drop(f"_value{i}", f"_code{i}"))
-        blocks = ["scaled", *[f"{c}__hot" for c in self.categorical]]
-        out = VectorAssembler(inputCols=blocks, outputCol="features").transform(out)
-        # The assembler names every place; nothing after it needs the names, which grow with the categories.
-        return out.withColumn("features", F.col("features").alias("features", metadata={}))
+            code = F.coalesce(F.col(f"_code{i}"), F.lit(self.widths[c] - 1)).cast("double")
+            out = out.withColumn(f"{c}__code", code).drop(f"_value{i}", f"_code{i}")
+            hot = sparse_vector(self.widths[c], F.array(col(f"{c}__code").cast("int")), F.array(F.lit(1.0)))
+            out = out.withColumn(f"{c}__hot", hot)
+        widths = dict(self.widths)
+        for stage in self.model.stages:
+            if isinstance(stage, StringIndexerModel):
+                widths |= {c: len(labels) + 1 for c, labels in zip(stage.getInputCols(), stage.labelsArray)}
+        start, places = len(self.numeric), []
+        for c in self.categorical:
+            places.append((col(f"{c}__code") + start).cast("int"))
+            start += widths[c]
+        # As the assembler does, without the zeros among the numbers.
+        scaled = vector_to_array("scaled")
+        given = F.filter(F.sequence(F.lit(0), F.lit(len(self.numeric) - 1)), lambda i: F.get(scaled, i) != 0)
+        numbers = F.filter(scaled, lambda x: x != 0)
+        ones = F.array(*[F.lit(1.0) for _ in places])
+        return out.withColumn("features", sparse_vector(start, F.concat(given, F.array(*places)), F.concat(numbers, ones)))
 
     def columns(self, df: DataFrame, keep: Sequence[str], expected: Sequence[str]) -> DataFrame:
         """``keep``, then exactly the columns a model expects, in its order.
@@ -81,8 +114,8 @@ def fit_pipeline(train: DataFrame, numeric: Sequence[str], categorical: Sequence
 
     The string indexer keeps a column's distinct values on the driver.  A column
     of over ``most_categories`` values, as a sketch counts them, gets its codes
-    from a table instead, which is written under the shared folder and joined;
-    both ways give the same vectors.  Errors of any step surface.
+    from a table instead, which is written under the shared folder and joined, and
+    the vectors have no attributes; both ways give the same vectors.  Errors of any step surface.
     """
     wide: list[str] = []
     if categorical:
@@ -102,16 +135,14 @@ def fit_pipeline(train: DataFrame, numeric: Sequence[str], categorical: Sequence
         StandardScaler(inputCol="numbers", outputCol="scaled", withMean=True, withStd=True),
     ]
     model = Pipeline(stages=stages).fit(train)
-    dictionaries, encoders = {}, {}
+    dictionaries, widths = {}, {}
     spark = train.sparkSession
     for c in wide:
         path = scratch_path(spark, "categories")
         dense_index(train.select(col(c).cast("string").alias("value")), "value").write.parquet(path)
         dictionaries[c] = spark.read.parquet(path)
-        # The encoder learns the number of places only, from a row that holds the last one.
-        last = spark.range(1).select(F.lit(float(dictionaries[c].count())).alias(f"{c}__code"))
-        encoders[c] = OneHotEncoder(inputCols=[f"{c}__code"], outputCols=[f"{c}__hot"], handleInvalid="keep").fit(last)
-    return FittedPreparation(model, list(numeric), list(categorical), dictionaries, encoders)
+        widths[c] = dictionaries[c].count() + 1
+    return FittedPreparation(model, list(numeric), list(categorical), dictionaries, widths)
 
 
 @dataclass(frozen=True)

@@ -40,6 +40,22 @@ def test_wide_categories_give_the_same_vectors(spark, train):
     assert [(r[1], r[3], *r[4:]) for r in rows[0]] == [(1.0, 1.0, 0, 0, 0), (0.0, 0.0, 0, 0, 0), (0.0, 0.0, 0, 0, 0)]
 
 
+def test_wide_categories_have_no_name_for_a_place(spark, train):
+    out = s.fit_pipeline(train, ["x"], ["many", "few"], most_categories=10).transform(train)
+    assert not out.schema["many__hot"].metadata and not out.schema["features"].metadata
+    assert len(out._jdf.queryExecution().optimizedPlan().toString()) < 100_000
+    million = s.sparse_vector(1_000_000_000, F.array(F.lit(3), F.lit(999_999_999)), F.array(F.lit(float("nan")), F.lit(-1.25e-300)))
+    got = spark.range(1).select(million.alias("v")).first().v
+    assert got.size == 1_000_000_000 and got.indices.tolist() == [3, 999_999_999]
+    assert math.isnan(got.values[0]) and got.values[1] == -1.25e-300
+
+
+def test_wide_categories_leave_out_zeros_as_the_assembler_does(spark):
+    rows = spark.createDataFrame([(1, 1.0, 5.0, "a"), (2, 3.0, 5.0, "b"), (3, 2.0, 5.0, "c")], "id int, x double, flat double, many string")
+    got = [{r.id: r.features for r in s.fit_pipeline(rows, ["flat", "x"], ["many"], most_categories=m).transform(rows).collect()} for m in (10, 1)]
+    assert got[0] == got[1] and got[1][3].indices.tolist() == [4]
+
+
 def test_wide_categories_of_an_empty_table(spark, train):
     prep = s.fit_pipeline(train.withColumn("many", F.lit(None).cast("string")), ["x"], ["many"], most_categories=-1)
     assert {r.features.toArray()[1] for r in prep.transform(train).collect()} == {1.0}
