@@ -313,20 +313,25 @@ def batch_status(validated: DataFrame) -> DataFrame:
         "progress", F.round(ratio(F.col("processed_records") * 100, F.col("total_records")), 1))
 
 
+_SHARES = 64  # of a class, each with a copy of its cut
+
+
 def split_rows(df: DataFrame, key: str, label: str, test_share: float = 0.2, seed: int = 42) -> DataFrame:
     """Add ``split`` (train or test), the same for every run, stratified by label.
 
     A row's hash number decides.  The cut is the exact ``test_share`` quantile
     of the numbers within its class; a class may hold most of the table, which
-    ``group_quantiles`` allows for.  The cuts are looked up without a shuffle of
-    the rows while the classes are few.
+    ``group_quantiles`` allows for.  Each cut is there ``_SHARES`` times, and a
+    row looks for that of its number's share: where adaptive execution shuffles
+    the rows for it, a class goes to that many tasks.
     """
     numbered = df.withColumn("_h", key_number(col(key), seed))
     cuts = group_quantiles(numbered.select(col(label), "_h"), [label], "_h", {"_cut": test_share})
-    cuts = cuts.withColumnRenamed(label, "_label")
-    joined = join_lookup(numbered, cuts, col(label).eqNullSafe(F.col("_label")))
+    cuts = cuts.withColumnRenamed(label, "_label").withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(_SHARES - 1))))
+    same = col(label).eqNullSafe(F.col("_label")) & (F.col("_h") % _SHARES == F.col("_share"))
+    joined = join_lookup(numbered, cuts, same)
     return joined.withColumn("split", F.when(F.col("_h") <= F.col("_cut"), "test").otherwise("train")).drop(
-        "_h", "_label", "_cut")
+        "_h", "_label", "_share", "_cut")
 
 
 ESTIMATORS = {

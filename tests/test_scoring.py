@@ -111,6 +111,20 @@ def test_split_is_stable_and_stratified(spark):
         assert sum(a[i] == "test" for i in ids) == pytest.approx(0.2 * len(ids), abs=1.5)
 
 
+def test_no_task_gets_a_whole_class_to_split(spark):
+    df = spark.range(40_000).select("id", F.when(F.col("id") % 40 == 0, "rare").otherwise("common").alias("y"))
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    kept = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        sizes = [r["count"] for r in s.split_rows(df, "id", "y").groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == 40_000 and max(sizes) < 20_000  # of 8 tasks
+
+
 @pytest.mark.parametrize("algorithm", ["LogisticRegression", "DecisionTreeClassifier", "LinearSVC"])
 def test_fit_score_learns(spark, algorithm):
     df = spark.range(600).select((F.col("id") % 2).cast("int").alias("label"), ((F.col("id") * 37) % 100 / 100.0 + F.col("id") % 2 * 0.6).alias("x"))
