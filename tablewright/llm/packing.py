@@ -15,7 +15,7 @@ from .common import portions, small_batches, text_or_empty
 from .wordbpe import WordEncoder, encoder
 
 BLOCK = 1 << 22  # ids that one task packs together, at most: 16 MB
-PORTION = 1 << 20  # bytes of text that are encoded together: what that takes beside them is some thirty times as much
+PORTION = 3 << 19  # bytes of text that are encoded together: what that takes beside them is some thirty times as much
 
 
 class OpenWindows:
@@ -113,6 +113,7 @@ def documents_ids(coder: WordEncoder, texts: list[str], end_id: int) -> Iterator
     """The ids of each text with ``end_id`` after them; only a portion's are held at a time."""
     for a, b in portions(texts, PORTION):
         codes, at = coder.encode(texts[a:b])
+        codes = codes.astype("<u4")
         for k in range(b - a):
             yield np.append(codes[at[k] : at[k + 1]], np.uint32(end_id)).astype("<u4")
 

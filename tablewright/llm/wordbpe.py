@@ -56,9 +56,8 @@ class WordEncoder:
         rows = np.arange(len(keys)) + len(self.begins)
         self.begins = np.concatenate([self.begins, np.cumsum(counts) - counts + len(self.ids)])
         self.counts, self.ids = np.concatenate([self.counts, counts]), np.concatenate([self.ids, ids.astype(np.int32)])
-        keys, rows = np.concatenate([self.keys, keys]), np.concatenate([self.rows, rows])
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.rows = keys[order], rows[order]
+        place = np.searchsorted(self.keys, keys, "right")  # both are sorted
+        self.keys, self.rows = np.insert(self.keys, place, keys), np.insert(self.rows, place, rows)
 
     def _ids_of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of those words one after the other, and where each word's end."""
